@@ -120,6 +120,18 @@ def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray, lower: bool) -> t
     return starts, ends, h, np.searchsorted(starts, off).astype(np.int64)
 
 
+def word_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Hash of the first k bytes (A-Z as a-z) of every word that is longer than k bytes; for a shorter one 0."""
+    long = ends - starts > k
+    at = starts[long]
+    h = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        h = h * MULT + BYTE_CODES[LOWER[data[at + j]]]
+    out = np.zeros(len(starts), np.uint64)
+    out[long] = mix(h, seed)
+    return out
+
+
 def grams(h: np.ndarray, k: int, mult: U = MULT) -> np.ndarray:
     """Hash of every k consecutive items: sum of h[i+j] * mult**(k-1-j), by doubling; length len(h)-k+1."""
     if len(h) < k:
