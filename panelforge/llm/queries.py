@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, exact_dedup, minhash, packing, quality
+from panelforge.llm import decontaminate, exact_dedup, minhash, packing, quality, suffix
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -40,7 +40,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op4_decontamination, op5_quality, op7_exact_dedup, op8_minhash)}
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.byte_digest(suffix.byte_dedup(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op4_decontamination, op5_quality, op7_exact_dedup, op8_minhash, op10_suffix_array)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
