@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, exact_dedup, minhash, packing, quality, suffix
+from panelforge.llm import decontaminate, exact_dedup, minhash, packing, quality, substring, suffix
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,6 +32,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model).filter("_selected").select("doc_id", F.col("_grade").alias("expected_grade"), F.col("_tail").alias("p_top"), F.col("_selected").alias("kept"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.word_digest(substring.word_dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.byte_digest(suffix.byte_dedup(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op4_decontamination, op5_quality, op7_exact_dedup, op8_minhash, op10_suffix_array)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op4_decontamination, op5_quality, op6_substring, op7_exact_dedup, op8_minhash, op10_suffix_array)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
