@@ -101,10 +101,11 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) from each bucket's members to the leaders of the bucket: a star for each, never all pairs.
+    """Edges (a, b) that join each bucket's members through its leaders: a tree for each part, never all pairs.
 
-    The first member leads. A member that differs from all leaders by more than TIGHT becomes one; members
-    are tied to all leaders within LOOSE, so two documents over the threshold share a leader.
+    The first member leads. A member that differs from all leaders by more than TIGHT becomes one. Members
+    within LOOSE of a leader are in its part, and parts that share a member are one, so two documents over
+    the threshold end in the same part.
     """
     for table in whole_groups(batches, "key"):
         key, doc, sketch = (table.column(c).to_numpy() for c in ("key", "doc", "sketch"))
@@ -113,18 +114,25 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.concatenate([start, [len(key)]]))
         lead = np.repeat(start, size)
         diff = _differ(sketch, sketch[lead])
-        tied = (diff <= LOOSE) & (doc != doc[lead])
-        a, b = [doc[tied]], [doc[lead[tied]]]
+        tied = diff <= LOOSE
+        own = tied & (doc != doc[lead])
+        a, b = [doc[own]], [doc[lead[own]]]
         loose = np.add.reduceat(diff > TIGHT, start)
         for g in np.flatnonzero(loose > 1).tolist():  # some may be like each other, though not like the leader
             s, e = int(start[g]), int(start[g] + size[g])
+            part = np.where(tied[s:e], 0, -1)  # the leader that stands for a member's part of the bucket
             free = diff[s:e] > TIGHT
             while free.any():
                 j = int(np.argmax(free))
                 d = _differ(sketch[s:e], sketch[s + j])
-                near = (d <= LOOSE) & (doc[s:e] != doc[s + j])
-                a.append(doc[s:e][near])
-                b.append(np.full(int(near.sum()), doc[s + j]))
+                near = d <= LOOSE
+                joined = np.unique(part[near & (part >= 0)])
+                fresh = np.flatnonzero(near & (part < 0))
+                other = np.concatenate([joined, fresh])
+                other = other[doc[s + other] != doc[s + j]]
+                a.append(doc[s + other])
+                b.append(np.full(len(other), doc[s + j]))
+                part[near | np.isin(part, joined)] = j
                 free &= d > TIGHT
                 free[j] = False
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
@@ -186,15 +194,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "halves", "sketch", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("copies"))
     classes = stored(same.select("d1", "d2", "copies", "c.*"), "classes")
     buckets = classes.select("doc_id", "halves", "sketch").mapInArrow(_table_rows, "key long, doc long, sketch long")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     edges = stored(dealt(buckets, "key", "doc").mapInArrow(_candidates, "a long, b long").distinct(), "candidates")
-    small_batches(spark)
     family = components(edges)
     sized = stored(family.join(classes.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node"), "families")
     total = sized.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
     total = total.withColumn("blocks", F.greatest(F.lit(1), F.when((F.col("docs") > FAMILY_DOCS) | (F.col("shingles") > FAMILY_SHINGLES), F.greatest(F.ceil(2 * F.col("docs") / FAMILY_DOCS), F.ceil(2 * F.col("shingles") / FAMILY_SHINGLES))).otherwise(1)).cast("int"))
     mine = lookup(sized.select("node", "root"), total.select("root", "blocks", "docs"), ["root"], "docs").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(mine, "node")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(mine.hint("merge"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     jobs = texts.withColumn("other", other).select("node", "text", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("job"))
 
