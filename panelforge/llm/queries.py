@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, exact_dedup, html_extract, minhash, packing, quality, substring, suffix
+from panelforge.llm import decontaminate, exact_dedup, html_extract, licenses, line_dedup, minhash, packing, quality, substring, suffix
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -48,15 +52,36 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.byte_digest(suffix.byte_dedup(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_html, op4_decontamination, op5_quality, op6_substring, op7_exact_dedup, op8_minhash, op10_suffix_array)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_html, op4_decontamination, op5_quality, op6_substring, op7_exact_dedup, op8_minhash, op9_licenses, op10_suffix_array)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+    "op1_line_dedup": """
+        WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+        hashed AS (SELECT *, substr(md5(coalesce(lag(substr(md5(line), 1, 8)) OVER d, '') || substr(md5(line), 1, 8)), 1, 1) < '4' AS cut FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+        numbered AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM hashed),
+        chunks AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY pos) AS body, count(*) AS n FROM numbered GROUP BY ALL),
+        ranked AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM chunks)
+        SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed, count(*) FILTER (gone) AS n_chunks,
+               sha256(coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '')) AS kept_sha256
+        FROM ranked GROUP BY doc_id""",
+    "op9_licenses": f"""
+        WITH templates(license_id, text) AS (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.TEMPLATES.items())}),
+        tw AS (SELECT license_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> x <> '') AS w FROM templates),
+        ts AS (SELECT license_id, least(5, len(w)) AS k, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), i -> array_to_string(w[i : i + least(5, len(w)) - 1], ' '))) AS t FROM tw),
+        dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+        ds AS (SELECT doc_id, k, list_distinct(list_transform(range(1, greatest(len(w) - k + 1, 1) + 1), i -> array_to_string(w[i : i + k - 1], ' '))) AS s FROM dw CROSS JOIN (SELECT DISTINCT k FROM ts)),
+        found AS (SELECT doc_id, license_id, len(list_intersect(s, t))::BIGINT AS n_shared, len(t)::BIGINT AS n_template FROM ds JOIN ts USING (k))
+        SELECT *, n_shared / n_template AS containment FROM found WHERE n_shared / n_template >= {licenses.LEAST}""",
 }
