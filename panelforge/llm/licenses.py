@@ -60,9 +60,9 @@ def with_shingles(df: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def bands(shingles: Column) -> Column:
-    """Of each bin the least hash; the rest become null."""
-    ordered = F.sort_array(shingles)
-    return F.zip_with(ordered, F.slice(F.array_prepend(ordered, None), 1, F.size(shingles)), lambda x, before: F.when(before.isNull() | (F.shiftright(x, 64 - BIN_BITS) != F.shiftright(before, 64 - BIN_BITS)), x))
+    """Of each bin the least hash; the rest become null. transform() over one element holds the sorted array as a value."""
+    differ = lambda x, before: F.when(before.isNull() | (F.shiftright(x, 64 - BIN_BITS) != F.shiftright(before, 64 - BIN_BITS)), x)
+    return F.flatten(F.transform(F.array(F.sort_array(shingles)), lambda o: F.zip_with(o, F.slice(F.array_prepend(o, None), 1, F.size(o)), differ)))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -94,8 +94,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words")), F.lit(STRIDE))
     window = lambda s: F.flatten(F.array(*[F.slice(F.col(f"s{k}"), s, WINDOW) for k in sizes]))
     met = F.flatten(F.transform(starts, lambda s: F.filter(bands(window(s)), lambda x: x.isin(values))))
-    found = hashed.select("doc_id", "row", "words", F.array_distinct(met).alias("met")).filter("size(met) > 0")
-    candidates = found.select("doc_id", "row", "words", F.explode("met").alias("band")).join(F.broadcast(by_band), "band")
+    found = hashed.select("doc_id", "row", "words", F.array_distinct(met).alias("met"))
+    # explode() would add a filter on met that the optimizer copies, expression and all, below every projection
+    candidates = found.select("doc_id", "row", "words", F.explode_outer("met").alias("band")).filter("band IS NOT NULL").join(F.broadcast(by_band), "band")
     candidates = candidates.dropDuplicates(["row", "license_id"]).join(F.broadcast(known.select("license_id", F.col("words").alias("template"), "size")), "license_id")
     sequences = lambda col: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(col) - F.col("size") + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col(col), i, F.col("size")), " ")))
     counted = candidates.select("doc_id", "license_id", F.size(F.array_intersect(sequences("words"), sequences("template"))).cast("long").alias("n_shared"), F.size(sequences("template")).cast("long").alias("n_template"))

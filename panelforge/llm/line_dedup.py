@@ -42,7 +42,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     goes from one goes from all. An empty table gives no rows; other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = base.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(chunked("text")).alias("nth", "chunk"))
+    chunks = base.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode_outer(chunked("text")).alias("nth", "chunk"))
     chunks = chunks.withColumn("lines", line_count(F.col("chunk"))).filter(F.col("lines") >= least_lines)
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("nth")
     place = place.cast("decimal(38,0)")

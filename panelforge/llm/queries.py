@@ -78,10 +78,10 @@ ORACLES: dict[str, str] = {
         FROM ranked GROUP BY doc_id""",
     "op9_licenses": f"""
         WITH templates(license_id, text) AS (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.TEMPLATES.items())}),
-        tw AS (SELECT license_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> x <> '') AS w FROM templates),
-        ts AS (SELECT license_id, least(5, len(w)) AS k, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), i -> array_to_string(w[i : i + least(5, len(w)) - 1], ' '))) AS t FROM tw),
-        dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
-        ds AS (SELECT doc_id, k, list_distinct(list_transform(range(1, greatest(len(w) - k + 1, 1) + 1), i -> array_to_string(w[i : i + k - 1], ' '))) AS s FROM dw CROSS JOIN (SELECT DISTINCT k FROM ts)),
+        tw AS (SELECT license_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM templates),
+        ts AS (SELECT license_id, least(5, len(w)) AS k, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i : i + least(5, len(w)) - 1], ' '))) AS t FROM tw),
+        dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        ds AS (SELECT doc_id, k, list_distinct(list_transform(range(1, greatest(len(w) - k + 1, 1) + 1), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS s FROM dw CROSS JOIN (SELECT DISTINCT k FROM ts)),
         found AS (SELECT doc_id, license_id, len(list_intersect(s, t))::BIGINT AS n_shared, len(t)::BIGINT AS n_template FROM ds JOIN ts USING (k))
         SELECT *, n_shared / n_template AS containment FROM found WHERE n_shared / n_template >= {licenses.LEAST}""",
 }
