@@ -107,7 +107,8 @@ def _segment(codes: np.ndarray, at: np.ndarray, row0: int, shape: Shape) -> tupl
     return row + row0, lo - at[row], count, anchor - lo, g[anchor], whole
 
 
-RUN = "anchor long, class long, doc_id long, place long"
+#: more: places (8 bytes each) of further runs of the same class in the same document.
+RUN = "anchor long, class long, doc_id long, place long, more binary"
 
 
 def packed(lo: np.ndarray, count: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -119,6 +120,8 @@ def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _emit_runs(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for each class of runs in a document, so that text that repeats itself is one row however long it is."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1)
@@ -126,8 +129,17 @@ def _emit_runs(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for a, b in K.slices(off):
                 u = Units(texts.slice(a, b - a), shape.unit)
                 row, lo, count, before, anchor, whole = runs_of(u.codes, u.at, shape)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchor)), pa.array(K.signed(whole)), pa.array(ids[a:b][row]), pa.array(packed(lo, count, before))], ["anchor", "class", "doc_id", "place"])
+                if not len(row):
+                    continue
+                place, more = packed(lo, count, before), None
+                _, first, back = np.unique(K.mix(whole ^ K.mix(row.astype(np.uint64))), return_index=True, return_inverse=True)
+                if len(first) < len(row):
+                    order = np.argsort(back, kind="stable")
+                    others = np.split(order, np.cumsum(np.bincount(back))[:-1])
+                    more = pa.array([place[x[1:]].tobytes() if len(x) > 1 else None for x in others], pa.binary())
+                    row, place, anchor, whole = row[first], place[first], anchor[first], whole[first]
+                more = pa.nulls(len(row), pa.binary()) if more is None else more
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchor)), pa.array(K.signed(whole)), pa.array(ids[a:b][row]), pa.array(place), more], ["anchor", "class", "doc_id", "place", "more"])
 
     return scan
 
@@ -148,13 +160,23 @@ def _meet(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             head = np.concatenate([[True], anchor[1:] != anchor[:-1]])
             first = head | np.concatenate([[True], kind[1:] != kind[:-1]])
             group, cls = np.cumsum(head) - 1, np.cumsum(first) - 1
-            per_class = np.bincount(cls)[cls]
+            more = table.column("more")
+            again = np.flatnonzero(more.is_valid().to_numpy())
+            weight = np.ones(n, np.int64)
+            weight[again] = 2
+            per_class = np.bincount(cls, weights=weight)[cls]
             several = np.bincount(group[first], minlength=group[-1] + 1)[group] > 1
             sure = ~first if shape.earlier else per_class > 1
             look = first & several
             keep = np.flatnonzero(sure | look)
-            if len(keep) and n:
-                yield pa.RecordBatch.from_arrays([pa.array(table.column(c).to_numpy()[keep]) for c in ("doc_id", "place", "anchor")] + [pa.array(sure[keep]), pa.array(look[keep])], ["doc_id", "place", "anchor", "sure", "look"])
+            doc, place = table.column("doc_id").to_numpy(), table.column("place").to_numpy()
+            others = [np.frombuffer(x, np.int64) for x in more.take(pa.array(again)).to_pylist()]
+            mine = np.repeat(again, [len(x) for x in others])
+            rows = np.concatenate([keep, mine])
+            if len(rows):
+                where = np.concatenate([place[keep], *others])
+                yes, no = np.ones(len(mine), bool), np.zeros(len(mine), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(where), pa.array(anchor[rows]), pa.array(np.concatenate([sure[keep], yes])), pa.array(np.concatenate([look[keep], no]))], ["doc_id", "place", "anchor", "sure", "look"])
 
     return meet
 
@@ -245,6 +267,13 @@ def repeated_windows(docs: DataFrame, shape: Shape, looker: Callable[[Shape], Ca
     return texts.join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", F.col("copy").isNotNull().alias("repeats"), F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
 
 
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id long, text), without a projection where the columns are so already: reads of equal plans share an exchange."""
+    kinds = dict(docs.dtypes)
+    ident = F.col(id_col) if kinds[id_col] == "bigint" else F.col(id_col).cast("long")
+    return docs.select(ident if (id_col, kinds[id_col]) == ("doc_id", "bigint") else ident.alias("doc_id"), F.col(text_col) if text_col == "text" else F.col(text_col).alias("text"))
+
+
 def removed_units(spans: pa.ListArray, at: np.ndarray, span: int) -> np.ndarray:
     """For the units of texts laid end to end (offsets at), whether any repeated window covers them."""
     size = np.asarray(spans.fill_null([]).value_lengths()) if spans.null_count else np.asarray(spans.value_lengths())

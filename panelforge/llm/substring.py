@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import kernels as K
 from panelforge.llm.groups import whole_groups
-from panelforge.llm.repeats import Shape, Units, matrices, removed_units, repeated_windows, unpacked
+from panelforge.llm.repeats import Shape, Units, id_and_text, matrices, removed_units, repeated_windows, unpacked
 
 SPAN, GRAM = 35, 16
 
@@ -83,7 +83,7 @@ def word_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not read. span: from 20 to 250.
     """
     shape = Shape("word", span, GRAM, False)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = id_and_text(docs, id_col, text_col)
     marked = repeated_windows(base, shape, _look)
     lone = base.filter("doc_id IS NULL").select("doc_id", "text", F.lit(False).alias("repeats"), F.lit(False).alias("copy"), F.lit(None).cast("array<struct<lo: long, n: long>>").alias("spans"))
 
