@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from panelforge.plans import events, grids, metrics, models, panels, records  # noqa: F401  (they register their queries)
+from panelforge.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "q187_calendar_zscore"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "daily_panel"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
