@@ -256,11 +256,11 @@ def repeated_windows(docs: DataFrame, shape: Shape, looker: Callable[[Shape], Ca
     settled = lookup(digest, stored(first, "copies"), ["d", "x"], "copies").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("first")).alias("copy"))
     settled = stored(settled, "settled")
     # One plan from here, so that the three joins by id read one exchange of the texts.
-    runs = texts.join(settled.filter("copy").hint("merge"), "doc_id", "left_anti").select("doc_id", "text").mapInArrow(_emit_runs(shape), RUN)
-    met = dealt(runs, "anchor", "class", "doc_id", "place").mapInArrow(_meet(shape), MET)
+    runs = texts.join(settled.filter("copy").hint("merge"), "doc_id", "left_anti").select("doc_id", "text").mapInArrow(K.tidy(_emit_runs(shape)), RUN)
+    met = dealt(runs, "anchor", "class", "doc_id", "place").mapInArrow(K.tidy(_meet(shape)), MET)
     looks = met.filter("look").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor", "sure")).alias("looks"))
-    fetched = texts.join(looks.hint("merge"), "doc_id").select("doc_id", "text", "looks").mapInArrow(_fetch(shape), LOOKED)
-    found = dealt(fetched, "anchor", "doc_id", "place").mapInArrow(looker(shape), "doc_id long, lo long, n long")
+    fetched = texts.join(looks.hint("merge"), "doc_id").select("doc_id", "text", "looks").mapInArrow(K.tidy(_fetch(shape)), LOOKED)
+    found = dealt(fetched, "anchor", "doc_id", "place").mapInArrow(K.tidy(looker(shape)), "doc_id long, lo long, n long")
     sure = met.filter("sure").select("doc_id", F.shiftright("place", 16).alias("lo"), F.shiftright("place", 8).bitwiseAND(F.lit(255)).alias("n"))
     spans = found.unionByName(sure).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     marks = spans.join(settled, "doc_id", "full").select("doc_id", "copy", "spans")

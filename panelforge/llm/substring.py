@@ -107,7 +107,7 @@ def word_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kept = [raw[x : y - 1] if y > x else b"" for x, y in zip(stay[:-1], stay[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(n_removed), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return marked.unionByName(lone).mapInArrow(cut, KEPT)
+    return marked.unionByName(lone).mapInArrow(K.tidy(cut), KEPT)
 
 
 def word_digest(deduped: DataFrame) -> DataFrame:

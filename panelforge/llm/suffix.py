@@ -150,7 +150,7 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kept = [raw[x:y] for x, y in zip(stay[:-1], stay[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(n_removed), pa.array(heads[at[1:]] - heads[at[:-1]]), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return marked.unionByName(lone).mapInArrow(cut, KEPT)
+    return marked.unionByName(lone).mapInArrow(K.tidy(cut), KEPT)
 
 
 def byte_digest(deduped: DataFrame) -> DataFrame:
