@@ -157,11 +157,11 @@ def by_quartile(t: Tables) -> DataFrame:
     return t.orders.join(F.broadcast(q)).groupBy(bucket.alias("quartile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 8).alias("rate"))
 
 
-@query("q168_five_numbers", "SELECT o_orderpriority, round(min(o_totalprice), 2) AS low, round(quantile_cont(o_totalprice, 0.25), 4) AS q25, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.75), 4) AS q75, round(max(o_totalprice), 2) AS high FROM orders GROUP BY 1")
+@query("q168_five_numbers", "SELECT o_orderpriority, round(min(o_totalprice), 2) AS low, round(quantile_cont(o_totalprice, 0.25), 6) AS q25, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.75), 6) AS q75, round(max(o_totalprice), 2) AS high FROM orders GROUP BY 1")
 def five_numbers(t: Tables) -> DataFrame:
     q = F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = t.orders.groupBy("o_orderpriority").agg(F.round(F.min("o_totalprice"), 2).alias("low"), q.alias("q"), F.round(F.max("o_totalprice"), 2).alias("high"))
-    return g.select("o_orderpriority", "low", F.round(F.col("q")[0], 4).alias("q25"), F.round(F.col("q")[1], 4).alias("median"), F.round(F.col("q")[2], 4).alias("q75"), "high")
+    return g.select("o_orderpriority", "low", F.round(F.col("q")[0], 6).alias("q25"), F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2], 6).alias("q75"), "high")
 
 
 @query("q273_robust_scale", "WITH q AS (SELECT p_brand, quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS m, quantile_cont(p_retailprice, 0.75) AS c FROM part GROUP BY 1) SELECT p_partkey, round((p_retailprice - m) / nullif(c - a, 0), 6) AS scaled FROM part JOIN q USING (p_brand)")

@@ -20,7 +20,7 @@ def cusum(t: Tables) -> DataFrame:
 @query("q266_segments")
 def change_points(t: Tables) -> DataFrame:
     monthly = unit_daily(t).groupBy("unit", F.trunc("day", "month").alias("month")).agg(F.avg("v").alias("v"))
-    return M.per_series(monthly, ["unit"], "month", "v", lambda x: M.segments(x, 2.0))
+    return M.per_series(monthly, ["unit"], "month", "v", lambda x: M.segments(x, 0.5))
 
 
 @query("q242_mixture_sweep")

@@ -54,9 +54,9 @@ def circular_mean(t: Tables) -> DataFrame:
     return t.events.groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg(F.sin(F.radians("value"))), 8).alias("mean_sin"), F.round(F.avg(F.cos(F.radians("value"))), 8).alias("mean_cos"))
 
 
-@query("q134_complete_days", "SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2 HAVING count(DISTINCT hour(ts)) = 24")
+@query("q134_complete_days", "SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2 HAVING count(DISTINCT hour(ts)) = 24")
 def complete_days(t: Tables) -> DataFrame:
-    g = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 4).alias("mean_value"), F.count_distinct(F.hour("ts")).alias("h"))
+    g = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count_distinct(F.hour("ts")).alias("h"))
     return g.filter("h = 24").drop("h")
 
 
@@ -65,16 +65,16 @@ def conflicts(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey", F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_totalprice").alias("different")).filter("different > 1")
 
 
-@query("q136_masked_mean", "SELECT l_suppkey, CASE WHEN avg((l_discount <= 0.09)::INT) >= 0.9 THEN round(avg(CASE WHEN l_discount <= 0.09 THEN l_extendedprice END), 2) END AS masked_mean, round(avg((l_discount <= 0.09)::INT), 6) AS valid FROM lineitem GROUP BY 1")
+@query("q136_masked_mean", "SELECT l_suppkey, CASE WHEN avg((l_discount <= 0.09)::INT) >= 0.9 THEN round(avg(CASE WHEN l_discount <= 0.09 THEN l_extendedprice END), 6) END AS masked_mean, round(avg((l_discount <= 0.09)::INT), 6) AS valid FROM lineitem GROUP BY 1")
 def masked_mean(t: Tables) -> DataFrame:
     ok = F.col("l_discount") <= 0.09
     share = F.avg(ok.cast("int"))
-    return t.lineitem.groupBy("l_suppkey").agg(F.when(share >= 0.9, F.round(F.avg(F.when(ok, F.col("l_extendedprice"))), 2)).alias("masked_mean"), F.round(share, 6).alias("valid"))
+    return t.lineitem.groupBy("l_suppkey").agg(F.when(share >= 0.9, F.round(F.avg(F.when(ok, F.col("l_extendedprice"))), 6)).alias("masked_mean"), F.round(share, 6).alias("valid"))
 
 
-@query("q137_day_of_year_climatology", f"WITH {DAILY_SQL} SELECT CAST(dayofyear(day) AS INT) AS doy, round(avg(v), 3) AS mean_value, round(stddev_samp(v), 3) AS spread, count(*) AS years FROM daily GROUP BY 1")
+@query("q137_day_of_year_climatology", f"WITH {DAILY_SQL} SELECT CAST(dayofyear(day) AS INT) AS doy, round(avg(v), 6) AS mean_value, round(stddev_samp(v), 5) AS spread, count(*) AS years FROM daily GROUP BY 1")
 def climatology(t: Tables) -> DataFrame:
-    return daily_orders(t).groupBy(F.dayofyear("day").alias("doy")).agg(F.round(F.avg("v"), 3).alias("mean_value"), F.round(F.stddev_samp("v"), 3).alias("spread"), F.count(F.lit(1)).alias("years"))
+    return daily_orders(t).groupBy(F.dayofyear("day").alias("doy")).agg(F.round(F.avg("v"), 6).alias("mean_value"), F.round(F.stddev_samp("v"), 5).alias("spread"), F.count(F.lit(1)).alias("years"))
 
 
 RUNS_SQL = f"{DAILY_SQL}, lagged AS (SELECT *, coalesce((day - lag(day) OVER (ORDER BY day) <> 1)::INT, 1) AS gap FROM daily), runs AS (SELECT *, sum(gap) OVER (ORDER BY day) AS run FROM lagged)"
@@ -123,11 +123,11 @@ def longest_run(t: Tables) -> DataFrame:
     return s.groupBy("unit", F.year("start").alias("year")).agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("spells"), F.round(F.avg("length"), 6).alias("mean_length"))
 
 
-@query("q138_season_aggregate", f"""WITH {UNIT_SQL} SELECT unit, CAST(year(day) AS INT) AS year, round(avg(v), 4) AS mean_value, round(sum(greatest(v - 100, 0)), 4) AS degree_sum, round(quantile_cont(v, 0.95), 4) AS q95, round(max_by(v, day) - min_by(v, day), 4) AS delta, count(*) AS days
+@query("q138_season_aggregate", f"""WITH {UNIT_SQL} SELECT unit, CAST(year(day) AS INT) AS year, round(avg(v), 6) AS mean_value, round(sum(greatest(v - 100, 0)), 4) AS degree_sum, round(quantile_cont(v, 0.95), 6) AS q95, round(max_by(v, day) - min_by(v, day), 4) AS delta, count(*) AS days
     FROM unit_daily WHERE month(day) IN (6, 7, 8) GROUP BY 1, 2""")
 def season_aggregate(t: Tables) -> DataFrame:
     jja = unit_daily(t).filter(F.month("day").isin(6, 7, 8))
-    return jja.groupBy("unit", F.year("day").alias("year")).agg(F.round(F.avg("v"), 4).alias("mean_value"), F.round(F.sum(F.greatest(F.col("v") - 100, F.lit(0.0))), 4).alias("degree_sum"), F.round(F.percentile("v", 0.95), 4).alias("q95"), F.round(F.max_by("v", "day") - F.min_by("v", "day"), 4).alias("delta"), F.count(F.lit(1)).alias("days"))
+    return jja.groupBy("unit", F.year("day").alias("year")).agg(F.round(F.avg("v"), 6).alias("mean_value"), F.round(F.sum(F.greatest(F.col("v") - 100, F.lit(0.0))), 4).alias("degree_sum"), F.round(F.percentile("v", 0.95), 6).alias("q95"), F.round(F.max_by("v", "day") - F.min_by("v", "day"), 4).alias("delta"), F.count(F.lit(1)).alias("days"))
 
 
 ZSCORE_SQL = f"""{DAILY_SQL}, target AS (SELECT * FROM daily WHERE year(day) = 2000), base AS (SELECT * FROM daily WHERE year(day) < 2000),
@@ -161,12 +161,12 @@ def percentile_rank(t: Tables) -> DataFrame:
 
 
 @query("q191_exceedance", f"""WITH {DAILY_SQL}, target AS (SELECT * FROM daily WHERE year(day) = 2000), base AS (SELECT * FROM daily WHERE year(day) < 2000)
-    SELECT t.day, round(quantile_cont(b.v, 0.95), 3) AS p95, t.v > quantile_cont(b.v, 0.95) AS above_p95, t.v > quantile_cont(b.v, 0.99) AS above_p99 FROM target t JOIN base b ON abs(dayofyear(b.day) - dayofyear(t.day)) <= 3 GROUP BY t.day, t.v""")
+    SELECT t.day, round(quantile_cont(b.v, 0.95), 6) AS p95, t.v > quantile_cont(b.v, 0.95) AS above_p95, t.v > quantile_cont(b.v, 0.99) AS above_p99 FROM target t JOIN base b ON abs(dayofyear(b.day) - dayofyear(t.day)) <= 3 GROUP BY t.day, t.v""")
 def exceedance(t: Tables) -> DataFrame:
     d = daily_orders(t).withColumn("unit", F.lit(1))
     p = W.doy_pairs(d.filter(F.year("day") == 2000).select("unit", "day", "v"), d.filter(F.year("day") < 2000), ["unit"], "day", "v", 3)
     g = p.groupBy("day", "v").agg(F.percentile("base", F.array(F.lit(0.95), F.lit(0.99)), F.col("n")).alias("q"))
-    return g.select("day", F.round(F.col("q")[0], 3).alias("p95"), (F.col("v") > F.col("q")[0]).alias("above_p95"), (F.col("v") > F.col("q")[1]).alias("above_p99"))
+    return g.select("day", F.round(F.col("q")[0], 6).alias("p95"), (F.col("v") > F.col("q")[0]).alias("above_p95"), (F.col("v") > F.col("q")[1]).alias("above_p99"))
 
 
 @query("q192_midrank", "SELECT p_partkey, p_brand, round(100.0 * (rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) - 1 + 0.5 * count(*) OVER (PARTITION BY p_brand, p_retailprice)) / count(*) OVER (PARTITION BY p_brand), 8) AS midrank FROM part")
