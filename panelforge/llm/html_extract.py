@@ -29,7 +29,7 @@ APART_ROLES = frozenset("navigation banner contentinfo complementary search form
 APART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments reply replies respond discussion disqus pagination pager toolbar copyright disclaimer paywall".split())
 APART_WEAK = frozenset("header head side form widget legal meta tags search".split())
 MAIN_WORDS = frozenset("article entry post content story main body text page".split())
-OUTSIDE, LEAST = 0.1, 1.0
+LEAST = 1.0
 
 
 @dataclass
@@ -143,7 +143,7 @@ def path_scores(found: list[Block]) -> np.ndarray:
     A path's text ratio is its unlinked text length, its punctuation ratio its punctuation marks, each per
     node of the path; both are fused by their geometric mean. Paths set apart by their markup (menus,
     headers, footers, asides, notices, adverts, forms, comments) count 0; where there is an article or main
-    element with text, paths outside it count OUTSIDE of their ratio.
+    element with text, so do paths outside it.
     """
     paths = {p: i for i, p in enumerate(dict.fromkeys(b.path for b in found))}
     at = np.array([paths[b.path] for b in found])
@@ -151,10 +151,10 @@ def path_scores(found: list[Block]) -> np.ndarray:
     length = np.bincount(at, weights=[max(0, len(b.text) - b.linked) for b in found]) / nodes
     marks = np.bincount(at, weights=[len(PUNCTUATION.findall(b.text)) for b in found]) / nodes
     apart, main = np.array([b.apart for b in found]), np.array([b.main for b in found])
-    outside = OUTSIDE if (main & ~apart).any() else 1.0
+    outside = 0.0 if (main & ~apart).any() else 1.0
     fused = np.sqrt((length + LEAST) * (1 + marks))[at] * np.where(apart, 0.0, np.where(main, 1.0, outside))
     wide = np.pad(fused, 1)
-    return np.where(apart, 0.0, (wide[:-2] + 2 * wide[1:-1] + wide[2:]) / 4)
+    return np.where(fused > 0, (wide[:-2] + 2 * wide[1:-1] + wide[2:]) / 4, 0.0)
 
 
 def main_text(page: str | None) -> str:
