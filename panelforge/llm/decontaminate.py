@@ -104,7 +104,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                     yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(merged, kind), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
-        scans.append(rows.mapInArrow(scan, OUT))
+        scans.append(rows.mapInArrow(K.tidy(scan), OUT))
     if len(scans) == 1:
         return scans[0]
     out = scans[0]

@@ -6,7 +6,8 @@ Arithmetic on uint64 wraps, which numpy does silently for arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ U = np.uint64
 MULT = U(0x9E3779B97F4A7C15)
 WORD_MULT = U(0xD6E8FEB86659FD93)
 TOP = U(0xFFFFFFFFFFFFFFFF)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -82,7 +83,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of WORD_MULT and of its inverse modulo 2**64, at least n of each."""
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(19, int(n).bit_length())
     if size not in _POWERS:
         _POWERS.clear()
         inv = pow(int(WORD_MULT), -1, 1 << 64)
@@ -179,5 +180,18 @@ def cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+def tidy(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """scan, with memory given back to the system at its end: Python workers stay idle beside later stages of others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)

@@ -78,7 +78,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * 2 * SIDE, pa.int32()), pa.array(K.signed(halves.ravel())))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(K.signed(d[:, 0].copy())), pa.array(K.signed(d[:, 1].copy())), lists, pa.array(K.signed(sketch))], ["doc_id", "n_shingles", "d1", "d2", "halves", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, SCANNED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(K.tidy(scan), SCANNED)
 
 
 def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(scanned(docs, id_col, text_col, shingle), "sets")
     same = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "halves", "sketch", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("copies"))
     classes = stored(same.select("d1", "d2", "copies", "c.*"), "classes")
-    buckets = classes.select("doc_id", "halves", "sketch").mapInArrow(_table_rows, "key long, doc long, sketch long")
-    edges = stored(dealt(buckets, "key", "doc").mapInArrow(_candidates, "a long, b long").distinct(), "candidates")
+    buckets = classes.select("doc_id", "halves", "sketch").mapInArrow(K.tidy(_table_rows), "key long, doc long, sketch long")
+    edges = stored(dealt(buckets, "key", "doc").mapInArrow(K.tidy(_candidates), "a long, b long").distinct(), "candidates")
     family = components(edges)
     sized = stored(family.join(classes.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node"), "families")
     total = sized.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 a, b = np.array(found, np.int64).T.copy()
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    links = components(dealt(jobs, "job", "node").mapInArrow(verify, "a long, b long"))
+    links = components(dealt(jobs, "job", "node").mapInArrow(K.tidy(verify), "a long, b long"))
     placed = classes.join(links, classes.doc_id == links.node, "left").select("d1", "d2", "copies", F.coalesce("root", "doc_id").alias("component_id"))
     some = lookup(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "d1", "d2"), placed, ["d1", "d2"], "copies")
     none = rows.filter("n_shingles = 0 OR doc_id IS NULL")

@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     cols.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth", *["input_ids"] * with_ids])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(K.tidy(cut), schema)
 
 
 def fill(counts: np.ndarray, capacity: int) -> list[int]:
@@ -217,7 +217,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = _slots(plan(counts, capacity)).sort_values(["length", "first"])
     by = {int(k): v.to_numpy() for k, v in slots.groupby("length")[["first", "many", "sequence", "at"]]}
     table = cut.sparkSession.sparkContext.broadcast(by)
-    ranked = cut.join(base.select("length", "task", "base"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
+    ranked = cut.join(base.select("length", "task", "base").hint("merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

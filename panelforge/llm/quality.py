@@ -148,7 +148,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
                 ids, at = features(batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "grade", "ids"])
 
-    got = rated.mapInArrow(extract, "doc_id long, grade int, ids array<int>").toArrow().sort_by("doc_id")
+    got = rated.mapInArrow(K.tidy(extract), "doc_id long, grade int, ids array<int>").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return OrdinalModel(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, -40.0))
     lists = got.column("ids").combine_chunks()
@@ -179,4 +179,4 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
                 more = [pa.array(p @ np.arange(p.shape[1])), pa.array(tail), pa.array(tail >= least)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], schema.names)
 
-    return base.mapInArrow(scan, schema)
+    return base.mapInArrow(K.tidy(scan), schema)

@@ -27,7 +27,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds by bytes: whole texts may be long, plain numbers are short."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
 
