@@ -91,7 +91,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     by_band = spark.createDataFrame([(r["license_id"], r["band"]) for r in index], "license_id string, band long")
     base = docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("words"), F.monotonically_increasing_id().alias("row"))
     hashed = with_shingles(base, sizes).select("doc_id", "row", "words", *[f"s{k}" for k in sizes])
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words")), F.lit(STRIDE))
+    # the shingle arrays are used twice each, so the optimizer computes them once a row and not once a window
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words"), *[F.size(f"s{k}") for k in sizes]), F.lit(STRIDE))
     window = lambda s: F.flatten(F.array(*[F.slice(F.col(f"s{k}"), s, WINDOW) for k in sizes]))
     met = F.flatten(F.transform(starts, lambda s: F.filter(bands(window(s)), lambda x: x.isin(values))))
     found = hashed.select("doc_id", "row", "words", F.array_distinct(met).alias("met"))
