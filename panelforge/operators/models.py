@@ -160,3 +160,50 @@ def bootstrap_sums(df: DataFrame, group: str, value: Column, replicates: int, se
     steps = np.cumsum([0.36787944117144233, 0.36787944117144233, 0.18393972058572117, 0.061313240195240384, 0.015328310048810096, 0.003065662009762019, 0.0005109436682936699])
     weight = sum(((u >= float(c)).cast("int") for c in steps), F.lit(0))
     return wide.withColumn("w", weight).groupBy("replicate").agg(F.sum(F.col("w") * F.col("s")).alias("total"), F.sum(F.col("w") * F.col("c")).alias("n"))
+
+
+def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+    """(labels, centres, inertia) of the best of several seeded starts."""
+    best = None
+    for start in range(starts):
+        rng = np.random.default_rng((seed, start))
+        c = x[[rng.integers(len(x))]]
+        while len(c) < k:
+            d = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
+            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
+        for _ in range(rounds):
+            label = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            new = np.stack([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+            if np.allclose(new, c):
+                break
+            c = new
+        inertia = float(((x - c[label]) ** 2).sum())
+        if best is None or inertia < best[2]:
+            best = (label, c, inertia)
+    return best
+
+
+def silhouette(x: np.ndarray, label: np.ndarray) -> float:
+    """Mean silhouette by Euclidean distance; a member alone in its cluster counts 0."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    groups = np.unique(label)
+    if len(groups) < 2:
+        return 0.0
+    total = np.stack([d[:, label == g].sum(1) for g in groups], axis=1)
+    size = np.array([(label == g).sum() for g in groups])
+    own = np.searchsorted(groups, label)
+    at = np.arange(len(x))
+    a = total[at, own] / np.maximum(size[own] - 1, 1)
+    other = total / size
+    other[at, own] = np.inf
+    b = other.min(1)
+    s = np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+    return float(s.mean())
+
+
+def aligned(reference: np.ndarray, other: np.ndarray) -> list[int]:
+    """The order of other's components that lies nearest the reference's, the first in dictionary order on ties."""
+    from itertools import permutations
+
+    cost = ((reference[:, None] - other[None]) ** 2).sum(2)
+    return list(min(permutations(range(len(other))), key=lambda p: (round(float(sum(cost[i, j] for i, j in enumerate(p))), 12), p)))

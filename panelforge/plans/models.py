@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators import models as M
+from panelforge.operators import resample as R
+from panelforge.operators import signal as G
 from panelforge.plans.panels import daily_orders, unit_daily
 from panelforge.plans.registry import Tables, query
 
@@ -46,3 +48,61 @@ def bootstrap(t: Tables) -> DataFrame:
     r = M.bootstrap_sums(t.orders, "o_custkey", F.col("o_totalprice"), 200, 5)
     q = r.filter("n > 0").select((F.col("total") / F.col("n")).alias("m")).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
     return q.select(*[F.round(F.col("q")[i], 3).alias(name) for i, name in enumerate(("low", "median", "high"))])
+
+
+@query("q255_column_shuffle", "SELECT count(*) AS n, round(sum(p_size)::DOUBLE, 4) AS sizes, round(sum(p_retailprice), 2) AS prices FROM part")
+def column_shuffle(t: Tables) -> DataFrame:
+    x = R.column_shuffle(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_partkey", ["p_size", "p_retailprice"], 9)
+    return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p_size").cast("double"), 4).alias("sizes"), F.round(F.sum("p_retailprice"), 2).alias("prices"))
+
+
+@query("q291_label_shuffle_null")
+def label_shuffle(t: Tables) -> DataFrame:
+    c = t.labels.filter("quality IS NOT NULL").select("doc_id", (F.col("doc_id") % 4).alias("stratum"), "quality", "toxic")
+    real = c.filter("toxic = 1").agg(F.avg("quality").alias("observed"))
+    null = R.label_shuffle(c.select("stratum", "doc_id", "quality"), ["stratum"], "doc_id", "quality", 100, 3).join(c.select("doc_id", "toxic"), "doc_id").filter("toxic = 1").groupBy("replicate").agg(F.avg("quality").alias("m"))
+    return null.join(F.broadcast(real)).groupBy("observed").agg(F.avg((F.col("m") >= F.col("observed")).cast("double")).alias("p"), F.count(F.lit(1)).alias("replicates"))
+
+
+@query("q268_block_permutation", """WITH d AS (SELECT l_returnflag AS unit, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY day) AS i FROM d),
+    tg AS (SELECT unit, avg(v) AS observed, count(*) AS size FROM d WHERE day BETWEEN DATE '1997-06-01' AND DATE '1997-08-31' GROUP BY 1),
+    b AS (SELECT a.unit, a.i, tg.observed, avg(x.v) AS m FROM n a JOIN tg USING (unit) JOIN n x ON x.unit = a.unit AND x.i BETWEEN a.i - tg.size + 1 AND a.i WHERE a.i >= tg.size AND (a.day < DATE '1997-06-01' OR a.day - 91 > DATE '1997-08-31') GROUP BY ALL)
+    SELECT unit, round(observed, 6) AS observed, count(*) AS blocks, round(avg((m >= observed)::INT), 8) AS p FROM b GROUP BY 1, 2""")
+def block_permutation(t: Tables) -> DataFrame:
+    r = R.block_permutation(unit_daily(t), "unit", "day", "v", "1997-06-01", "1997-08-31")
+    return r.select("unit", F.round("observed", 6).alias("observed"), "blocks", F.round("p", 8).alias("p"))
+
+
+@query("q271_sign_test", """WITH c AS (SELECT o_custkey, count(*) FILTER (o_totalprice > 250000) AS k, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) <= 60),
+    f AS (SELECT o_custkey, k, n, unnest(range(0, least(k, n - k) + 1)) AS i FROM c) SELECT o_custkey, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0)))), 8) AS p FROM f GROUP BY 1""")
+def sign_test(t: Tables) -> DataFrame:
+    c = t.orders.groupBy("o_custkey").agg(F.count(F.when(F.col("o_totalprice") > 250000, 1)).alias("k"), F.count(F.lit(1)).alias("n")).filter("n <= 60")
+    return c.select("o_custkey", F.round(R.sign_test(F.col("k"), F.col("n"), 60), 8).alias("p"))
+
+
+@query("q295_calibration_fit")
+def calibration_fit(t: Tables) -> DataFrame:
+    from panelforge.plans.metrics import cases
+
+    a, b = R.calibration_fit(cases(t), "y", "p")
+    return t.spark.range(1).select(F.lit(round(a, 6)).alias("slope"), F.lit(round(b, 6)).alias("intercept"))
+
+
+@query("q272_kmeans_best_k")
+def best_k(t: Tables) -> DataFrame:
+    x = t.embeddings.orderBy(F.xxhash64("vec_id")).limit(400).select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)], F.explode(F.sequence(F.lit(2), F.lit(5))).alias("k"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, points = int(pdf["k"].iloc[0]), pdf[[f"e{i}" for i in range(4)]].sort_values(["e0", "e1", "e2", "e3"]).to_numpy(float)
+        label, _, inertia = M.kmeans(points, k, 1, starts=3)
+        return pd.DataFrame({"k": [k], "silhouette": [round(M.silhouette(points, label), 6)], "inertia": [round(inertia, 4)]})
+
+    return x.groupBy("k").applyInPandas(fit, "k int, silhouette double, inertia double")
+
+
+@query("q306_window_features")
+def window_features(t: Tables) -> DataFrame:
+    hourly = t.events.groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.avg("value").alias("v"))
+    day = G.tiles(hourly, "event_type", "hour", "v", 86400, 24).withColumn("rate", F.lit(24.0))
+    f = G.featured(day, ["event_type", "start"], "samples", "rate")
+    return f.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), *[F.round(c, 8).alias(c) for c in G.FEATURES])
