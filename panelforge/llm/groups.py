@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,45 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def bounded_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[tuple[pa.Table | None, str]]:
+    """Like whole_groups, but no table holds much more than `most` rows of one key.
+
+    (table, "whole"): complete groups. A key with more rows comes as (table, "part") any number of times and
+    then (None, "end"), with no other group in between.
+    """
+    held: list[pa.RecordBatch] = []
+    now, rows, parted = None, 0, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        col = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        same = int(np.argmax(col != now)) if (col != now).any() else len(col)  # rows that go on with the held key
+        if same and now is not None:
+            held.append(batch.slice(0, same))
+            rows += same
+        else:
+            same = 0
+        if parted or rows > most:
+            if held:
+                yield pa.Table.from_batches(held), "part"
+            held, parted = [], True
+        if same == len(col):
+            continue
+        if parted:
+            yield None, "end"
+        last = int(np.flatnonzero(col != col[-1])[-1]) + 1 if (col != col[-1]).any() else 0  # where the last key begins
+        if last > same:
+            held.append(batch.slice(same, last - same))
+        if held:
+            yield pa.Table.from_batches(held), "whole"
+        held, now, parted = [batch.slice(max(last, same))], col[-1], False
+        rows = held[0].num_rows
+    if parted:
+        yield None, "end"
+    elif held:
+        yield pa.Table.from_batches(held), "whole"
+
+
 def dealt(df: DataFrame, key: str, *order: str) -> DataFrame:
     """df partitioned by key and sorted by key, then order, inside each partition."""
     return df.repartition(parts(df.sparkSession), key).sortWithinPartitions(key, *order)

@@ -8,7 +8,9 @@ what moves between machines: about two for every span - gram + 2 units, 4 number
 1. Runs meet by anchor. An anchor seen once proves all its windows unique: most text ends here.
 2. Runs of the same anchor and the same units are a class: its repeats are settled by counting.
 3. Anchors with several classes need a closer look, at one run of each class: its units (at most
-   2 * span - gram) are fetched and compared by a method of the caller's.
+   2 * span - gram) are fetched and compared by a method of the caller's. Of anchors with very many runs
+   the windows of each such run are fetched as hashes, and each window's content is a group of its own:
+   however many texts share a passage, no task holds them.
 4. Windows found repeated are applied to the documents.
 
 Texts move once (both fetches read the same exchange by id). Exact copies of whole documents are settled
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm import kernels as K
-from panelforge.llm.groups import dealt, whole_groups
+from panelforge.llm.groups import bounded_groups, dealt
 from panelforge.llm.skew import lookup
 from panelforge.llm.storage import small_batches, stored
 
 SEGMENT = 1 << 20
 PLACE = 22
+#: Rows of one anchor that a task holds at once. An anchor with more is taken in parts, and what needs a closer
+#: look in it is compared window by window, by content, instead of run by run.
+HELD_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -144,48 +150,110 @@ def _emit_runs(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return scan
 
 
-MET = "doc_id long, place long, anchor long, sure boolean, look boolean"
+MET = "doc_id long, place long, anchor long, sure boolean, look boolean, many boolean"
+_NAMES = ["doc_id", "place", "anchor", "sure", "look", "many"]
+
+
+def _met(doc: np.ndarray, place: np.ndarray, anchor: np.ndarray, sure: np.ndarray, look: np.ndarray, more: pa.Array, many: bool) -> pa.RecordBatch | None:
+    """The rows worth keeping, with the further runs of their documents, which are sure whatever the shape."""
+    keep = np.flatnonzero(sure | look)
+    again = np.flatnonzero(np.asarray(more.is_valid()))
+    others = [np.frombuffer(x, np.int64) for x in more.take(pa.array(again)).to_pylist()]
+    mine = np.repeat(again, [len(x) for x in others])
+    rows = np.concatenate([keep, mine])
+    if not len(rows):
+        return None
+    yes, no = np.ones(len(mine), bool), np.zeros(len(mine), bool)
+    flags = [np.concatenate([sure[keep], yes]), np.concatenate([look[keep], no]), np.full(len(rows), many)]
+    return pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(np.concatenate([place[keep], *others])), pa.array(anchor[rows]), *map(pa.array, flags)], _NAMES)
 
 
 def _meet(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs sorted by anchor, class, doc_id, place -> those of repeated anchors.
 
     sure: all windows of the run are repeated. look: stands for its class where the anchor has several.
+    many: the anchor has more than HELD_ROWS runs; of it only the last row and the first are remembered
+    between parts, since a row's flags depend on its neighbours alone (and for the very first, on whether
+    any other class follows).
     """
 
+    def whole(table: pa.Table) -> pa.RecordBatch | None:
+        anchor, kind = table.column("anchor").to_numpy(), table.column("class").to_numpy()
+        head = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        first = head | np.concatenate([[True], kind[1:] != kind[:-1]])
+        group, cls = np.cumsum(head) - 1, np.cumsum(first) - 1
+        more = table.column("more").combine_chunks()
+        weight = 1 + np.asarray(more.is_valid()).astype(np.int64)
+        per_class = np.bincount(cls, weights=weight)[cls]
+        several = np.bincount(group[first], minlength=group[-1] + 1)[group] > 1
+        sure = ~first if shape.earlier else per_class > 1
+        return _met(table.column("doc_id").to_numpy(), table.column("place").to_numpy(), anchor, sure, first & several, more, False)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "anchor"):
-            anchor, kind = table.column("anchor").to_numpy(), table.column("class").to_numpy()
-            n = len(anchor)
-            head = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-            first = head | np.concatenate([[True], kind[1:] != kind[:-1]])
-            group, cls = np.cumsum(head) - 1, np.cumsum(first) - 1
-            more = table.column("more")
-            again = np.flatnonzero(more.is_valid().to_numpy())
-            weight = np.ones(n, np.int64)
-            weight[again] = 2
-            per_class = np.bincount(cls, weights=weight)[cls]
-            several = np.bincount(group[first], minlength=group[-1] + 1)[group] > 1
-            sure = ~first if shape.earlier else per_class > 1
-            look = first & several
-            keep = np.flatnonzero(sure | look)
-            doc, place = table.column("doc_id").to_numpy(), table.column("place").to_numpy()
-            others = [np.frombuffer(x, np.int64) for x in more.take(pa.array(again)).to_pylist()]
-            mine = np.repeat(again, [len(x) for x in others])
-            rows = np.concatenate([keep, mine])
-            if len(rows):
-                where = np.concatenate([place[keep], *others])
-                yes, no = np.ones(len(mine), bool), np.zeros(len(mine), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(where), pa.array(anchor[rows]), pa.array(np.concatenate([sure[keep], yes])), pa.array(np.concatenate([look[keep], no]))], ["doc_id", "place", "anchor", "sure", "look"])
+        opening, before, last = None, None, None  # first row of the first class; class before `last`; the row held back
+        for table, part in bounded_groups(batches, "anchor", HELD_ROWS):
+            if part == "whole":
+                out = whole(table)
+            else:
+                rows = pa.concat_tables([t for t in (last, table) if t is not None])
+                kind = rows.column("class").to_numpy()
+                first = np.concatenate([[before is None or kind[0] != before], kind[1:] != kind[:-1]])
+                ends = np.concatenate([kind[1:] != kind[:-1], [True]])
+                n = len(kind) if part == "end" else len(kind) - 1  # the last row waits for the next
+                more = rows.column("more").combine_chunks()
+                twice = np.asarray(more.is_valid())
+                sure = ~first if shape.earlier else ~(first & ends) | twice
+                look = first.copy()
+                if before is None:
+                    opening, look[0] = rows.slice(0, 1), False
+                elif opening is not None and first[:n].any():
+                    yield pa.RecordBatch.from_arrays([*(pa.array(opening.column(c).to_numpy()) for c in ("doc_id", "place", "anchor")), *(pa.array([x]) for x in (False, True, True))], _NAMES)
+                    opening = None
+                if before is None and first[1:n].any():
+                    look[0], opening = True, None
+                out = _met(rows.column("doc_id").to_numpy()[:n], rows.column("place").to_numpy()[:n], rows.column("anchor").to_numpy()[:n], sure[:n], look[:n], more.slice(0, n), True)
+                before = kind[n - 1] if n else before
+                last = rows.slice(n)
+                if part == "end":
+                    opening, before, last = None, None, None
+            if out is not None:
+                yield out
 
     return meet
 
 
-LOOKED = "anchor long, doc_id long, place long, sure boolean, units binary"
+#: units: of a run to look at. second: instead of units, for a single window, whose hashes are anchor and second.
+LOOKED = "anchor long, second long, doc_id long, place long, sure boolean, units binary"
+LOOKED_NAMES = ["anchor", "second", "doc_id", "place", "sure", "units"]
+
+
+def _same_windows(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Single windows sorted by their two hashes, doc_id and place -> the repeated ones. One row is held back between batches."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None
+        for batch in chain(batches, [None]):
+            rows = pa.Table.from_batches([x for x in (held, batch) if x is not None]) if held is not None or batch is not None else None
+            if rows is None or not rows.num_rows:
+                continue
+            key = np.stack([rows.column(c).to_numpy() for c in ("anchor", "second")], axis=1)
+            change = (key[1:] != key[:-1]).any(axis=1)
+            first = np.concatenate([[before is None or (key[0] != before).any()], change])
+            alone = first & np.concatenate([change, [True]])
+            n = len(key) if batch is None else len(key) - 1
+            pick = np.flatnonzero((~first if shape.earlier else ~alone)[:n])
+            if n:
+                before = key[n - 1]
+            held = rows.slice(n).combine_chunks().to_batches()[0] if n < len(key) else None
+            if len(pick):
+                lo, _, _ = unpacked(rows.column("place").to_numpy()[pick])
+                yield pa.RecordBatch.from_arrays([pa.array(rows.column("doc_id").to_numpy()[pick]), pa.array(lo), pa.array(np.ones(len(pick), np.int64))], ["doc_id", "lo", "n"])
+
+    return look
 
 
 def _fetch(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, text, looks) -> the units of each run to look at: bytes, or the 8-byte codes of words."""
+    """(doc_id, text, looks) -> the units of each run to look at (bytes, or the 8-byte codes of words), or the hashes of its windows."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,18 +264,29 @@ def _fetch(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 size = np.asarray(part.column(2).value_lengths())
                 looks = part.column(2).flatten()
                 row = np.repeat(np.arange(b - a), size)
-                place, anchor, sure = (looks.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                lo, count, _ = unpacked(place)
-                start = u.at[row] + lo
-                length = count - 1 + shape.span
-                out_off = np.concatenate([[0], np.cumsum(length)])
-                where = np.repeat(start - out_off[:-1], length) + np.arange(out_off[-1])
-                if shape.unit == "byte":
-                    flat, scale = u.data[where], 1
-                else:
-                    flat, scale = u.codes[where].view(np.uint8), 8
-                units = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((out_off * scale).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part.column(0).to_numpy()[row]), pa.array(place), pa.array(sure), units], ["anchor", "doc_id", "place", "sure", "units"])
+                place, anchor, sure, many = (looks.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                doc, many = part.column(0).to_numpy(), many.astype(bool)
+                lo, count, before = unpacked(place)
+                start, length = u.at[row] + lo, count - 1 + shape.span
+
+                def gathered(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    off = np.concatenate([[0], np.cumsum(length)])
+                    return off, np.repeat(start - off[:-1], length) + np.arange(off[-1])
+
+                few = np.flatnonzero(~many)
+                if len(few):
+                    out_off, where = gathered(start[few], length[few])
+                    flat, scale = (u.data[where], 1) if shape.unit == "byte" else (u.codes[where].view(np.uint8), 8)
+                    units = pa.Array.from_buffers(pa.binary(), len(few), [None, pa.py_buffer((out_off * scale).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[few]), pa.nulls(len(few), pa.int64()), pa.array(doc[row[few]]), pa.array(place[few]), pa.array(sure[few]), units], LOOKED_NAMES)
+                lot = np.flatnonzero(many)
+                if len(lot):
+                    _, window = gathered(start[lot], count[lot])
+                    own = np.repeat(lot, count[lot])
+                    one, two = K.grams(u.codes, shape.span), K.grams(K.mix(u.codes, 12), shape.span, K.WORD_MULT)
+                    keys = [pa.array(K.signed(K.mix(x[window], seed))) for seed, x in ((13, one), (14, two))]
+                    single = packed(window - u.at[row[own]], np.ones(len(own), np.int64), before[own] - (window - start[own]))
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(doc[row[own]]), pa.array(single), pa.array(sure[own]), pa.nulls(len(own), pa.binary())], LOOKED_NAMES)
 
     return fetch
 
@@ -242,6 +321,9 @@ def matrices(table: pa.Table, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.
     return rows(anchor_at, 1, np.minimum(after, shape.span), shape.span), np.minimum(after, shape.span), rows(anchor_at - 1, -1, before, shape.width - 1), before
 
 
+SPANS = "doc_id long, lo long, n long"
+
+
 def repeated_windows(docs: DataFrame, shape: Shape, looker: Callable[[Shape], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """(doc_id, text, repeats, copy, spans): every document with a non-null id, whether its whole text occurs
     more than once, whether it is a later copy of such a text (then it has no spans of its own), and the
@@ -258,11 +340,12 @@ def repeated_windows(docs: DataFrame, shape: Shape, looker: Callable[[Shape], Ca
     # One plan from here, so that the three joins by id read one exchange of the texts.
     runs = texts.join(settled.filter("copy").hint("merge"), "doc_id", "left_anti").select("doc_id", "text").mapInArrow(K.tidy(_emit_runs(shape)), RUN)
     met = dealt(runs, "anchor", "class", "doc_id", "place").mapInArrow(K.tidy(_meet(shape)), MET)
-    looks = met.filter("look").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor", "sure")).alias("looks"))
+    looks = met.filter("look").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor", "sure", "many")).alias("looks"))
     fetched = texts.join(looks.hint("merge"), "doc_id").select("doc_id", "text", "looks").mapInArrow(K.tidy(_fetch(shape)), LOOKED)
-    found = dealt(fetched, "anchor", "doc_id", "place").mapInArrow(K.tidy(looker(shape)), "doc_id long, lo long, n long")
+    found = dealt(fetched.filter("units IS NOT NULL"), "anchor", "doc_id", "place").mapInArrow(K.tidy(looker(shape)), SPANS)
+    same = dealt(fetched.filter("units IS NULL").select("anchor", "second", "doc_id", "place"), "anchor", "second", "doc_id", "place").mapInArrow(K.tidy(_same_windows(shape)), SPANS)
     sure = met.filter("sure").select("doc_id", F.shiftright("place", 16).alias("lo"), F.shiftright("place", 8).bitwiseAND(F.lit(255)).alias("n"))
-    spans = found.unionByName(sure).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    spans = found.unionByName(same).unionByName(sure).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     marks = spans.join(settled, "doc_id", "full").select("doc_id", "copy", "spans")
     return texts.join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", F.col("copy").isNotNull().alias("repeats"), F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
 

@@ -182,6 +182,55 @@ def test_suffix_array(docs, rows, nothing):
     assert suffix.byte_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 2, 5])
+def test_hot_anchors_are_compared_by_window(spark, monkeypatch, held):
+    import panelforge.llm.repeats as repeats
+
+    rng = random.Random(7)
+    passage = " ".join(f"p{rng.randrange(900)}" for _ in range(60))
+    texts = [f"{' '.join(f'a{rng.randrange(9**6)}' for _ in range(30))} {passage} {' '.join(f'b{rng.randrange(9**6)}' for _ in range(30))}" for _ in range(25)]
+    texts += [texts[3] + " more", "zz " + texts[4], "again " * 300, "again " * 290 + passage]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    word_want = by_id(substring.word_dedup(df))
+    monkeypatch.setattr(repeats, "HELD_ROWS", held)
+    assert spark.conf.get("spark.master").startswith("local")
+    for shape, look in ((repeats.Shape("byte", 100, 24, True), suffix._look), (repeats.Shape("word", 35, 16, False), substring._look)):
+        runs = []
+        for i, t in rows:
+            u = repeats.Units(pa.array([t]), shape.unit)
+            runs.append(u)
+        batches = list(repeats._emit_runs(shape)(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array(texts)], ["doc_id", "text"])])))
+        table = pa.Table.from_batches(batches).sort_by([(c, "ascending") for c in ("anchor", "class", "doc_id", "place")])
+        for size in (1, 3, 1000):
+            met = pa.Table.from_batches(list(repeats._meet(shape)(iter(table.to_batches(size)))))
+            looks = collections.defaultdict(list)
+            spans = collections.defaultdict(set)
+            for r in met.to_pylist():
+                if r["look"]:
+                    looks[r["doc_id"]].append({k: r[k] for k in ("place", "anchor", "sure", "many")})
+                if r["sure"]:
+                    lo, n, _ = repeats.unpacked(np.array([r["place"]]))
+                    spans[r["doc_id"]] |= set(range(int(lo[0]), int(lo[0] + n[0])))
+            kind = pa.list_(pa.struct([("place", pa.int64()), ("anchor", pa.int64()), ("sure", pa.bool_()), ("many", pa.bool_())]))
+            docs = pa.RecordBatch.from_arrays([pa.array([i for i in looks]), pa.array([texts[i] for i in looks]), pa.array(list(looks.values()), kind)], ["doc_id", "text", "looks"])
+            fetched = pa.Table.from_batches(list(repeats._fetch(shape)(iter([docs]))))
+            by_key = [(c, "ascending") for c in ("anchor", "second", "doc_id", "place")]
+            few, lot = (fetched.filter(m).sort_by(by_key) for m in (fetched["units"].is_valid(), fetched["units"].is_null()))
+            assert lot.num_rows > 0 or size > 1
+            for out in (*look(shape)(iter(few.to_batches())), *repeats._same_windows(shape)(iter(lot.to_batches(size)))):
+                for r in out.to_pylist():
+                    spans[r["doc_id"]] |= set(range(r["lo"], r["lo"] + r["n"]))
+            for i, t in rows:
+                units = list(t.encode()) if shape.unit == "byte" else blank_words(t)
+                gone = {p for s in spans[i] for p in range(s, s + shape.span)}
+                if shape.unit == "byte":
+                    want = bytes_brute(rows)[i][1]
+                else:
+                    want = word_want[i]["n_removed"]
+                assert len(gone) == want, (shape.unit, size, i, len(units))
+
+
 def test_long_texts_go_in_segments(spark, rows, monkeypatch):
     import panelforge.llm.repeats as repeats
 
