@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm import kernels as K
-from panelforge.llm.groups import components, dealt, whole_groups
+from panelforge.llm.groups import bounded_groups, components, dealt, whole_groups
 from panelforge.llm.skew import lookup
 from panelforge.llm.storage import small_batches, stored
 
@@ -23,6 +23,8 @@ SIDE, ROWS = 8, 2
 LOOSE, TIGHT = 13, 8
 #: Documents and shingles of a family of candidates that one task takes; larger families are cut in blocks.
 FAMILY_DOCS, FAMILY_SHINGLES = 4096, 4_000_000
+#: Rows of one bucket that a task holds at once; a larger bucket is taken in portions.
+HELD_ROWS = 1_000_000
 
 _SEEDS = K.mix(np.arange(2 * SIDE * ROWS * 2, dtype=np.uint64), 77)
 _XOR, _MUL = _SEEDS[::2], _SEEDS[1::2] | K.U(1)
@@ -100,44 +102,82 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> K.U(1)) & K.U(0x5555555555555555))
 
 
+class Bucket:
+    """Ties a bucket's members through leaders, so that each part of the bucket is a tree of edges, never all pairs.
+
+    A member that differs from all leaders by more than TIGHT becomes one. Members within LOOSE of a leader
+    are in its part, and parts that share a member are one. Two documents over the threshold end in the same
+    part: one of them is tight to a leader, and the other is then within LOOSE of that leader. Members may
+    come in any number of portions; only the leaders are remembered between them.
+    """
+
+    def __init__(self) -> None:
+        self.docs: list[int] = []
+        self.sketches: list[np.uint64] = []
+
+    def tie(self, doc: np.ndarray, sketch: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Edges as (documents, other) of this portion."""
+        edges: list[tuple[np.ndarray, int]] = []
+        part = np.full(len(doc), -1)  # the leader, by number, that stands for a member's part
+        free = np.ones(len(doc), bool)
+        k = 0
+        while k < len(self.docs) or free.any():
+            if k == len(self.docs):
+                j = int(np.argmax(free))
+                free[j] = False
+                self.docs.append(int(doc[j]))
+                self.sketches.append(sketch[j])
+            lead = self.docs[k]
+            d = _differ(sketch, self.sketches[k])
+            near = d <= LOOSE
+            joined = np.unique(part[near & (part >= 0)])
+            others = np.concatenate([doc[near & (part < 0)], np.array([self.docs[i] for i in joined], np.int64)])
+            edges.append((others[others != lead], lead))
+            part[near | np.isin(part, joined)] = k
+            free &= d > TIGHT
+            k += 1
+        return edges
+
+
+def _pairs(edges: list[tuple[np.ndarray, int | np.ndarray]]) -> pa.RecordBatch | None:
+    a = np.concatenate([x for x, _ in edges]) if edges else np.zeros(0, np.int64)
+    if not len(a):
+        return None
+    b = np.concatenate([np.broadcast_to(y, len(x)) for x, y in edges])
+    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) that join each bucket's members through its leaders: a tree for each part, never all pairs.
+    """Edges (a, b) that join the members of each bucket; rows are sorted by key and document, so the first leads.
 
-    The first member leads. A member that differs from all leaders by more than TIGHT becomes one. Members
-    within LOOSE of a leader are in its part, and parts that share a member are one, so two documents over
-    the threshold end in the same part.
+    Buckets whose members are all like the first, nearly all of them, are done without a loop.
     """
-    for table in whole_groups(batches, "key"):
+    large = Bucket()
+    for table, kind in bounded_groups(batches, "key", HELD_ROWS):
+        if kind == "end":
+            large = Bucket()
+            continue
         key, doc, sketch = (table.column(c).to_numpy() for c in ("key", "doc", "sketch"))
         sketch = sketch.view(np.uint64)
+        if kind == "part":
+            out = _pairs(large.tie(doc, sketch))
+            if out is not None:
+                yield out
+            continue
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([start, [len(key)]]))
         lead = np.repeat(start, size)
         diff = _differ(sketch, sketch[lead])
-        tied = diff <= LOOSE
-        own = tied & (doc != doc[lead])
-        a, b = [doc[own]], [doc[lead[own]]]
-        loose = np.add.reduceat(diff > TIGHT, start)
-        for g in np.flatnonzero(loose > 1).tolist():  # some may be like each other, though not like the leader
+        mixed = np.add.reduceat(diff > TIGHT, start) > 1
+        plain = (diff <= LOOSE) & (doc != doc[lead]) & ~np.repeat(mixed, size)
+        edges: list[tuple[np.ndarray, int | np.ndarray]] = [(doc[plain], doc[lead[plain]])]
+        for g in np.flatnonzero(mixed).tolist():
             s, e = int(start[g]), int(start[g] + size[g])
-            part = np.where(tied[s:e], 0, -1)  # the leader that stands for a member's part of the bucket
-            free = diff[s:e] > TIGHT
-            while free.any():
-                j = int(np.argmax(free))
-                d = _differ(sketch[s:e], sketch[s + j])
-                near = d <= LOOSE
-                joined = np.unique(part[near & (part >= 0)])
-                fresh = np.flatnonzero(near & (part < 0))
-                other = np.concatenate([joined, fresh])
-                other = other[doc[s + other] != doc[s + j]]
-                a.append(doc[s + other])
-                b.append(np.full(len(other), doc[s + j]))
-                part[near | np.isin(part, joined)] = j
-                free &= d > TIGHT
-                free[j] = False
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            edges += Bucket().tie(doc[s:e], sketch[s:e])
+        out = _pairs(edges)
+        if out is not None:
+            yield out
 
 
 def linked(docs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

@@ -135,6 +135,23 @@ def test_minhash_links_are_exact(docs, rows, nothing, percent):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_large_buckets_are_taken_in_portions(docs, monkeypatch):
+    want = by_id(minhash.near_duplicates(docs))
+    monkeypatch.setattr(minhash, "HELD_ROWS", 2)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 3).astype(np.uint64)
+    sketch = np.array([base[i % 3] ^ np.uint64(1 << (i % 5)) for i in range(30)])
+    table = pa.Table.from_arrays([pa.array([7] * 30), pa.array(range(30)), pa.array(kernels.signed(sketch))], ["key", "doc", "sketch"])
+    for size in (1, 4, 100):
+        root = list(range(30))
+        find = lambda x: x if root[x] == x else find(root[x])
+        edges = [r for b in minhash._candidates(iter(table.to_batches(size))) for r in b.to_pylist()]
+        for r in edges:
+            root[find(r["a"])] = find(r["b"])
+        assert len(edges) < 60 and all((find(i) == find(j)) == (i % 3 == j % 3) for i in range(30) for j in range(30))
+    assert by_id(minhash.near_duplicates(docs)) == want
+
+
 def test_large_families_are_cut_in_blocks(spark, monkeypatch):
     rng = random.Random(1)
     base = [f"t{rng.randrange(5000)}" for _ in range(200)]
