@@ -84,7 +84,7 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 
 
 def split_list(text: Column, mark: str = ";") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), mark), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def volume_bounds(low: Column, high: Column, total: Column, factor: float) -> tuple[Column, Column]:
