@@ -102,7 +102,7 @@ def best_k(t: Tables) -> DataFrame:
 
 @query("q306_window_features")
 def window_features(t: Tables) -> DataFrame:
-    hourly = t.events.groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.avg("value").alias("v"))
-    day = G.tiles(hourly, "event_type", "hour", "v", 86400, 24).withColumn("rate", F.lit(24.0))
-    f = G.featured(day, ["event_type", "start"], "samples", "rate")
-    return f.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), *[F.round(c, 8).alias(c) for c in G.FEATURES])
+    hourly = t.events.groupBy((F.col("event_id") * 0).alias("unit"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.avg("value").alias("v"))
+    day = G.tiles(hourly, "unit", "hour", "v", 86400, 24).withColumn("rate", F.lit(24.0))
+    f = G.featured(day, ["unit", "start"], "samples", "rate")
+    return f.select("unit", F.col("start").cast("timestamp_ntz").alias("start"), *[F.round(c, 8).alias(c) for c in G.FEATURES])
