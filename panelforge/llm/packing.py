@@ -210,9 +210,9 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     per_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = stored(per_task.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "bases")
+    base = per_task.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     counts = np.zeros(capacity + 1, np.int64)
-    for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["length"]] = r["n"]
     slots = _slots(plan(counts, capacity)).sort_values(["length", "first"])
     by = {int(k): v.to_numpy() for k, v in slots.groupby("length")[["first", "many", "sequence", "at"]]}
