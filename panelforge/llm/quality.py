@@ -82,21 +82,23 @@ def evidence(ids: np.ndarray, row: np.ndarray, grade: np.ndarray, grades: int) -
     return out
 
 
-def fit(ids: np.ndarray, off: np.ndarray, grade: np.ndarray, grades: int = GRADES, rounds: int = 400, rate: float = 0.05, ridge: float = 3e-4, least_z: float | None = None) -> OrdinalModel:
+def fit(ids: np.ndarray, off: np.ndarray, grade: np.ndarray, grades: int = GRADES, rounds: int = 400, rate: float = 0.05, ridge: float = 3e-4, least_z: float | None = None, most_weight: float | None = None) -> OrdinalModel:
     """Maximum likelihood by Adam over all rows each round; thresholds stay ordered as sums of positive gaps.
 
     A feature takes part if its presence differs across some grade boundary by least_z standard errors or
     more (by default sqrt(rows) / 12, from 3 to 10), so that words seen by chance in a few rated texts get no weight. Grades weigh alike in sum, up to
-    a factor of 4 against the commonest. Grades may be absent.
+    a factor of most_weight against the commonest (by default 1 + rows / 1000, up to 4: with few rated texts
+    to learn from, a text without evidence against it passes). Grades may be absent.
     """
     n, row = len(grade), K.row_of(off).astype(np.int32)
     least_z = min(10.0, max(3.0, n**0.5 / 12)) if least_z is None else least_z
+    most_weight = min(4.0, 1 + n / 1000) if most_weight is None else most_weight
     z = evidence(ids, row, grade, grades)
     used = z[ids] >= least_z
     kept, at = np.unique(ids[used], return_inverse=True)
     row = row[used]
     have = np.bincount(grade, minlength=grades)
-    weight = np.minimum(have.max() / np.maximum(have, 1), 4.0)[grade]
+    weight = np.minimum(have.max() / np.maximum(have, 1), most_weight)[grade]
     weight = weight / weight.sum()
     w = np.zeros(len(kept))
     free = np.concatenate([[-1.0], np.zeros(grades - 2)])
