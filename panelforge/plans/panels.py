@@ -11,8 +11,12 @@ from panelforge.plans.registry import Tables, query
 DAILY_SQL = "daily AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1)"
 
 
-def daily_orders(t: Tables) -> DataFrame:
-    return t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("v"), F.count(F.lit(1)).alias("n"))
+def daily_orders(t: Tables, first: str | None = None, before: str | None = None) -> DataFrame:
+    """Daily means; the bounds are on the stored column, so they reach the scan."""
+    rows = t.orders
+    rows = rows if first is None else rows.filter(F.col("o_orderdate") >= first)
+    rows = rows if before is None else rows.filter(F.col("o_orderdate") < before)
+    return rows.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("v"), F.count(F.lit(1)).alias("n"))
 
 
 @query("q128_daily_mean", f"WITH {DAILY_SQL} SELECT day, round(v, 6) AS mean_value, n FROM daily")
@@ -134,9 +138,14 @@ ZSCORE_SQL = f"""{DAILY_SQL}, target AS (SELECT * FROM daily WHERE year(day) = 2
     scored AS (SELECT t.day, t.v, count(b.v) AS n, avg(b.v) AS m, stddev_samp(b.v) AS s FROM target t LEFT JOIN base b ON abs(dayofyear(b.day) - dayofyear(t.day)) <= 3 GROUP BY 1, 2)"""
 
 
+def target_and_base(t: Tables) -> tuple[DataFrame, DataFrame]:
+    one = F.lit(1)
+    return daily_orders(t, "2000-01-01", "2001-01-01").withColumn("unit", one), daily_orders(t, None, "2000-01-01").withColumn("unit", one)
+
+
 def zscores(t: Tables) -> DataFrame:
-    d = daily_orders(t).withColumn("unit", F.lit(1))
-    m = W.doy_moments(d.filter(F.year("day") == 2000), d.filter(F.year("day") < 2000), ["unit"], "day", "v", 3)
+    target, base = target_and_base(t)
+    m = W.doy_moments(target, base, ["unit"], "day", "v", 3)
     return m.withColumn("z", W.zscore(F.col("v"), F.col("base_mean"), F.col("base_std"), F.col("base_n"), 5, 0.0))
 
 
@@ -154,8 +163,8 @@ def control_counts(t: Tables) -> DataFrame:
     SELECT t.day, count(*) AS base_n, round(50.0 * (count(*) FILTER (b.v < t.v) + count(*) FILTER (b.v <= t.v) + (count(*) FILTER (b.v < t.v) < count(*) FILTER (b.v <= t.v))::INT) / count(*), 6) AS percentile
     FROM target t JOIN base b ON abs(dayofyear(b.day) - dayofyear(t.day)) <= 3 GROUP BY t.day""")
 def percentile_rank(t: Tables) -> DataFrame:
-    d = daily_orders(t).withColumn("unit", F.lit(1))
-    p = W.doy_pairs(d.filter(F.year("day") == 2000).select("unit", "day", "v"), d.filter(F.year("day") < 2000), ["unit"], "day", "v", 3)
+    target, base = target_and_base(t)
+    p = W.doy_pairs(target.select("unit", "day", "v"), base, ["unit"], "day", "v", 3)
     lt, le = F.sum(F.when(F.col("base") < F.col("v"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("base") <= F.col("v"), F.col("n")).otherwise(0))
     return p.groupBy("day").agg(F.sum("n").alias("base_n"), F.round(50.0 * (lt + le + (lt < le).cast("int")) / F.sum("n"), 6).alias("percentile"))
 
@@ -163,8 +172,8 @@ def percentile_rank(t: Tables) -> DataFrame:
 @query("q191_exceedance", f"""WITH {DAILY_SQL}, target AS (SELECT * FROM daily WHERE year(day) = 2000), base AS (SELECT * FROM daily WHERE year(day) < 2000)
     SELECT t.day, round(quantile_cont(b.v, 0.95), 6) AS p95, t.v > quantile_cont(b.v, 0.95) AS above_p95, t.v > quantile_cont(b.v, 0.99) AS above_p99 FROM target t JOIN base b ON abs(dayofyear(b.day) - dayofyear(t.day)) <= 3 GROUP BY t.day, t.v""")
 def exceedance(t: Tables) -> DataFrame:
-    d = daily_orders(t).withColumn("unit", F.lit(1))
-    p = W.doy_pairs(d.filter(F.year("day") == 2000).select("unit", "day", "v"), d.filter(F.year("day") < 2000), ["unit"], "day", "v", 3)
+    target, base = target_and_base(t)
+    p = W.doy_pairs(target.select("unit", "day", "v"), base, ["unit"], "day", "v", 3)
     g = p.groupBy("day", "v").agg(F.percentile("base", F.array(F.lit(0.95), F.lit(0.99)), F.col("n")).alias("q"))
     return g.select("day", F.round(F.col("q")[0], 6).alias("p95"), (F.col("v") > F.col("q")[0]).alias("above_p95"), (F.col("v") > F.col("q")[1]).alias("above_p99"))
 
