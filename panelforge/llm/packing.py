@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             _, off = K.text_buffers(batch.column(1))
-            for a, b in K.slices(off):
+            for a, b in K.slices(off, 4_000_000):  # many texts at once, so that each chunk is looked up once for all
                 ids = batch.column(0).slice(a, b - a).to_pylist()
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 rows: list[tuple] = []
