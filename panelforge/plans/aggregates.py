@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import windows as W
 from panelforge.operators.grids import candidate_order
-from panelforge.plans.panels import DAILY_SQL, UNIT_SQL, daily_orders, unit_daily
+from panelforge.plans.panels import DAILY_SQL, EVENT_SQL, UNIT_SQL, daily_orders, event_days, unit_daily
 from panelforge.plans.registry import Tables, query
 
 
@@ -31,9 +31,19 @@ def reason_lists(t: Tables) -> DataFrame:
 
 @query("q151_occupancy", "WITH c AS (SELECT p_size % 7 AS label, count(*) AS n FROM part WHERE p_size % 7 < 5 GROUP BY 1) SELECT CAST(l AS INT) AS label, round(coalesce(n, 0) / (SELECT sum(n) FROM c), 10) AS share FROM range(7) r(l) LEFT JOIN c ON label = l")
 def occupancy(t: Tables) -> DataFrame:
-    c = t.part.filter("p_size % 7 < 5").groupBy((F.col("p_size") % 7).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return occupied(t, t.part.filter("p_size % 7 < 5"), 7)
+
+
+@query("q151_occupancy_all", "WITH c AS (SELECT p_size % 7 AS label, count(*) AS n FROM part GROUP BY 1) SELECT CAST(l AS INT) AS label, round(coalesce(n, 0) / (SELECT sum(n) FROM c), 10) AS share FROM range(9) r(l) LEFT JOIN c ON label = l")
+def occupancy_all(t: Tables) -> DataFrame:
+    """Labels 7 and 8 are in the spine and occur nowhere."""
+    return occupied(t, t.part, 9)
+
+
+def occupied(t: Tables, part: DataFrame, labels: int) -> DataFrame:
+    c = part.groupBy((F.col("p_size") % 7).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     total = c.agg(F.sum("n").alias("all"))
-    spine = t.spark.range(7).select(F.col("id").cast("int").alias("label"))
+    spine = t.spark.range(labels).select(F.col("id").cast("int").alias("label"))
     return spine.join(c, "label", "left").join(F.broadcast(total)).select("label", F.round(F.coalesce("n", F.lit(0)) / F.col("all"), 10).alias("share"))
 
 
@@ -59,7 +69,15 @@ def reference_state(t: Tables) -> DataFrame:
 
 @query("q197_washout", f"WITH {UNIT_SQL}, e AS (SELECT DISTINCT l_returnflag AS unit, CAST(l_shipdate AS DATE) AS event_day FROM lineitem WHERE l_orderkey % 997 = 0) SELECT u.unit, count(*) AS kept FROM unit_daily u WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.unit = u.unit AND u.day BETWEEN e.event_day - 7 AND e.event_day + 7) GROUP BY 1")
 def washout(t: Tables) -> DataFrame:
-    e = t.lineitem.filter("l_orderkey % 997 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("d"))
+    return washed(t, t.lineitem.filter("l_orderkey % 997 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("d")))
+
+
+@query("q197_washout_all", f"WITH {UNIT_SQL}, {EVENT_SQL} SELECT u.unit, count(*) AS kept FROM unit_daily u WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.unit = u.unit AND u.day BETWEEN e.event_day - 7 AND e.event_day + 7) GROUP BY 1")
+def washout_all(t: Tables) -> DataFrame:
+    return washed(t, event_days(t).withColumnRenamed("event_day", "d"))
+
+
+def washed(t: Tables, e: DataFrame) -> DataFrame:
     near = e.select("unit", F.explode(F.sequence(F.date_sub("d", 7), F.date_add("d", 7))).alias("day")).distinct()
     return unit_daily(t).join(near, ["unit", "day"], "left_anti").groupBy("unit").agg(F.count(F.lit(1)).alias("kept"))
 
@@ -112,8 +130,16 @@ def graph_checks(t: Tables) -> DataFrame:
 
 @query("q287_case_crossover", f"WITH {UNIT_SQL}, e AS (SELECT DISTINCT l_returnflag AS unit, CAST(l_shipdate AS DATE) AS event_day FROM lineitem WHERE l_orderkey % 997 = 0) SELECT e.unit, event_day, count(*) AS controls, round(avg(v), 6) AS control_mean FROM e JOIN unit_daily u ON u.unit = e.unit AND month(u.day) = month(event_day) AND year(u.day) <> year(event_day) GROUP BY 1, 2")
 def crossover(t: Tables) -> DataFrame:
+    return crossed(t, t.lineitem.filter("l_orderkey % 997 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("event_day")).distinct())
+
+
+@query("q287_case_crossover_all", f"WITH {UNIT_SQL}, {EVENT_SQL} SELECT e.unit, event_day, count(*) AS controls, round(avg(v), 6) AS control_mean FROM e JOIN unit_daily u ON u.unit = e.unit AND month(u.day) = month(event_day) AND year(u.day) <> year(event_day) GROUP BY 1, 2")
+def crossover_all(t: Tables) -> DataFrame:
+    return crossed(t, event_days(t))
+
+
+def crossed(t: Tables, e: DataFrame) -> DataFrame:
     """Controls are summed by unit, month and year first; an event takes its month's sums less its own year's."""
-    e = t.lineitem.filter("l_orderkey % 997 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("event_day")).distinct()
     m = unit_daily(t).groupBy("unit", F.month("day").alias("m"), F.year("day").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
     j = e.join(F.broadcast(m), (e.unit == m.unit) & (F.month("event_day") == F.col("m")) & (F.year("event_day") != F.col("y"))).drop(m.unit)
     return j.groupBy("unit", "event_day").agg(F.sum("n").alias("controls"), F.round(F.sum("s") / F.sum("n"), 6).alias("control_mean"))

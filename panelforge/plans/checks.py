@@ -97,8 +97,24 @@ def gap_summary(t: Tables) -> DataFrame:
 @query("q312_distance_zones", """WITH RECURSIVE p AS (SELECT s_suppkey AS id, ((s_suppkey * 7919) % 1000) / 10.0 AS x, ((s_suppkey * 104729) % 1000) / 10.0 AS y FROM supplier WHERE s_suppkey <= 200), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 5),
     r AS (SELECT id AS node, id AS root FROM p UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a) SELECT node, min(root) AS zone FROM r GROUP BY 1""")
 def zones(t: Tables) -> DataFrame:
-    k = F.col("s_suppkey")
-    p = t.supplier.filter(k <= 200).select(k.alias("id"), (((k * 7919) % 1000) / 10.0).alias("x"), (((k * 104729) % 1000) / 10.0).alias("y"))
+    return zoned(placed(t.supplier.filter("s_suppkey <= 200")))
+
+
+@query("q312_distance_zones_all")
+def zones_all(t: Tables) -> DataFrame:
+    """Points of one place are one zone, so each place takes part once, by its smallest id: pairs grow with places, not with points."""
+    p = placed(t.supplier)
+    places = p.groupBy("x", "y").agg(F.min("id").alias("id"))
+    zone = zoned(places.select("id", "x", "y")).join(places, F.col("node") == F.col("id")).select("x", "y", "zone")
+    return p.join(zone, ["x", "y"]).select(F.col("id").alias("node"), "zone")
+
+
+def placed(supplier: DataFrame) -> DataFrame:
+    k = F.col("s_suppkey").cast("long")
+    return supplier.select(F.col("s_suppkey").alias("id"), (((k * 7919) % 1000) / 10.0).alias("x"), (((k * 104729) % 1000) / 10.0).alias("y"))
+
+
+def zoned(p: DataFrame) -> DataFrame:
     off = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     at = p.withColumns({"gx": F.floor(F.col("x") / 5), "gy": F.floor(F.col("y") / 5)})
     near = at.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "gx", "gy", off.alias("o")).select("b", "bx", "by", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))

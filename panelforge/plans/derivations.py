@@ -121,7 +121,16 @@ def denylist(t: Tables) -> DataFrame:
 
 @query("q104_verified_binding", "SELECT o_orderkey, c_name, md5(c_name) = md5('Customer#' || o_custkey::VARCHAR) AS matches FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0")
 def binding(t: Tables) -> DataFrame:
-    j = t.orders.filter("o_orderkey % 7 = 0").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return bound(t.orders.filter("o_orderkey % 7 = 0"), t.customer)
+
+
+@query("q104_verified_binding_all", "SELECT o_orderkey, c_name, md5(c_name) = md5('Customer#' || o_custkey::VARCHAR) AS matches FROM orders JOIN customer ON o_custkey = c_custkey")
+def binding_all(t: Tables) -> DataFrame:
+    return bound(t.orders, t.customer)
+
+
+def bound(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    j = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     want = F.md5(F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")).cast("binary"))
     return j.select("o_orderkey", "c_name", (F.md5(F.col("c_name").cast("binary")) == want).alias("matches"))
 

@@ -98,6 +98,16 @@ def unit_daily(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("v"))
 
 
+#: Event days by the panel alone: a unit's days more than two standard deviations over its mean.
+EVENT_SQL = "e AS (SELECT unit, day AS event_day FROM (SELECT *, avg(v) OVER u AS m, stddev_samp(v) OVER u AS s FROM unit_daily WINDOW u AS (PARTITION BY unit)) WHERE v > m + 2 * s)"
+
+
+def event_days(t: Tables) -> DataFrame:
+    daily = unit_daily(t)
+    m = daily.groupBy("unit").agg((F.avg("v") + 2 * F.stddev_samp("v")).alias("least"))
+    return daily.join(F.broadcast(m), "unit").filter("v > least").select("unit", F.col("day").alias("event_day"))
+
+
 @query("q185_rolling_mean_and_change", f"""WITH {UNIT_SQL}, l AS (SELECT *, coalesce((day - lag(day) OVER (PARTITION BY unit ORDER BY day) <> 1)::INT, 1) AS gap FROM unit_daily),
     r AS (SELECT *, sum(gap) OVER (PARTITION BY unit ORDER BY day) AS run FROM l)
     SELECT unit, day, CASE WHEN count(v) OVER w = 7 THEN round(avg(v) OVER w, 4) END AS mean7, round(v - lag(v, 3) OVER (PARTITION BY unit, run ORDER BY day), 4) AS change3
@@ -186,7 +196,16 @@ def midrank(t: Tables) -> DataFrame:
 @query("q199_antecedent_window", f"""WITH {UNIT_SQL}, e AS (SELECT l_returnflag AS unit, CAST(l_shipdate AS DATE) AS event_day FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY 1, 2)
     SELECT e.unit, event_day, round(sum(v), 4) AS exposure, round(avg(v), 6) AS mean_value FROM e JOIN unit_daily d ON d.unit = e.unit AND d.day BETWEEN event_day - 10 AND event_day - 4 GROUP BY 1, 2 HAVING count(*) = 7""")
 def antecedent(t: Tables) -> DataFrame:
-    e = t.lineitem.filter("l_orderkey % 97 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("event_day")).distinct()
+    return antecedents(t, t.lineitem.filter("l_orderkey % 97 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("event_day")).distinct())
+
+
+@query("q199_antecedent_window_all", f"""WITH {UNIT_SQL}, {EVENT_SQL}
+    SELECT e.unit, event_day, round(sum(v), 4) AS exposure, round(avg(v), 6) AS mean_value FROM e JOIN unit_daily d ON d.unit = e.unit AND d.day BETWEEN event_day - 10 AND event_day - 4 GROUP BY 1, 2 HAVING count(*) = 7""")
+def antecedent_all(t: Tables) -> DataFrame:
+    return antecedents(t, event_days(t))
+
+
+def antecedents(t: Tables, e: DataFrame) -> DataFrame:
     wide = e.withColumn("day", F.explode(F.sequence(F.date_sub("event_day", 10), F.date_sub("event_day", 4))))
     g = wide.join(unit_daily(t), ["unit", "day"]).groupBy("unit", "event_day").agg(F.round(F.sum("v"), 4).alias("exposure"), F.round(F.avg("v"), 6).alias("mean_value"), F.count(F.lit(1)).alias("k"))
     return g.filter("k = 7").drop("k")
@@ -210,8 +229,17 @@ def cadence(t: Tables) -> DataFrame:
     e AS (SELECT DISTINCT l_returnflag AS unit, CAST(l_shipdate AS DATE) AS event_day FROM lineitem WHERE l_orderkey % 97 = 0)
     SELECT CAST(lag AS INT) AS lag, count(*) AS n, round(avg(pct), 6) AS mean_pct FROM e CROSS JOIN range(-17, 4) r(lag) JOIN p ON p.unit = e.unit AND p.day = event_day + CAST(lag AS INT) GROUP BY 1""")
 def superposed(t: Tables) -> DataFrame:
+    return superposed_on(t, t.lineitem.filter("l_orderkey % 97 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("event_day")).distinct())
+
+
+@query("q205_superposed_epoch_all", f"""WITH {UNIT_SQL}, p AS (SELECT *, 100.0 * (rank() OVER (PARTITION BY unit ORDER BY v) - 1 + 0.5 * count(*) OVER (PARTITION BY unit, v)) / count(*) OVER (PARTITION BY unit) AS pct FROM unit_daily), {EVENT_SQL}
+    SELECT CAST(lag AS INT) AS lag, count(*) AS n, round(avg(pct), 6) AS mean_pct FROM e CROSS JOIN range(-17, 4) r(lag) JOIN p ON p.unit = e.unit AND p.day = event_day + CAST(lag AS INT) GROUP BY 1""")
+def superposed_all(t: Tables) -> DataFrame:
+    return superposed_on(t, event_days(t))
+
+
+def superposed_on(t: Tables, e: DataFrame) -> DataFrame:
     p = unit_daily(t).withColumn("pct", W.midrank("v", ["unit"]))
-    e = t.lineitem.filter("l_orderkey % 97 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("event_day")).distinct()
     lags = e.withColumn("lag", F.explode(F.sequence(F.lit(-17), F.lit(3)))).withColumn("day", F.expr("date_add(event_day, lag)"))
     return lags.join(p, ["unit", "day"]).groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pct"), 6).alias("mean_pct"))
 

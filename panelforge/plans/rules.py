@@ -22,7 +22,17 @@ def calendar(t: Tables) -> DataFrame:
 @query("q354_continuous_axis", """WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, sum(value) AS v FROM events WHERE user_id <= 20 GROUP BY 1, 2), c AS (SELECT DISTINCT user_id, CAST(d AS DATE) AS day FROM h, (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE))::TIMESTAMP FROM events), (SELECT max(CAST(ts AS DATE))::TIMESTAMP FROM events), INTERVAL 1 DAY)) AS d))
     SELECT user_id, day, CASE WHEN n >= 2 THEN round(v, 6) END AS total FROM c LEFT JOIN h USING (user_id, day)""")
 def continuous(t: Tables) -> DataFrame:
-    h = t.events.filter("user_id <= 20").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    return on_axis(t, t.events.filter("user_id <= 20"))
+
+
+@query("q354_continuous_axis_all", """WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2), c AS (SELECT user_id, CAST(d AS DATE) AS day FROM (SELECT DISTINCT user_id FROM h), (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE))::TIMESTAMP FROM events), (SELECT max(CAST(ts AS DATE))::TIMESTAMP FROM events), INTERVAL 1 DAY)) AS d))
+    SELECT user_id, day, CASE WHEN n >= 2 THEN round(v, 6) END AS total FROM c LEFT JOIN h USING (user_id, day)""")
+def continuous_all(t: Tables) -> DataFrame:
+    return on_axis(t, t.events)
+
+
+def on_axis(t: Tables, events: DataFrame) -> DataFrame:
+    h = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
     ends = t.events.agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
     c = h.select("user_id").distinct().join(F.broadcast(ends)).select("user_id", F.explode(F.sequence("a", "b")).alias("day"))
     return c.join(h, ["user_id", "day"], "left").select("user_id", "day", F.when(F.col("n") >= 2, F.round("v", 6)).alias("total"))
@@ -151,7 +161,16 @@ def logit(t: Tables) -> DataFrame:
 
 @query("q461_date_ranges", "SELECT o_orderkey, CAST(d AS DATE) AS day FROM (SELECT o_orderkey, unnest(generate_series(CAST(o_orderdate AS DATE)::TIMESTAMP, (CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 - 1 AS INT))::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM orders WHERE o_orderkey % 50 = 1)")
 def date_ranges(t: Tables) -> DataFrame:
-    o = t.orders.filter("o_orderkey % 50 = 1").select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.expr("date_add(o_orderdate, CAST(o_orderkey % 4 - 1 AS INT))").alias("b"))
+    return expanded(t.orders.filter("o_orderkey % 50 = 1"))
+
+
+@query("q461_date_ranges_all", "SELECT o_orderkey, CAST(d AS DATE) AS day FROM (SELECT o_orderkey, unnest(generate_series(CAST(o_orderdate AS DATE)::TIMESTAMP, (CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 - 1 AS INT))::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM orders)")
+def date_ranges_all(t: Tables) -> DataFrame:
+    return expanded(t.orders)
+
+
+def expanded(orders: DataFrame) -> DataFrame:
+    o = orders.select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.expr("date_add(o_orderdate, CAST(o_orderkey % 4 - 1 AS INT))").alias("b"))
     return o.filter("a <= b").select("o_orderkey", F.explode(F.sequence("a", "b")).alias("day"))
 
 
