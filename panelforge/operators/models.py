@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,22 +98,238 @@ def mixture(x: np.ndarray, k: int, family: str, seed: int, rounds: int = 200, fl
     return resp.argmax(1), means, before, False
 
 
-def mixture_sweep(points: DataFrame, features: list[str], ks: list[int], seeds: list[int], family: str = "diag") -> DataFrame:
-    """(k, seed, bic, aic, converged): one task for each k and seed over the same bounded sample of points.
+def _kept(points: DataFrame) -> DataFrame:
+    """points stored once for many passes, in the shared folder if there is one."""
+    spark = points.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        import tempfile
 
-    points: the rows to fit, as many as one worker may hold; sample before if need be.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelforge-"))
+    return points.checkpoint()
+
+
+def _pass(points: DataFrame, each: Callable[[np.ndarray, np.ndarray], np.ndarray], merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """each(keys, x) of every batch of points (key, x), merged within partitions, then by sixteenths, then in all."""
+
+    def fold(found: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        total = reduce(merge, found, None)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["v"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fold(each(b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (np.asarray(v) for b in batches for v in b.column("v").to_pylist())
+
+    parts = points.select("key", "x").mapInArrow(scan, "v array<double>")
+    if points.rdd.getNumPartitions() > 64:
+        parts = parts.withColumn("part", F.spark_partition_id()).repartition(16, "part").select("v").mapInArrow(lambda batches: fold(rows(batches)), "v array<double>")
+    return reduce(merge, sorted((np.asarray(r["v"]) for r in parts.collect()), key=tuple))
+
+
+def _add(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    return b if a is None else a + b
+
+
+def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in (0, 1) from keys and salt alone."""
+    with np.errstate(over="ignore"):
+        z = keys.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(times)
+    return ((z >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+
+
+def _starts(points: DataFrame, ks: list[int], salts: list[int], d: int) -> list[np.ndarray]:
+    """For each job its k first centres by k-means++ over all rows.
+
+    A row is drawn with a probability in proportion to its squared distance from the centres so far: the
+    least of -log(u) / distance wins, u being hashed from the row's key, so one pass draws for all jobs.
     """
-    jobs = [F.struct(F.lit(k).alias("k"), F.lit(s).alias("seed")) for k in ks for s in seeds]
-    spread = points.select(*[F.col(c).cast("double") for c in features], F.explode(F.array(*jobs)).alias("j")).select(*features, "j.k", "j.seed")
+    centres: list[np.ndarray] = [np.empty((0, d)) for _ in ks]
+    for step in range(max(ks)):
+        now = [j for j, k in enumerate(ks) if k > step]
+
+        def each(keys: np.ndarray, x: np.ndarray, now: list[int] = now, step: int = step) -> np.ndarray:
+            out = []
+            for j in now:
+                far = _squares(x, centres[j]).min(1) if step else np.ones(len(x))
+                race = np.where(far > 0, -np.log(_uniform(keys, salts[j] * 64 + step)) / np.where(far > 0, far, 1), np.inf)
+                at = int(race.argmin())
+                out.append(np.concatenate([[race[at]], x[at]]))
+            return np.stack(out)
+
+        def least(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+            if a is None:
+                return b
+            a, b = a.reshape(-1, d + 1), b.reshape(-1, d + 1)
+            return np.where(b[:, :1] < a[:, :1], b, a)
+
+        for j, row in zip(now, _pass(points, each, least).reshape(-1, d + 1), strict=True):
+            centres[j] = np.vstack([centres[j], row[1:]])
+    return centres
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1), 0)
+
+
+def mixture_fits(points: DataFrame, d: int, jobs: list[tuple[int, int]], family: str, rounds: int = 200, floor: float = 1e-6) -> tuple[int, list[tuple[np.ndarray, float, bool]]]:
+    """(rows, one (means, log-likelihood, converged) for each job (k, seed)): the fits of `mixture`, over all rows of points (key, x).
+
+    A round is one pass for all jobs not yet settled; what reaches the driver are the sums of each component.
+    """
+    centre = _pass(points, lambda _, x: np.concatenate([[len(x)], x.sum(0)]), _add)
+    n, mid = int(centre[0]), centre[1:] / centre[0]
+    state: list[tuple] = [(c - mid, None, None) for c in _starts(points, [k for k, _ in jobs], [s * 64 + k for k, s in jobs], d)]
+    before, done = [-np.inf] * len(jobs), {}
+    for turn in range(rounds + 1):
+        now = [j for j in range(len(jobs)) if j not in done]
+        if not now:
+            break
+
+        def each(_: np.ndarray, x: np.ndarray, now: list[int] = now) -> np.ndarray:
+            x, out = x - mid, []
+            for j in now:
+                means, covs, share = state[j]
+                if covs is None:
+                    resp, like = np.eye(len(means))[_squares(x, means).argmin(1)], 0.0
+                else:
+                    dens = np.empty((len(x), len(means)))
+                    for i, m in enumerate(means):
+                        low = np.linalg.cholesky(covs[i])
+                        dens[:, i] = np.log(share[i]) - 0.5 * (np.linalg.solve(low, (x - m).T) ** 2).sum(0) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
+                    top = dens.max(1, keepdims=True)
+                    total = top[:, 0] + np.log(np.exp(dens - top).sum(1))
+                    resp, like = np.exp(dens - total[:, None]), float(total.sum())
+                out += [[like], resp.sum(0), (resp.T @ x).ravel(), np.einsum("ni,na,nb->iab", resp, x, x, optimize=True).ravel()]
+            return np.concatenate(out)
+
+        got, at = _pass(points, each, _add), 0
+        for j in now:
+            k = jobs[j][0]
+            like, size, first, second = np.split(got[at : at + 1 + k * (1 + d + d * d)], [1, 1 + k, 1 + k + k * d])
+            at += 1 + k * (1 + d + d * d)
+            if turn and (abs(like[0] - before[j]) < 1e-4 * n or turn == rounds):
+                done[j] = (state[j][0] + mid, float(like[0]), abs(like[0] - before[j]) < 1e-4 * n)
+                continue
+            before[j] = like[0] if turn else -np.inf
+            size = size + 1e-10
+            means = first.reshape(k, d) / size[:, None]
+            covs = second.reshape(k, d, d) / size[:, None, None] - means[:, :, None] * means[:, None, :]
+            if family == "tied":
+                covs = np.repeat(((covs * size[:, None, None]).sum(0) / size.sum())[None], k, 0)
+            elif family == "diag":
+                covs = covs * np.eye(d)
+            elif family == "spherical":
+                covs = np.stack([np.eye(d) * np.trace(c) / d for c in covs])
+            state[j] = (means, covs + floor * np.eye(d), size / n)
+    return n, [done[j] for j in range(len(jobs))]
+
+
+def mixture_sweep(points: DataFrame, key: str, features: list[str], ks: list[int], seeds: list[int], family: str = "diag") -> DataFrame:
+    """(k, seed, bic, aic, converged) of a mixture over all rows of points; key is a number of its own for each row."""
+    jobs, d = [(k, s) for k in ks for s in seeds], len(features)
+    n, fits = mixture_fits(_kept(points.select(F.col(key).cast("long").alias("key"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))), d, jobs, family)
     half = {"full": lambda k, d: k * d * (d + 1) // 2, "tied": lambda k, d: d * (d + 1) // 2, "diag": lambda k, d: k * d, "spherical": lambda k, d: k}[family]
+    free = [k * d + half(k, d) + k - 1 for k, _ in jobs]
+    rows = [(k, s, float(f * np.log(n) - 2 * like), float(2 * f - 2 * like), bool(ok)) for (k, s), f, (_, like, ok) in zip(jobs, free, fits, strict=True)]
+    return points.sparkSession.createDataFrame(rows, "k int, seed int, bic double, aic double, converged boolean")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, seed, x = int(pdf["k"].iloc[0]), int(pdf["seed"].iloc[0]), pdf[features].sort_values(features).to_numpy(float)
-        _, _, like, ok = mixture(x, k, family, seed)
-        free = k * x.shape[1] + half(k, x.shape[1]) + k - 1
-        return pd.DataFrame({"k": [k], "seed": [seed], "bic": [free * np.log(len(x)) - 2 * like], "aic": [2 * free - 2 * like], "converged": [ok]})
 
-    return spread.groupBy("k", "seed").applyInPandas(fit, "k int, seed int, bic double, aic double, converged boolean")
+def kmeans_fits(points: DataFrame, d: int, ks: list[int], seed: int, starts: int = 10, rounds: int = 100) -> dict[int, tuple[np.ndarray, float]]:
+    """(centres, inertia) for each k, the best of several seeded starts, over all rows of points (key, x).
+
+    A round is one pass for all k and starts not yet settled; what reaches the driver are the sums of each cluster.
+    """
+    jobs = [(k, s) for k in ks for s in range(starts)]
+    centres = _starts(points, [k for k, _ in jobs], [(seed * 64 + s) * 64 + k for k, s in jobs], d)
+    inertia, settled = [np.inf] * len(jobs), [False] * len(jobs)
+    for turn in range(rounds + 1):
+        now = [j for j in range(len(jobs)) if not settled[j] or turn == rounds]
+        if not now:
+            break
+
+        def each(_: np.ndarray, x: np.ndarray, now: list[int] = now) -> np.ndarray:
+            out, squares, at = [], _squares(x, np.vstack([centres[j] for j in now])), 0
+            for j in now:
+                part = squares[:, at : at + jobs[j][0]]
+                at += jobs[j][0]
+                own = np.eye(jobs[j][0])[part.argmin(1)]
+                out += [[part.min(1).sum()], own.sum(0), (own.T @ x).ravel()]
+            return np.concatenate(out)
+
+        got, at = _pass(points, each, _add), 0
+        for j in now:
+            k = jobs[j][0]
+            cost, size, total = np.split(got[at : at + 1 + k * (1 + d)], [1, 1 + k])
+            at += 1 + k * (1 + d)
+            new = np.where(size[:, None] > 0, total.reshape(k, d) / np.maximum(size, 1)[:, None], centres[j])
+            inertia[j], settled[j] = float(cost[0]), bool(np.allclose(new, centres[j]))
+            if turn < rounds and not settled[j]:
+                centres[j] = new
+    best = {k: min((j for j in range(len(jobs)) if jobs[j][0] == k), key=lambda j: (inertia[j], j)) for k in ks}
+    return {k: (centres[j], inertia[j]) for k, j in best.items()}
+
+
+def silhouettes(points: DataFrame, fits: dict[int, np.ndarray], block: int = 4096) -> dict[int, float]:
+    """The mean Euclidean silhouette of the clusters about each fit's centres, exact, over all rows of points (key, x).
+
+    Rows are dealt to blocks and blocks meet in pairs; a pair gives each row its distances summed by cluster,
+    so a task holds two blocks. Distances are as many as pairs of rows: that is what the exact measure takes.
+    """
+    ks, n = sorted(fits), points.count()
+    cuts = max(1, -(-n // block))
+    width = sum(ks)
+
+    def labels(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.eye(k)[_squares(x, fits[k]).argmin(1)] for k in ks], axis=1)
+
+    sizes = _pass(points, lambda _, x: labels(x).sum(0), _add)
+    dealt = points.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(cuts)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(cuts - 1))
+    left = dealt.withColumn("row", F.monotonically_increasing_id()).select("row", "x", F.col("b").alias("i"), F.explode(every).alias("j"))
+    right = dealt.select("x", F.explode(every).alias("i"), F.col("b").alias("j"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"row": pd.Series([], dtype="int64"), "x": [], "sums": []})
+        p, q = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
+        own = labels(q)
+        sums = np.concatenate([np.sqrt(_squares(p[s : s + 512], q)) @ own for s in range(0, len(p), 512)])
+        return pd.DataFrame({"row": a["row"], "x": list(p), "sums": list(sums)})
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "row long, x array<double>, sums array<double>")
+    summed = met.groupBy("row").agg(F.first("x").alias("x"), F.array(*[F.sum(F.col("sums")[c]) for c in range(width)]).alias("sums"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, total = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in (1, 2))
+            out, at = [], 0
+            for k in ks:
+                own, size = _squares(x, fits[k]).argmin(1), sizes[at : at + k]
+                part, row = total[:, at : at + k], np.arange(b.num_rows)
+                at += k
+                a = part[row, own] / np.maximum(size[own] - 1, 1)
+                other = np.where(size > 0, part / np.maximum(size, 1), np.inf)
+                other[row, own] = np.inf
+                near = other.min(1)
+                s = np.where((size[own] > 1) & np.isfinite(near), (near - a) / np.maximum(np.maximum(a, near), 1e-300), 0.0)
+                out.append(float(s.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in out], [f"k{k}" for k in ks])
+
+    total = summed.mapInArrow(score, ", ".join(f"k{k} double" for k in ks)).agg(*[F.sum(f"k{k}").alias(f"k{k}") for k in ks]).first()
+    return {k: total[f"k{k}"] / n for k in ks}
+
+
+def kmeans_sweep(points: DataFrame, key: str, vector: str, ks: list[int], seed: int, starts: int = 10) -> DataFrame:
+    """(k, silhouette, inertia) of k-means over all rows of points and all places of vector; key is a number of its own for each row."""
+    spark, kept = points.sparkSession, _kept(points.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("x")))
+    first = kept.first()
+    fits = kmeans_fits(kept, len(first["x"]), ks, seed, starts) if first else {}
+    shape = silhouettes(kept, {k: c for k, (c, _) in fits.items()}) if first else {}
+    return spark.createDataFrame([(k, float(shape[k]), float(fits[k][1])) for k in fits], "k int, silhouette double, inertia double")
 
 
 def isolation_scores(x: np.ndarray, at: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0) -> np.ndarray:

@@ -27,8 +27,8 @@ def change_points(t: Tables) -> DataFrame:
 
 @query("q242_mixture_sweep")
 def sweep(t: Tables) -> DataFrame:
-    x = t.part.select(F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 100).alias("b")).orderBy(F.xxhash64("p_partkey")).limit(2000)
-    return M.mixture_sweep(x, ["a", "b"], [1, 2, 3], [11, 12]).withColumns({"bic": F.round("bic", 2), "aic": F.round("aic", 2)})
+    x = t.part.select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 100).alias("b"))
+    return M.mixture_sweep(x, "p_partkey", ["a", "b"], [1, 2, 3], [11, 12]).withColumns({"bic": F.round("bic", 2), "aic": F.round("aic", 2)})
 
 
 @query("q265_isolation_forest")
@@ -38,9 +38,10 @@ def forest(t: Tables) -> DataFrame:
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day")
         points = pdf[["v", "n"]].to_numpy(float)
-        return pd.DataFrame({"day": pdf["day"], "score": np.round(M.isolation_scores(points, points, 50, 128, 7), 6)})
+        scores = M.isolation_scores(points, points, 200, 128, 7)
+        return pd.DataFrame({"day": pdf["day"], "score": np.round(scores, 6), "anomaly": scores > np.percentile(scores, 99)})
 
-    return x.groupBy("year").applyInPandas(score, "day date, score double")
+    return x.groupBy("year").applyInPandas(score, "day date, score double, anomaly boolean")
 
 
 @query("q270_group_bootstrap")
@@ -90,14 +91,7 @@ def calibration_fit(t: Tables) -> DataFrame:
 
 @query("q272_kmeans_best_k")
 def best_k(t: Tables) -> DataFrame:
-    x = t.embeddings.orderBy(F.xxhash64("vec_id")).limit(400).select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)], F.explode(F.sequence(F.lit(2), F.lit(5))).alias("k"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, points = int(pdf["k"].iloc[0]), pdf[[f"e{i}" for i in range(4)]].sort_values(["e0", "e1", "e2", "e3"]).to_numpy(float)
-        label, _, inertia = M.kmeans(points, k, 1, starts=3)
-        return pd.DataFrame({"k": [k], "silhouette": [round(M.silhouette(points, label), 6)], "inertia": [round(inertia, 4)]})
-
-    return x.groupBy("k").applyInPandas(fit, "k int, silhouette double, inertia double")
+    return M.kmeans_sweep(t.embeddings, "vec_id", "embedding", [2, 3, 4, 5, 6], 1).withColumns({"silhouette": F.round("silhouette", 6), "inertia": F.round("inertia", 4)})
 
 
 @query("q306_window_features")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.operators import models
 from panelforge.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,3 +32,40 @@ def test_zones_against_brute_force(spark, tmp_path):
             break
         zone = new
     assert got == dict(zip(k.tolist(), zone.tolist(), strict=True))
+
+
+def test_mixture_takes_every_row(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (1500, 2)) for c in (0, 20)])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double").repartition(3)
+    got = {(r["k"], r["seed"]): r for r in models.mixture_sweep(df, "id", ["a", "b"], [1, 2], [11]).collect()}
+    for k in (1, 2):
+        _, _, like, ok = models.mixture(x, k, "diag", 11)
+        free = 4 * k + k - 1
+        assert ok and got[(k, 11)]["converged"] and abs(got[(k, 11)]["bic"] - (free * np.log(3000) - 2 * like)) < 1.0
+
+
+def test_kmeans_and_silhouette_take_every_row_and_place(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.concatenate([np.zeros((250, 4)), rng.normal(c, 0.2, (250, 2))], axis=1) for c in (0, 4, 9)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    got = {r["k"]: r for r in models.kmeans_sweep(df, "id", "v", [2, 3, 4], 1).collect()}
+    for k in (2, 3):
+        label, _, inertia = models.kmeans(x, k, 1)
+        assert abs(got[k]["inertia"] - inertia) < 1e-6 * inertia and abs(got[k]["silhouette"] - models.silhouette(x, label)) < 1e-6
+    assert max(got, key=lambda k: got[k]["silhouette"]) == 3
+
+
+def test_silhouette_by_blocks(spark):
+    x = np.random.default_rng(6).normal(0, 1, (300, 3))
+    c = x[:4]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, x array<double>").repartition(2)
+    label = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    assert abs(models.silhouettes(df, {4: c}, block=70)[4] - models.silhouette(x, label)) < 1e-9
+
+
+def test_sweeps_read_whole_tables(spark):
+    plans = {n: catalog.QUERIES[n](spark, FOLDER).collect() for n in ("q242_mixture_sweep", "q272_kmeans_best_k", "q265_isolation_forest")}
+    assert sorted(r["k"] for r in plans["q272_kmeans_best_k"]) == [2, 3, 4, 5, 6] and len(plans["q242_mixture_sweep"]) == 6
+    flagged = [r for r in plans["q265_isolation_forest"] if r["anomaly"]]
+    assert 0 < len(flagged) <= 0.02 * len(plans["q265_isolation_forest"])
