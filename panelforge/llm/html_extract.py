@@ -14,13 +14,14 @@ from pyspark.sql import types as T
 
 from panelforge.llm.storage import small_batches
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(script|style|noscript|template|svg|iframe|textarea|select|title|math|object|canvas)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z!][^>]*>""", re.S | re.I)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<svg\b(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>|<(script|style|noscript|template|svg|iframe|textarea|select|title|annotation-xml|annotation|object|canvas)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z!][^>]*>""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+LAYOUT = re.compile(r"(?<![\w-])(?:has|with|no|without)(?:[-_][\w-]*|[A-Z]\w*)")
 PUNCTUATION = re.compile(r"[.,;:!?…。，]")
 
 # Fixed values of the HTML standard and of common page markup.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
 ENDS_SELF = frozenset("li dd dt option tr td th".split())
@@ -39,6 +40,7 @@ class Block:
     main: bool
     text: str
     linked: int
+    soft: bool = False
 
 
 @dataclass
@@ -47,6 +49,8 @@ class _Open:
     path: str
     apart: bool
     main: bool
+    hard: bool = False
+    soft: bool = False
 
 
 @dataclass
@@ -69,7 +73,7 @@ class _Page:
             text = " ".join(html.unescape("".join(self.pieces)).split())
             if text:
                 top = self.stack[-1]
-                self.blocks.append(Block(top.path, top.apart, top.main, text, self.linked))
+                self.blocks.append(Block(top.path, top.apart, top.main, text, self.linked, top.soft))
             self.pieces, self.linked = [], 0
 
     def start(self, tag: str, attributes: str) -> None:
@@ -88,16 +92,17 @@ class _Page:
         if tag in VOID:
             return
         found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
-        words = {w.lower() for w in WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        words = {w.lower() for w in WORD.findall(LAYOUT.sub("", f"{found.get('class', '')} {found.get('id', '')}"))}
         role = found.get("role", "").lower()
-        apart = tag in APART_TAGS or role in APART_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or bool(words & APART_WORDS) or (bool(words & APART_WEAK) and not words & MAIN_WORDS)
-        if tag in ("html", "body", "article", "main"):
-            apart = False
+        hard = tag in APART_TAGS or role in APART_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        named = bool(words & APART_WORDS) or (bool(words & APART_WEAK) and not words & MAIN_WORDS)
+        apart = (hard or named) and tag not in ("html", "body", "article", "main")
         main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
         above = self.stack[-1]
         label = tag + "." + ".".join(sorted(words)) if words else tag
         path = above.path if above.main and not apart else f"{above.path}/{label}"
-        self.stack.append(_Open(tag, path, above.apart or apart, above.main or main))
+        soft = not (hard or named or above.hard) and (above.soft or (main and above.apart))
+        self.stack.append(_Open(tag, path, above.apart or apart, above.main or main, above.hard or (apart and hard), soft))
 
     def end(self, tag: str) -> None:
         if tag == "a":
@@ -143,7 +148,8 @@ def path_scores(found: list[Block]) -> np.ndarray:
     A path's text ratio is its unlinked text length, its punctuation ratio its punctuation marks, each per
     node of the path; both are fused by their geometric mean. Paths set apart by their markup (menus,
     headers, footers, asides, notices, adverts, forms, comments) count 0; where there is an article or main
-    element with text, so do paths outside it.
+    element with text, so do paths outside it. If all of those elements' text is in wrappers set apart by
+    their class or id alone, it counts nevertheless, as long as the element has no such name itself.
     """
     paths = {p: i for i, p in enumerate(dict.fromkeys(b.path for b in found))}
     at = np.array([paths[b.path] for b in found])
@@ -151,6 +157,8 @@ def path_scores(found: list[Block]) -> np.ndarray:
     length = np.bincount(at, weights=[max(0, len(b.text) - b.linked) for b in found]) / nodes
     marks = np.bincount(at, weights=[len(PUNCTUATION.findall(b.text)) for b in found]) / nodes
     apart, main = np.array([b.apart for b in found]), np.array([b.main for b in found])
+    if not (main & ~apart).any():
+        apart &= ~np.array([b.soft for b in found])
     outside = 0.0 if (main & ~apart).any() else 1.0
     fused = np.sqrt((length + LEAST) * (1 + marks))[at] * np.where(apart, 0.0, np.where(main, 1.0, outside))
     wide = np.pad(fused, 1)
