@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -20,6 +21,8 @@ from panelforge.llm.storage import small_batches, stored
 CAPACITY = 4096
 END_ID = 2
 CACHE_WORDS = 400_000
+#: Fixed value: the pre-token pattern that the chunk memory was made for.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White space to Python's split but not to the tokenizer: texts with it are encoded whole.
 ODD = re.compile("[\x1c-\x1f]")
 #: Beyond Latin Extended-B, and dotted capital I: letters whose case or composition may depend on more than themselves.
@@ -30,13 +33,27 @@ TAIL = re.compile("(?<=[a-z\u00e0-\u00f6\u00f8-\u00ff0-9])([.,])(?=\\s)")
 LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+")
 
 
+def splits_at_blanks(about: dict) -> bool:
+    """Whether a tokenizer lower-cases, parts texts at white space, letters and other signs, and marks word ends.
+
+    about: its JSON description. Only the very steps that the chunk memory was made for count.
+    """
+    steps = (about.get("normalizer") or {}).get("normalizers") or []
+    parts = (about.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    pattern = (parts[0].get("pattern") or {}).get("Regex") if parts else None
+    plain = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("pattern") == {"Regex": "\\s+"} and steps[1].get("content") == " "
+    split = [p["type"] for p in parts] == ["Split", "ByteLevel"] and pattern == SPLIT and parts[0].get("invert") and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+    return bool(plain and split and about["model"].get("type") == "BPE" and about["model"].get("end_of_word_suffix") == "</w>")
+
+
 class Encoder:
     """Token ids of whole texts, with a bounded memory of the ids of each white-space-delimited chunk.
 
     The tokenizer's pre-tokens never span white space and its normaliser acts inside chunks, so the ids of
     a text are those of its chunks in order (tests hold this against plain encoding). Lower-casing a plain
     text and parting its full stops first changes no id and makes chunks repeat more. Chunks that were not
-    seen for CACHE_WORDS new ones are forgotten.
+    seen for CACHE_WORDS new ones are forgotten. All of this rests on what `splits_at_blanks` looks for in the
+    tokenizer's own description; the texts of any other tokenizer are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,6 +62,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.whole = not splits_at_blanks(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -69,6 +87,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if self.whole:
+            return [x.tobytes() for x in self._plain(texts)]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
         split = [None if ODD.search(t) else (t if BEYOND.search(t) else TAIL.sub(r" \1", t.lower())).split() for t in texts]
