@@ -17,6 +17,10 @@ from panelforge.llm.storage import small_batches
 BITS = 18
 SAMPLE_ROWS = 16_000
 GRADES = 3
+#: How much more a rated text of a rare grade may weigh than one of the commonest.
+MOST_WEIGHT = 4.0
+#: Standard errors that a feature's presence must differ by across some grade boundary, to choose from by held-out likelihood.
+EVIDENCE = (3.0, 4.0, 6.0, 9.0, 13.0)
 #: Shares of a text's bytes or words that are cut into tenths and hashed like words.
 STEMS = (4, 5)
 SHAPES = ("upper", "digit", "symbol", "space", "repeat", "adjacent")
@@ -82,17 +86,16 @@ def evidence(ids: np.ndarray, row: np.ndarray, grade: np.ndarray, grades: int) -
     return out
 
 
-def fit(ids: np.ndarray, off: np.ndarray, grade: np.ndarray, grades: int = GRADES, rounds: int = 400, rate: float = 0.05, ridge: float = 3e-4, least_z: float | None = None, most_weight: float | None = None) -> OrdinalModel:
+def fit(ids: np.ndarray, off: np.ndarray, grade: np.ndarray, grades: int = GRADES, rounds: int = 400, rate: float = 0.05, ridge: float = 3e-4, least_z: float | None = None, most_weight: float = MOST_WEIGHT) -> OrdinalModel:
     """Maximum likelihood by Adam over all rows each round; thresholds stay ordered as sums of positive gaps.
 
     A feature takes part if its presence differs across some grade boundary by least_z standard errors or
-    more (by default sqrt(rows) / 12, from 3 to 10), so that words seen by chance in a few rated texts get no weight. Grades weigh alike in sum, up to
-    a factor of most_weight against the commonest (by default 1 + rows / 1000, up to 4: with few rated texts
-    to learn from, a text without evidence against it passes). Grades may be absent.
+    more, so that words seen by chance in a few rated texts get no weight; where that is not given, it is
+    what makes every third rated text likeliest when the others are learnt from (held_out_evidence).
+    Grades weigh alike in sum, up to a factor of most_weight against the commonest. Grades may be absent.
     """
     n, row = len(grade), K.row_of(off).astype(np.int32)
-    least_z = min(10.0, max(3.0, n**0.5 / 12)) if least_z is None else least_z
-    most_weight = min(4.0, 1 + n / 1000) if most_weight is None else most_weight
+    least_z = held_out_evidence(ids, off, grade, grades, rate, ridge, most_weight) if least_z is None else least_z
     z = evidence(ids, row, grade, grades)
     used = z[ids] >= least_z
     kept, at = np.unique(ids[used], return_inverse=True)
@@ -127,6 +130,25 @@ def fit(ids: np.ndarray, off: np.ndarray, grade: np.ndarray, grades: int = GRADE
     return OrdinalModel(weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
 
 
+def _rows(ids: np.ndarray, off: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The feature lists of the picked rows."""
+    return ids[np.repeat(pick, np.diff(off))], np.concatenate([[0], np.cumsum(np.diff(off)[pick])])
+
+
+def held_out_evidence(ids: np.ndarray, off: np.ndarray, grade: np.ndarray, grades: int, rate: float, ridge: float, most_weight: float) -> float:
+    """Of EVIDENCE, the one whose fit to two thirds of the rows gives the others the greatest mean log likelihood."""
+    test = np.arange(len(grade)) % 3 == 0
+    if test.all():
+        return EVIDENCE[0]
+
+    def held_out(z: float) -> float:
+        model = fit(*_rows(ids, off, ~test), grade[~test], grades, 150, rate, ridge, z, most_weight)
+        p = model.probabilities(model.score(*_rows(ids, off, test)))
+        return float(np.log(np.maximum(p[np.arange(len(p)), grade[test]], 1e-9)).mean())
+
+    return max(EVIDENCE, key=held_out)
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """(doc_id, grade): 0 poor, 1 well written but toxic, 2 well written and harmless. Rows without a quality are left out; no toxicity mark counts as harmless."""
     return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("quality") < 1, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 1).otherwise(2).alias("grade"))
