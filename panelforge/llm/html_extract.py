@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,55 +15,76 @@ from pyspark.sql import types as T
 
 from panelforge.llm.storage import small_batches
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<svg\b(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>|<(script|style|noscript|template|svg|iframe|textarea|select|title|annotation-xml|annotation|object|canvas)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z!][^>]*>""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
+#: A tag from its name on, quotes closed. Possessive: what was read is never read again.
+REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:_-]*")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)|(?=[\s/]|$))""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
-LAYOUT = re.compile(r"(?<![\w-])(?:has|with|no|without)(?:[-_][\w-]*|[A-Z]\w*)")
+LAYOUT = re.compile(r"(?:has|with|no|without)(?:[-_][\w-]*|[A-Z]\w*)")
 PUNCTUATION = re.compile(r"[.,;:!?…。，]")
 
 # Fixed values of the HTML standard and of common page markup.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+UNSEEN = frozenset("svg canvas object template noscript select datalist audio video annotation annotation-xml".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
 ENDS_SELF = frozenset("li dd dt option tr td th".split())
 APART_TAGS = frozenset("head nav header footer aside form button dialog menu fieldset".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-APART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments reply replies respond discussion disqus pagination pager toolbar copyright disclaimer paywall".split())
-APART_WEAK = frozenset("header head side form widget legal meta tags search".split())
+APART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login comment comments reply replies respond discussion disqus pagination pager toolbar copyright disclaimer paywall".split())
+APART_WEAK = frozenset("share sharing social related recommended recommendations trending header head side form widget legal meta tags search".split())
 MAIN_WORDS = frozenset("article entry post content story main body text page".split())
+
+#: Deeper elements count as part of the one at this depth, as in browsers.
+DEEPEST = 512
+#: What of a path's ratio reaches the paths one level below it.
+DECAY = 0.7
 LEAST = 1.0
 
 
 @dataclass
-class Block:
-    path: str
-    apart: bool
-    main: bool
-    text: str
-    linked: int
-    soft: bool = False
+class _Open:
+    tag: str
+    path: int
+    hard: bool = False  # set apart by its tag, role or being hidden
+    marked: bool = False  # set apart by its class or id
+    doubt: int = -1  # an element in an article whose name is doubtful: its text decides
+    main: bool = False
+    soft: bool = False  # an article in an element that is set apart by its class or id alone
+    named: int = -1  # the nearest element named as content
 
 
 @dataclass
-class _Open:
-    tag: str
-    path: str
-    apart: bool
-    main: bool
-    hard: bool = False
-    soft: bool = False
+class Block:
+    """A run of text between block tags, with what its element says of it."""
+
+    at: _Open
+    text: str
+    linked: int
+    marks: int
 
 
 @dataclass
 class _Page:
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", "", False, False)])
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", 0)])
+    count: Counter = field(default_factory=Counter)
+    parents: list[int] = field(default_factory=lambda: [0])
+    labels: list[str] = field(default_factory=lambda: [""])
+    known: dict[tuple[int, str], int] = field(default_factory=dict)
+    holds: list[bool] = field(default_factory=list)  # of each element named as content, whether an article is in it
+    mains: set[int] = field(default_factory=set)  # paths that are an article or main element
+    doubts: int = 0
     blocks: list[Block] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     in_link: bool = False
+    unseen: list[str] = field(default_factory=list)
+    unseen_count: Counter = field(default_factory=Counter)
 
     def text(self, raw: str) -> None:
-        if raw:
+        if raw and not self.unseen:
             self.pieces.append(raw)
             if self.in_link:
                 self.linked += len(raw)
@@ -72,11 +94,28 @@ class _Page:
         if self.pieces:
             text = " ".join(html.unescape("".join(self.pieces)).split())
             if text:
-                top = self.stack[-1]
-                self.blocks.append(Block(top.path, top.apart, top.main, text, self.linked, top.soft))
+                self.blocks.append(Block(self.stack[-1], text, min(self.linked, len(text)), len(PUNCTUATION.findall(text))))
             self.pieces, self.linked = [], 0
 
+    def path(self, above: int, label: str) -> int:
+        key = (above, label)
+        if key not in self.known:
+            self.known[key] = len(self.parents)
+            self.parents.append(above)
+            self.labels.append(label)
+        return self.known[key]
+
     def start(self, tag: str, attributes: str) -> None:
+        closed = attributes.endswith("/")
+        if self.unseen:
+            if not closed and tag not in VOID:
+                self.unseen.append(tag)
+                self.unseen_count[tag] += 1
+            return
+        if tag in UNSEEN:
+            if not closed:
+                self.unseen, self.unseen_count = [tag], Counter([tag])
+            return
         if tag == "a":
             self.in_link = True
         if tag == "br":
@@ -89,22 +128,55 @@ class _Page:
             self.pop({"p"}, stop=frozenset({"button", "td", "th", "table"}))
         if tag in ENDS_SELF:
             self.pop({tag}, stop=frozenset({"ul", "ol", "dl", "table", "select"}))
-        if tag in VOID:
+        if tag in VOID or len(self.stack) > DEEPEST:
             return
+        self.stack.append(self.opened(tag, attributes))
+        self.count[tag] += 1
+
+    def opened(self, tag: str, attributes: str) -> _Open:
+        above = self.stack[-1]
         found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
-        words = {w.lower() for w in WORD.findall(LAYOUT.sub("", f"{found.get('class', '')} {found.get('id', '')}"))}
+        names = [frozenset(w.lower() for w in WORD.findall(n)) for n in f"{found.get('class', '')} {found.get('id', '')}".split() if not LAYOUT.fullmatch(n)]
+        words = frozenset().union(*names)
+        content = any(n & MAIN_WORDS and not n & (APART_WORDS | APART_WEAK) for n in names) and tag not in ("html", "body")
         role = found.get("role", "").lower()
-        hard = tag in APART_TAGS or role in APART_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        named = bool(words & APART_WORDS) or (bool(words & APART_WEAK) and not words & MAIN_WORDS)
-        apart = (hard or named) and tag not in ("html", "body", "article", "main")
         main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
-        above = self.stack[-1]
-        label = tag + "." + ".".join(sorted(words)) if words else tag
-        path = above.path if above.main and not apart else f"{above.path}/{label}"
-        soft = not (hard or named or above.hard) and (above.soft or (main and above.apart))
-        self.stack.append(_Open(tag, path, above.apart or apart, above.main or main, above.hard or (apart and hard), soft))
+        hard = (tag in APART_TAGS and not (tag == "header" and above.main)) or role in APART_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        strong, weak = bool(words & APART_WORDS), bool(words & APART_WEAK) and not content
+        if words & {"header", "head"} and words & MAIN_WORDS and not words & (APART_WEAK - {"header", "head"}):
+            weak = False
+        judged = tag not in ("html", "body")
+        bare = judged and tag not in ("article", "main")
+        doubt = judged and weak and not strong and above.main
+        marked = judged and (strong or (weak and not doubt))
+        out = _Open(tag, self.path(above.path, tag + "".join("." + w for w in sorted(words))), above.hard or (bare and hard), above.marked or (bare and marked), above.doubt, above.main or main, False, above.named)
+        out.soft = not (hard or marked or above.hard) and (above.soft or (main and above.marked))
+        if doubt:
+            out.doubt, self.doubts = self.doubts, self.doubts + 1
+        if content:
+            out.named = len(self.holds)
+            self.holds.append(False)
+        if main:
+            self.mains.add(out.path)
+            for o in reversed(self.stack):
+                if o.named >= 0:
+                    if self.holds[o.named]:
+                        break
+                    self.holds[o.named] = True
+        return out
 
     def end(self, tag: str) -> None:
+        if self.unseen:
+            if self.unseen_count[tag]:
+                while self.unseen:
+                    last = self.unseen.pop()
+                    self.unseen_count[last] -= 1
+                    if last == tag:
+                        break
+                return
+            if not self.count[tag]:
+                return
+            self.unseen = []  # its end is missing: the element around it ends
         if tag == "a":
             self.in_link = False
         if tag in INLINE or tag == "br":
@@ -113,70 +185,148 @@ class _Page:
         self.pop({tag})
 
     def pop(self, tags: set[str], stop: frozenset[str] = frozenset()) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag in tags:
+                for o in self.stack[k:]:
+                    self.count[o.tag] -= 1
                 del self.stack[k:]
                 return
             if self.stack[k].tag in stop:
                 return
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, each with its root-to-leaf tag path.
+def parsed(page: str) -> _Page:
+    """The text blocks of a page in order, each with its root-to-leaf tag path. Inline tags are no part of it.
 
-    Inline tags are no part of it, and paths end at the page's article or main element: what lies in it is
-    judged as one.
+    Every character is read a bounded number of times: quotes that are never closed are no quotes from there on, and
+    an end that was not found once is not looked for again.
     """
-    out, at = _Page(), 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            out.text(page[at : m.start()])
-        at = m.end()
-        if m[3]:
-            if m[2]:
-                out.end(m[3].lower())
+    out, at, quoted = _Page(), 0, True
+    missing: set[str] = set()
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        nxt = page[lt + 1 : lt + 2]
+        if nxt in ("!", "?"):
+            if lt > at:
+                out.text(page[at:lt])
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 2)
+                at = len(page) if end < 0 else end + 3
             else:
-                out.start(m[3].lower(), m[4])
+                end = page.find(">", lt)
+                at = len(page) if end < 0 else end + 1
+            continue
+        m = NAME.match(page, lt + 1 + (nxt == "/"))
+        if m is None:
+            out.text(page[at : lt + 1])
+            at = lt + 1
+            continue
+        if lt > at:
+            out.text(page[at:lt])
+        rest = REST.match(page, m.end()) if quoted else None
+        if rest is not None:
+            attributes, at = rest[1], rest.end()
+        else:
+            quoted = False
+            end = page.find(">", m.end())
+            if end < 0:
+                at = len(page)
+                break
+            attributes, at = page[m.end() : end], end + 1
+        tag = m[0].lower()
+        if nxt == "/":
+            out.end(tag)
+            continue
+        if tag in RAW and not attributes.endswith("/"):
+            end = None if tag in missing else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            if end is None:
+                missing.add(tag)
+                at = len(page) if tag in ("script", "style") else at
+                continue
+            close = page.find(">", end.end())
+            at = len(page) if close < 0 else close + 1
+            continue
+        out.start(tag, attributes)
     out.text(page[at:])
     out.close()
-    return out.blocks
+    return out
 
 
-def path_scores(found: list[Block]) -> np.ndarray:
-    """For each block the fused ratio of its tag path, smoothed over its neighbours in the page.
+def weights(page: _Page) -> np.ndarray:
+    """Which blocks may be content at all, by markup.
 
-    A path's text ratio is its unlinked text length, its punctuation ratio its punctuation marks, each per
-    node of the path; both are fused by their geometric mean. Paths set apart by their markup (menus,
-    headers, footers, asides, notices, adverts, forms, comments) count 0; where there is an article or main
-    element with text, so do paths outside it. If all of those elements' text is in wrappers set apart by
-    their class or id alone, it counts nevertheless, as long as the element has no such name itself.
+    Out are blocks in elements set apart (menus, headers, footers, asides, notices, adverts, forms, comments) and, where
+    an article or main element has text, blocks outside both these and elements named as content without an article in
+    them. If all of the articles' text is in wrappers set apart by class or id alone, it may be content nevertheless. In an
+    article, an element of a doubtful name (share, related, ...) is content if it reads as the rest does: mostly unlinked,
+    with punctuation, and at least half as long a block.
     """
-    paths = {p: i for i, p in enumerate(dict.fromkeys(b.path for b in found))}
-    at = np.array([paths[b.path] for b in found])
-    nodes = np.bincount(at)
-    length = np.bincount(at, weights=[max(0, len(b.text) - b.linked) for b in found]) / nodes
-    marks = np.bincount(at, weights=[len(PUNCTUATION.findall(b.text)) for b in found]) / nodes
-    apart, main = np.array([b.apart for b in found]), np.array([b.main for b in found])
+    b = page.blocks
+    apart = np.array([x.at.hard or x.at.marked for x in b])
+    main = np.array([x.at.main for x in b])
     if not (main & ~apart).any():
-        apart &= ~np.array([b.soft for b in found])
-    outside = 0.0 if (main & ~apart).any() else 1.0
-    fused = np.sqrt((length + LEAST) * (1 + marks))[at] * np.where(apart, 0.0, np.where(main, 1.0, outside))
-    wide = np.pad(fused, 1)
-    return np.where(fused > 0, (wide[:-2] + 2 * wide[1:-1] + wide[2:]) / 4, 0.0)
+        apart &= ~np.array([x.at.soft and not x.at.hard for x in b])
+    inside = main | np.array([x.at.named >= 0 and not page.holds[x.at.named] for x in b])
+    out = ~apart & (inside if (main & ~apart).any() else True)
+    doubt = np.array([x.at.doubt for x in b])
+    length = np.array([len(x.text) - x.linked for x in b], float)
+    whole, marks = np.array([len(x.text) for x in b], float), np.array([x.marks for x in b])
+    plain = out & (doubt < 0)
+    usual = length[plain].mean() if plain.any() else 0.0
+    for d in np.unique(doubt[doubt >= 0]).tolist():
+        own = doubt == d
+        if length[own].sum() < 0.7 * whole[own].sum() or not marks[own].any() or length[own].mean() < usual / 2:
+            out &= ~own
+    return out
+
+
+def path_scores(page: _Page) -> np.ndarray:
+    """For each block the smoothed ratio of its tag path.
+
+    A path's text ratio is its unlinked text length, its punctuation ratio its punctuation marks, each per node of the
+    path; the two are fused by their geometric mean. Ratios are smoothed along the tree: a path counts for no less than
+    DECAY times the path above it with all that is below it, so headings and list items go with the text around them;
+    an article or main element is not lifted by what is around it.
+    Paths of three nodes or more count by the share of their text that is no link, headings excepted. Blocks that markup
+    rules out (weights) count 0 and add nothing to the paths above them.
+    """
+    b, n = page.blocks, len(page.parents)
+    may = weights(page)
+    at = np.array([x.at.path for x in b])
+    whole = np.array([len(x.text) for x in b], float)
+    length = whole - np.array([x.linked for x in b])
+    marks = np.array([x.marks for x in b], float)
+    sums = np.stack([np.bincount(at[may], weights=w[may], minlength=n) for w in (np.ones(len(b)), length, marks, whole)])
+    below = sums.copy()
+    for p in range(n - 1, 0, -1):  # parents are numbered before their children
+        below[:, page.parents[p]] += below[:, p]
+    fused = lambda s: np.sqrt((s[1] / np.maximum(s[0], 1) + LEAST) * (1 + s[2] / np.maximum(s[0], 1)))
+    own, around = fused(sums), fused(below)
+    smooth = np.zeros(n)
+    for p in range(n):
+        lift = 0.0 if p == 0 or p in page.mains else DECAY * around[page.parents[p]]
+        smooth[p], around[p] = max(own[p], lift), max(around[p], lift)
+    heading = np.array([label.split(".")[0] in HEADINGS for label in page.labels])
+    unlinked = np.where((sums[0] < 3) | heading, 1.0, sums[1] / np.maximum(sums[3], 1))
+    return np.where(may, (smooth * unlinked)[at], 0.0)
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page; empty for null, empty or text-free pages.
 
-    Content are the blocks whose path score reaches the standard deviation of the page's scores, or
-    half of the best one if that is less.
+    Content are the blocks whose path score reaches the standard deviation of the page's scores, or a quarter of the best
+    one if that is less.
     """
-    found = blocks(page or "")
-    if not found:
+    found = parsed(page or "")
+    if not found.blocks:
         return ""
     score = path_scores(found)
-    least = min(float(score.std()), float(score.max()) / 2)
-    return " ".join(b.text for b, s in zip(found, score, strict=True) if s > 0 and s >= least)
+    least = min(float(score.std()), float(score.max()) / 4)
+    return " ".join(b.text for b, s in zip(found.blocks, score, strict=True) if s > 0 and s >= least)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
