@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
@@ -38,3 +40,37 @@ def small_batches(spark: SparkSession) -> None:
 
 def parts(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+#: The column that numbered() adds.
+ROW = "_row_number"
+#: Rows (a number each) that are broadcast at most; more are joined by a shuffle of both sides.
+BROADCAST_ROWS = 2_000_000
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW, a number of its own for every row that is the same whenever and wherever the row is read.
+
+    It is the row's place in its file and the file's place among the table's, so no row moves for it. What is not read
+    straight from Parquet files is written first. The file names (not rows) pass through the driver.
+    """
+    spark = docs.sparkSession
+
+    def places(df: DataFrame) -> DataFrame:
+        return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_nth"))
+
+    try:
+        rows = places(docs.drop(ROW))
+        files = sorted(r[0] for r in rows.select("_file").distinct().collect())
+    except AnalysisException:
+        rows = places(stored(docs.drop(ROW), "rows"))
+        files = sorted(r[0] for r in rows.select("_file").distinct().collect())
+    place = spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _at long")
+    return rows.join(F.broadcast(place), "_file").withColumn(ROW, F.shiftleft("_at", 40) + F.col("_nth")).drop("_file", "_at", "_nth")
+
+
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """numbered rows without those whose ROW is in gone, and without ROW. Rows stay where they are if few go."""
+    gone = stored(gone, "gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if few else gone.hint("merge"), ROW, "left_anti").drop(ROW)
