@@ -2,6 +2,7 @@
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and reread as the next one's docs. All but the last return the columns of documents.
+Rows are judged by their own texts, those with a null or repeated id too.
 Counted as part of panelforge.llm.
 """
 
@@ -14,13 +15,6 @@ from panelforge.llm.queries import TOKENIZER, table
 from panelforge.llm.storage import stored
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; rows with a null id are not judged and stay."""
-    chosen = ids.select("doc_id").distinct()
-    named = docs.join(chosen, "doc_id", "left_semi")
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier gives the top grade with a probability of one half or more."""
     model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
@@ -28,19 +22,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal up to the case of A-Z, the one with the largest doc_id."""
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    """Of rows whose texts are equal up to the case of A-Z, the one with the largest doc_id."""
+    return exact_dedup.distinct_texts(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a similarity of 0.8 or more on five-word shingles, the smallest doc_id."""
-    return _only(docs, minhash.near_duplicates(docs).filter("kept"))
+    return minhash.distinct_groups(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    hits = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, hits.filter("size(spans) = 0"))
+    return decontaminate.without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
