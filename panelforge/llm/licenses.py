@@ -9,15 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-WINDOW, STRIDE = 64, 48
-#: One-permutation MinHash: each shingle is hashed once, the top BIN_BITS bits name a bin, and the least hash
-#: of each bin is a band of its own. A template shingle in a window is its bin's least unless one of the
-#: window's other shingles (at most 2 * WINDOW) falls in the same bin and is less, so it is a band with a
-#: probability of 1 - WINDOW / 2**BIN_BITS or more, 0.999 here, whatever the template's length.
-BIN_BITS = 16
+#: (shingles of a window, shingles between the starts of windows) by the least number of shingles of a template. Templates
+#: below the first limit are found by windows of one shingle each, which meet for certain.
+SCALES = ((10, 12, 8), (40, 60, 48))
+#: One-permutation MinHash: each shingle of a window is hashed once, the top BIN_BITS bits name one of 32 bins, and the least
+#: hash of each bin is one of the signature's minima, a band of one row each. Windows of a template lie at every shingle.
+#: A shingle that a document shares with a template is its window's minimum with a probability of 0.84 among 12 shingles and
+#: 0.45 among 60. A template with a share LEAST of its shingles in the document shares 8 or 32 of them or more, so all bands
+#: miss with a probability of 0.16 ** 8 = 4e-7 or 0.55 ** 32 = 5e-9 at most.
+BIN_BITS = 5
 LEAST = 0.8
+#: Bytes of template text up to which the bands (about 16 bytes a byte of text) and the templates are broadcast.
+TEMPLATE_BYTES = 16_000_000
 
-# Short notices as they stand in texts.
+# Short notices, standard headers and short licenses in full, as they stand in texts.
 TEMPLATES = {
     "agpl-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -30,6 +35,22 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "rights-reserved": "All rights reserved.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "lgpl-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "bsd-2-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsl-1.0-header": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "mit-notice": "Licensed under the MIT License.",
 }
 
 
@@ -59,12 +80,25 @@ def with_shingles(df: DataFrame, sizes: list[int]) -> DataFrame:
     return df
 
 
-def bands(shingles: Column) -> Column:
-    """Of each bin the least hash; the rest become null. transform() over one element holds the sorted array as a value."""
+def minima(shingles: Column) -> Column:
+    """Of each bin the least hash, in order; what else is in the window becomes null.
+
+    transform() over one element holds the sorted array as a value.
+    """
     differ = lambda x, before: F.when(before.isNull() | (F.shiftright(x, 64 - BIN_BITS) != F.shiftright(before, 64 - BIN_BITS)), x)
     return F.flatten(F.transform(F.array(F.sort_array(shingles)), lambda o: F.zip_with(o, F.slice(F.array_prepend(o, None), 1, F.size(o)), differ)))
 
 
+def bands(shingles: Column, width: int, stride: int) -> Column:
+    """The distinct signature minima of all windows of width shingles, stride apart. The last window may be shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(shingles) - (width - stride)), F.lit(stride))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda at: minima(F.slice(shingles, at, width)))))
+
+
+def tagged(found: Column, kind: int) -> Column:
+    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("band")))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """(license_id, words, size): size is the template's shingle length, its word count if that is less."""
     rows = spark.createDataFrame(sorted(templates.items()), "license_id string, text string")
@@ -75,30 +109,34 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     """One row per document and license found in it: doc_id, license_id, n_shared, n_template, containment.
 
     A template is found in a document that holds a share `least` or more of its distinct five-word shingles
-    (of a shorter template: its whole word sequence). Candidates are those whose bands meet the bands of
-    one of the document's windows of WINDOW words, STRIDE words apart; containment is then counted on the
-    words themselves, over the whole document. Null and empty texts, and texts without a license, give no
-    row; repeated rows give theirs once each. Without templates there are no rows. Other columns are not
-    read. The templates are a parameter: they and their bands are what is broadcast.
+    (of a shorter template: its whole word sequence). Candidates are those of whose windows some signature
+    meets that of one of the document's (SCALES, BIN_BITS); containment is then counted on the words
+    themselves, over the whole document. Null and empty texts, and texts without a license, give no row;
+    repeated rows give theirs once each. Without templates there are no rows. Other columns are not read.
+    The templates are a parameter; their bands are joined to the documents', by broadcast up to TEMPLATE_BYTES of text.
     """
     spark = docs.sparkSession
-    known = template_table(spark, TEMPLATES if templates is None else templates)
+    texts = TEMPLATES if templates is None else templates
+    known = template_table(spark, texts)
+    near = F.broadcast if sum(len(t or "") for t in texts.values()) <= TEMPLATE_BYTES else (lambda df: df)
     sizes = sorted({r["size"] for r in known.select("size").distinct().collect()}) or [SHINGLE]
     own = with_shingles(known, sizes)
-    mine = F.coalesce(*[F.when(F.col("size") == k, F.col(f"s{k}")) for k in sizes])
-    index = own.select("license_id", F.explode(F.filter(bands(mine), lambda x: x.isNotNull())).alias("band")).collect()
-    values = sorted({r["band"] for r in index}) or [0]
-    by_band = spark.createDataFrame([(r["license_id"], r["band"]) for r in index], "license_id string, band long")
+    limits = [low for low, _, _ in SCALES]
     base = docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("words"), F.monotonically_increasing_id().alias("row"))
     hashed = with_shingles(base, sizes).select("doc_id", "row", "words", *[f"s{k}" for k in sizes])
-    # the shingle arrays are used twice each, so the optimizer computes them once a row and not once a window
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words"), *[F.size(f"s{k}") for k in sizes]), F.lit(STRIDE))
-    window = lambda s: F.flatten(F.array(*[F.slice(F.col(f"s{k}"), s, WINDOW) for k in sizes]))
-    met = F.flatten(F.transform(starts, lambda s: F.filter(bands(window(s)), lambda x: x.isin(values))))
-    found = hashed.select("doc_id", "row", "words", F.array_distinct(met).alias("met"))
-    # explode() would add a filter on met that the optimizer copies, expression and all, below every projection
-    candidates = found.select("doc_id", "row", "words", F.explode_outer("met").alias("band")).filter("band IS NOT NULL").join(F.broadcast(by_band), "band")
-    candidates = candidates.dropDuplicates(["row", "license_id"]).join(F.broadcast(known.select("license_id", F.col("words").alias("template"), "size")), "license_id")
+    # (kind, bands of the templates it is for, bands of a document); a kind is a shingle length with windows of one shingle, or a scale
+    mine = [F.when((F.col("size") == k) & (F.size(f"s{k}") < limits[0]), tagged(F.col(f"s{k}"), k)) for k in sizes]
+    theirs = [tagged(F.col(f"s{k}"), k) for k in sizes]
+    for i, (low, width, stride) in enumerate(SCALES):
+        fits = (F.col("size") == SHINGLE) & (F.size(f"s{SHINGLE}") >= low) & (F.size(f"s{SHINGLE}") < (limits + [1 << 30])[i + 1]) if SHINGLE in sizes else F.lit(False)
+        if SHINGLE in sizes:
+            mine.append(F.when(fits, tagged(F.filter(bands(F.col(f"s{SHINGLE}"), width, 1), lambda x: x.isNotNull()), -1 - i)))
+            theirs.append(tagged(bands(F.col(f"s{SHINGLE}"), width, stride), -1 - i))
+    index = own.select("license_id", F.explode(F.coalesce(*mine)).alias("b")).select("license_id", "b.kind", "b.band").distinct()
+    # explode() would add a filter that the optimizer copies, expression and all, below every projection
+    met = hashed.select("doc_id", "row", "words", F.explode_outer(F.concat(*theirs)).alias("b")).select("doc_id", "row", "words", "b.kind", "b.band")
+    candidates = met.join(near(index), ["kind", "band"]).dropDuplicates(["row", "license_id"]).select("doc_id", "words", "license_id")
+    candidates = candidates.join(near(known.select("license_id", F.col("words").alias("template"), "size")), "license_id")
     sequences = lambda col: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(col) - F.col("size") + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col(col), i, F.col("size")), " ")))
     counted = candidates.select("doc_id", "license_id", F.size(F.array_intersect(sequences("words"), sequences("template"))).cast("long").alias("n_shared"), F.size(sequences("template")).cast("long").alias("n_template"))
     return counted.withColumn("containment", F.col("n_shared") / F.col("n_template")).filter(F.col("containment") >= least)
