@@ -64,7 +64,7 @@ def precision_class(seconds: Column) -> Column:
 
 
 # Texts that stand for nothing.
-PLACEHOLDERS = ("", "-", "n/a", "na", "nan", "none", "null", "unknown", "unnamed", "?")
+PLACEHOLDERS = ("", "-", "--", "n/a", "na", "none", "null", "unknown", "no information", "no_information", "not available", "unnamed", "unnamed glacier", "unidentified", "not identified", "no name")
 
 
 def meaningful(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.plans import aggregates, checks, derivations, events, grids, metrics, models, panels, records, rules, streams  # noqa: F401  (they register their queries)
+from panelforge.plans import aggregates, catalogue, checks, derivations, events, grids, metrics, models, panels, records, rules, streams  # noqa: F401  (they register their queries)
 from panelforge.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "q187_calendar_zscore"

@@ -69,7 +69,7 @@ def classification(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.when(k == "PROMO", "offer").when(k == "ECONOMY", "cheap").when(k == "STANDARD", "plain").otherwise("UNRESOLVED").alias("class"))
 
 
-@query("q64_slug", "SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 48) AS slug, CASE WHEN lower(trim(p_name)) IN ('', '-', 'n/a', 'na', 'nan', 'none', 'null', 'unknown', 'unnamed', '?') THEN '' ELSE trim(p_name) END AS name FROM part")
+@query("q64_slug", "SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 48) AS slug, CASE WHEN lower(trim(p_name)) IN ('', '-', '--', 'n/a', 'na', 'none', 'null', 'unknown', 'no information', 'no_information', 'not available', 'unnamed', 'unnamed glacier', 'unidentified', 'not identified', 'no name') THEN '' ELSE trim(p_name) END AS name FROM part")
 def slugs(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.slug(F.col("p_name")).alias("slug"), X.meaningful(F.col("p_name")).alias("name"))
 
