@@ -8,16 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm.storage import ROW, numbered, stored, with_rows
+
 SHINGLE = 5
-#: (shingles of a window, shingles between the starts of windows) by the least number of shingles of a template. Templates
-#: below the first limit are found by windows of one shingle each, which meet for certain.
-SCALES = ((10, 12, 8), (40, 60, 48))
-#: One-permutation MinHash: each shingle of a window is hashed once, the top BIN_BITS bits name one of 32 bins, and the least
-#: hash of each bin is one of the signature's minima, a band of one row each. Windows of a template lie at every shingle.
-#: A shingle that a document shares with a template is its window's minimum with a probability of 0.84 among 12 shingles and
-#: 0.45 among 60. A template with a share LEAST of its shingles in the document shares 8 or 32 of them or more, so all bands
-#: miss with a probability of 0.16 ** 8 = 4e-7 or 0.55 ** 32 = 5e-9 at most.
-BIN_BITS = 5
+#: (least shingles of a template, shingles of a window, shingles between the starts of windows, minima). Templates below the
+#: first limit are found by windows of one shingle each, which meet for certain.
+#: A window's signature are its shingles of least hash, each a band of one row; windows of a template lie at every shingle. A
+#: document's and a template's window of n shingles that share c of them have a band in common for certain if n - c is less
+#: than the minima, else with a probability of 1 - 2 * C(n - c, minima) / C(n, minima) or more. A template with a share LEAST
+#: of its shingles in the document, cut in half by the windows, shares 5 of 12 with two windows, or 16 of 60: all bands miss
+#: with a probability of (2 * 0.008) ** 2 = 2e-4 or (2 * 0.003) ** 2 = 4e-5 then, and hardly ever where a window lies better.
+SCALES = ((10, 12, 8, 6), (40, 60, 48, 16))
 LEAST = 0.8
 #: Bytes of template text up to which the bands (about 16 bytes a byte of text) and the templates are broadcast.
 TEMPLATE_BYTES = 16_000_000
@@ -80,23 +81,10 @@ def with_shingles(df: DataFrame, sizes: list[int]) -> DataFrame:
     return df
 
 
-def minima(shingles: Column) -> Column:
-    """Of each bin the least hash, in order; what else is in the window becomes null.
-
-    transform() over one element holds the sorted array as a value.
-    """
-    differ = lambda x, before: F.when(before.isNull() | (F.shiftright(x, 64 - BIN_BITS) != F.shiftright(before, 64 - BIN_BITS)), x)
-    return F.flatten(F.transform(F.array(F.sort_array(shingles)), lambda o: F.zip_with(o, F.slice(F.array_prepend(o, None), 1, F.size(o)), differ)))
-
-
-def bands(shingles: Column, width: int, stride: int) -> Column:
-    """The distinct signature minima of all windows of width shingles, stride apart. The last window may be shorter."""
+def bands(shingles: Column, width: int, stride: int, minima: int) -> Column:
+    """The signatures of all windows of width shingles, stride apart, one after the other. The last window may be shorter."""
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(shingles) - (width - stride)), F.lit(stride))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda at: minima(F.slice(shingles, at, width)))))
-
-
-def tagged(found: Column, kind: int) -> Column:
-    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("band")))
+    return F.flatten(F.transform(starts, lambda at: F.slice(F.sort_array(F.slice(shingles, at, width)), 1, minima)))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -110,7 +98,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
 
     A template is found in a document that holds a share `least` or more of its distinct five-word shingles
     (of a shorter template: its whole word sequence). Candidates are those of whose windows some signature
-    meets that of one of the document's (SCALES, BIN_BITS); containment is then counted on the words
+    meets that of one of the document's (SCALES); containment is then counted on the words
     themselves, over the whole document. Null and empty texts, and texts without a license, give no row;
     repeated rows give theirs once each. Without templates there are no rows. Other columns are not read.
     The templates are a parameter; their bands are joined to the documents', by broadcast up to TEMPLATE_BYTES of text.
@@ -121,22 +109,23 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     near = F.broadcast if sum(len(t or "") for t in texts.values()) <= TEMPLATE_BYTES else (lambda df: df)
     sizes = sorted({r["size"] for r in known.select("size").distinct().collect()}) or [SHINGLE]
     own = with_shingles(known, sizes)
-    limits = [low for low, _, _ in SCALES]
-    base = docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("words"), F.monotonically_increasing_id().alias("row"))
-    hashed = with_shingles(base, sizes).select("doc_id", "row", "words", *[f"s{k}" for k in sizes])
-    # (kind, bands of the templates it is for, bands of a document); a kind is a shingle length with windows of one shingle, or a scale
-    mine = [F.when((F.col("size") == k) & (F.size(f"s{k}") < limits[0]), tagged(F.col(f"s{k}"), k)) for k in sizes]
-    theirs = [tagged(F.col(f"s{k}"), k) for k in sizes]
-    for i, (low, width, stride) in enumerate(SCALES):
-        fits = (F.col("size") == SHINGLE) & (F.size(f"s{SHINGLE}") >= low) & (F.size(f"s{SHINGLE}") < (limits + [1 << 30])[i + 1]) if SHINGLE in sizes else F.lit(False)
-        if SHINGLE in sizes:
-            mine.append(F.when(fits, tagged(F.filter(bands(F.col(f"s{SHINGLE}"), width, 1), lambda x: x.isNotNull()), -1 - i)))
-            theirs.append(tagged(bands(F.col(f"s{SHINGLE}"), width, stride), -1 - i))
-    index = own.select("license_id", F.explode(F.coalesce(*mine)).alias("b")).select("license_id", "b.kind", "b.band").distinct()
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    hashed = with_shingles(rows.select(ROW, words("text").alias("words")), sizes).select(ROW, *[f"s{k}" for k in sizes])
+    full, n = F.col(f"s{SHINGLE}"), F.size(f"s{SHINGLE}")
+    least_of = [low for low, *_ in SCALES] + [1 << 30]
+    mine, theirs = [], [F.col(f"s{k}") for k in sizes if k < SHINGLE]
+    if SHINGLE in sizes:
+        for (low, width, stride, minima), high in zip(SCALES, least_of[1:], strict=True):
+            mine.append(F.when((F.col("size") == SHINGLE) & (n >= low) & (n < high), bands(full, width, 1, minima)))
+            theirs.append(bands(full, width, stride, minima))
+        theirs.append(full)
+    mine += [F.when(F.col("size") == k, F.col(f"s{k}")) for k in sizes]
+    index = own.select("license_id", F.explode(F.coalesce(*mine)).alias("band")).distinct()
     # explode() would add a filter that the optimizer copies, expression and all, below every projection
-    met = hashed.select("doc_id", "row", "words", F.explode_outer(F.concat(*theirs)).alias("b")).select("doc_id", "row", "words", "b.kind", "b.band")
-    candidates = met.join(near(index), ["kind", "band"]).dropDuplicates(["row", "license_id"]).select("doc_id", "words", "license_id")
-    candidates = candidates.join(near(known.select("license_id", F.col("words").alias("template"), "size")), "license_id")
+    met = hashed.select(ROW, F.explode_outer(F.concat(*theirs)).alias("band"))
+    pairs = stored(met.join(near(index), "band").select(ROW, "license_id").distinct(), "candidates")
+    found = with_rows(rows, pairs).select("doc_id", "license_id", words("text").alias("words"))
+    candidates = found.join(near(known.select("license_id", F.col("words").alias("template"), "size")), "license_id")
     sequences = lambda col: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(col) - F.col("size") + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col(col), i, F.col("size")), " ")))
     counted = candidates.select("doc_id", "license_id", F.size(F.array_intersect(sequences("words"), sequences("template"))).cast("long").alias("n_shared"), F.size(sequences("template")).cast("long").alias("n_template"))
     return counted.withColumn("containment", F.col("n_shared") / F.col("n_template")).filter(F.col("containment") >= least)
