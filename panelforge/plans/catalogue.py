@@ -45,7 +45,7 @@ def impact(t: Tables) -> DataFrame:
 
 
 @query("q71_normalised_records", """SELECT o_orderkey, 'ev_' || substr(sha256(o_custkey::VARCHAR || '|' || strftime(o_orderdate, '%Y-%m-%d')), 1, 12) AS event_id, o_orderdate::DATE AS date_min, (o_orderdate + INTERVAL 7 DAY)::DATE AS date_max,
-    CASE o_orderstatus WHEN 'O' THEN '' ELSE o_orderstatus END AS status, round(o_totalprice / 2, 2) AS volume_min, round(o_totalprice, 2) AS volume_max, o_totalprice >= 100000 AS detectable,
+    CASE o_orderstatus WHEN 'O' THEN '' ELSE o_orderstatus END AS status, o_totalprice / 2 AS volume_min, round(o_totalprice, 2) AS volume_max, o_totalprice >= 100000 AS detectable,
     CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'DJF' WHEN month(o_orderdate) IN (3, 4, 5) THEN 'MAM' WHEN month(o_orderdate) IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END AS season, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g'), '_') AS mechanism, CASE WHEN o_totalprice IS NULL THEN 1 ELSE 0 END AS n_problems FROM orders""")
 def normalised(t: Tables) -> DataFrame:
     """A catalogue row from raw cells: identity, date bounds, text without placeholders, volume bounds, season, problems."""
@@ -58,7 +58,7 @@ def normalised(t: Tables) -> DataFrame:
         day.alias("date_min"),
         F.date_add(day, 7).alias("date_max"),
         status.alias("status"),
-        F.round(low, 2).alias("volume_min"),
+        low.alias("volume_min"),
         F.round(high, 2).alias("volume_max"),
         (high >= 100000).alias("detectable"),
         X.season(day).alias("season"),
