@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.skew import lookup
 from panelforge.llm.storage import parts, stored
 
 
@@ -90,7 +91,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
     Alternating large-star and small-star rounds: every round is joins and minima over edges, the edges
-    never leave the executors, and the rounds grow with the logarithm of the graph. Only two numbers a
+    never leave the executors, and the rounds grow with the logarithm of the graph. Hubs are joined where their edges lie. Only two numbers a
     round reach the driver, to see whether the edges still change.
     """
 
@@ -101,8 +102,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = settled(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        least = both.groupBy("v").agg(F.least(F.min("m"), F.first("v")).alias("s"))
-        large = both.filter("m > v").join(least, "v").select(F.col("m").alias("v"), F.col("s").alias("m")).distinct()
+        least = both.groupBy("v").agg(F.least(F.min("m"), F.first("v")).alias("s"), F.count(F.lit(1)).alias("n"))
+        hubs = lookup(both.filter("m > v"), least, ["v"], "n")
+        large = hubs.select(F.col("m").alias("v"), F.col("s").alias("m")).distinct()
         small = large.groupBy("v").agg(F.min("m").alias("s"))
         linked = large.join(small, "v")
         pairs = linked.filter("m <> s").select(F.col("m").alias("v"), F.col("s").alias("m")).unionByName(small.select("v", F.col("s").alias("m")))

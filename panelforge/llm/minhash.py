@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,9 @@ SIDE, ROWS = 8, 2
 #: Of the 32 two-bit pieces of a sketch: most that may differ for two documents to be candidates (at 0.85
 #: 3.6 are expected, more than 13 have a chance of 1e-6), and most for one not to open a group of its own.
 LOOSE, TIGHT = 13, 8
-#: Documents and shingles of a family of candidates that one task takes; larger families are cut in blocks.
-FAMILY_DOCS, FAMILY_SHINGLES = 4096, 4_000_000
+#: Documents and shingles of a family of candidates that one task compares; in larger families candidates are verified edge
+#: by edge, and what may be linked beyond that meets by rare shingles.
+FAMILY_DOCS, FAMILY_SHINGLES = 512, 1_000_000
 #: Rows of one bucket that a task holds at once; a larger bucket is taken in portions.
 HELD_ROWS = 1_000_000
 
@@ -58,11 +60,12 @@ def _signature(shingles: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
     return key, sketch
 
 
+#: d1, d2: 128 bits of the SHA-256 of the lower-cased text, by which copies are one class.
 SCANNED = "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, sketch long"
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """For each document the size, two independent digests, half-keys and sketch of its shingle set."""
+    """For each document the digest of its text, and the size, half-keys and sketch of its shingle set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,11 +74,12 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
                 sets = shingle_sets(batch.column(1).slice(a, b - a), size)
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
-                d = np.zeros((len(sets), 2), np.uint64)
+                data, off = K.text_buffers(batch.column(1).slice(a, b - a))
+                low, at = K.LOWER[data].tobytes(), off.tolist()
+                d = np.frombuffer(b"".join(hashlib.sha256(low[x:y]).digest()[:16] for x, y in zip(at[:-1], at[1:], strict=True)), np.uint64).reshape(-1, 2)
                 halves, sketch = np.zeros((len(sets), 2 * SIDE), np.uint64), np.zeros(len(sets), np.uint64)
                 if len(some):
                     flat, off = np.concatenate(sets), np.concatenate([[0], np.cumsum(n[some])])
-                    d[some] = np.stack([np.add.reduceat(K.mix(flat, seed), off[:-1]) for seed in (31, 32)], axis=1)
                     halves[some], sketch[some] = _signature(flat, off)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * 2 * SIDE, pa.int32()), pa.array(K.signed(halves.ravel())))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(K.signed(d[:, 0].copy())), pa.array(K.signed(d[:, 1].copy())), lists, pa.array(K.signed(sketch))], ["doc_id", "n_shingles", "d1", "d2", "halves", "sketch"])
@@ -180,11 +184,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def linked(docs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def linked(docs: np.ndarray, sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links 100 * |A & B| >= percent * |A | B| among these documents, each as (doc, other).
 
-    Every pair that is not yet joined by links found before is compared on the full sets: one document at
-    a time against all others, through the documents that hold each of its shingles.
+    known: labels of documents that are joined already where equal. Two linked sets share one of each one's rarest
+    shingles (of n, the n - ceil(percent * n / 100) + 1 that fewest documents here have), so one document at a time meets
+    those that hold one of its rarest; pairs that no link found before joins are compared on the full sets.
     """
     n = len(docs)
     size = np.array([len(s) for s in sets], np.int64)
@@ -197,7 +202,7 @@ def linked(docs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
     posting = np.empty(len(flat), np.int64)
     posting[order] = np.repeat(np.arange(len(first)), count)
     at = np.concatenate([[0], np.cumsum(size)])
-    label = np.arange(n)
+    label = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
     out = []
     for i in range(n - 1):
         if (label == label[0]).all():
@@ -208,16 +213,96 @@ def linked(docs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
         if not todo.any() or not size[i]:
             continue
         p = posting[at[i] : at[i + 1]]
-        c = count[p]
-        where = np.repeat(first[p] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
-        common = np.bincount(owner[where], minlength=n)
-        for j in np.flatnonzero(todo & (100 * common >= percent * (size + size[i] - common))).tolist():
+        rare = p[np.argsort(count[p], kind="stable")][: size[i] + percent * size[i] // -100 + 1]
+        meet = _holders(rare[count[rare] > 1], first, count, owner)
+        todo &= np.bincount(meet, minlength=n) > 0
+        some = np.flatnonzero(todo)
+        if not len(some):
+            continue
+        if len(some) < 20:
+            common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in some.tolist()])
+        else:
+            common = np.bincount(_holders(p, first, count, owner), minlength=n)[some]
+        for j in some[100 * common >= percent * (size[some] + size[i] - common)].tolist():
             if label[j] != label[i]:
                 out.append((int(docs[i]), int(docs[j])))
                 label[label == label[j]] = label[i]
     return out
 
 
+def _holders(postings: np.ndarray, first: np.ndarray, count: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The documents of each of these postings, one after the other."""
+    c = count[postings]
+    return owner[np.repeat(first[postings] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())] if len(postings) else owner[:0]
+
+
+def _set_rows(size: int):
+    """(node, root, text) -> (node, root, set)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, off = K.text_buffers(batch.column(2))
+            for a, b in K.slices(off):
+                sets = shingle_sets(batch.column(2).slice(a, b - a), size)
+                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(K.signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], ["node", "root", "set"])
+
+    return scan
+
+
+def compared(texts: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) within each group of members (node, root, known, n_shingles): groups over FAMILY_DOCS are cut in blocks,
+    which meet in pairs."""
+    total = members.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
+    most = lambda c, limit: F.when(F.col(c) > limit, F.ceil(2 * F.col(c) / limit)).otherwise(1)
+    total = total.withColumn("blocks", F.greatest(most("docs", FAMILY_DOCS), most("shingles", FAMILY_SHINGLES)).cast("int"))
+    mine = lookup(members.select("node", "root", "known"), total.select("root", "blocks", "docs"), ["root"], "docs").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = texts.join(mine.hint("merge"), "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    jobs = rows.withColumn("other", other).select("node", "known", "text", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("job"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "job"):
+            table = table.combine_chunks()
+            job, node, known = (table.column(c).to_numpy() for c in ("job", "node", "known"))
+            start = np.concatenate([np.flatnonzero(np.concatenate([[True], job[1:] != job[:-1]])), [len(job)]])
+            found: list[tuple[int, int]] = []
+            for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+                found += linked(node[s:e], shingle_sets(table.column("text").slice(s, e - s), shingle), percent, known[s:e])
+            if found:
+                a, b = np.array(found, np.int64).T.copy()
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return dealt(jobs, "job", "node").mapInArrow(K.tidy(verify), "a long, b long")
+
+
+def large_families(texts: DataFrame, nodes: DataFrame, edges: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) in families too large to be compared by one task each: their nodes (node, root) and candidate edges.
+
+    First each candidate edge is verified on the full sets; what is linked so is one component. A link that is left over joins
+    two components, and its documents share one of each one's rarest shingles in the family. So documents meet by those, only
+    where they are of several components: pages of one template, each with its own content, meet nowhere, and copies of
+    one text are one component by then. Lists of the same documents are compared once.
+    """
+    sets = stored(texts.join(nodes.hint("merge"), "node").select("node", "root", "text").mapInArrow(K.tidy(_set_rows(shingle)), "node long, root long, set array<long>"), "large-sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    ends = edges.join(side("a"), "a").join(side("b"), "b")
+    links = stored(ends.withColumn("both", shared).filter(100 * F.col("both") >= percent * (F.size("a_set") + F.size("b_set") - F.col("both"))).select("a", "b"), "large-links")
+    label = components(links).withColumnRenamed("root", "known")
+    item = sets.select("node", "root", F.size("set").cast("long").alias("n_shingles"), F.explode("set").alias("h"))
+    held = stored(item.groupBy("root", "h").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "large-shingles")
+    least = (F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1).cast("int")
+    rare = lookup(item, held, ["root", "h"], "held", "left").groupBy("node", "root", "n_shingles").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "h"))).alias("all"))
+    rare = rare.select("node", "root", "n_shingles", F.explode(F.slice("all", 1, least)).alias("x")).filter("x.held > 1").select("node", "n_shingles", F.xxhash64("root", "x.h").alias("list"))
+    rare = stored(rare.join(label, "node", "left").withColumn("known", F.coalesce("known", "node")), "large-rare")
+    lists = rare.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("known").alias("low"), F.max("known").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    chosen = lists.filter("low <> high").groupBy("n", "x", "s").agg(F.min("list").alias("list")).select("list", "n")
+    members = lookup(rare, stored(chosen, "large-lists"), ["list"], "n").select("node", F.col("list").alias("root"), "known", "n_shingles")
+    return links.unionByName(compared(texts, stored(members, "large-members"), shingle, percent))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -236,27 +321,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = classes.select("doc_id", "halves", "sketch").mapInArrow(K.tidy(_table_rows), "key long, doc long, sketch long")
     edges = stored(dealt(buckets, "key", "doc").mapInArrow(K.tidy(_candidates), "a long, b long").distinct(), "candidates")
     family = components(edges)
-    sized = stored(family.join(classes.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node"), "families")
+    sized = family.join(classes.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node").withColumn("known", F.col("node"))
+    sized = stored(sized, "families")
     total = sized.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
-    total = total.withColumn("blocks", F.greatest(F.lit(1), F.when((F.col("docs") > FAMILY_DOCS) | (F.col("shingles") > FAMILY_SHINGLES), F.greatest(F.ceil(2 * F.col("docs") / FAMILY_DOCS), F.ceil(2 * F.col("shingles") / FAMILY_SHINGLES))).otherwise(1)).cast("int"))
-    mine = lookup(sized.select("node", "root"), total.select("root", "blocks", "docs"), ["root"], "docs").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(mine.hint("merge"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    jobs = texts.withColumn("other", other).select("node", "text", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("job"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "job"):
-            table = table.combine_chunks()
-            job, node = table.column("job").to_numpy(), table.column("node").to_numpy()
-            start = np.concatenate([np.flatnonzero(np.concatenate([[True], job[1:] != job[:-1]])), [len(job)]])
-            found: list[tuple[int, int]] = []
-            for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                found += linked(node[s:e], shingle_sets(table.column("text").slice(s, e - s), shingle), percent)
-            if found:
-                a, b = np.array(found, np.int64).T.copy()
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    links = components(dealt(jobs, "job", "node").mapInArrow(K.tidy(verify), "a long, b long"))
+    large = stored(total.filter((F.col("docs") > FAMILY_DOCS) | (F.col("shingles") > FAMILY_SHINGLES)), "large")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    if large.limit(1).count():
+        mine = lookup(sized, large.select("root", "docs"), ["root"], "docs", "left")
+        far = stored(mine.filter("docs IS NOT NULL").select("node", "root"), "large-nodes")
+        inside = edges.join(far.select(F.col("node").alias("a")), "a", "left_semi")
+        found = compared(texts, mine.filter("docs IS NULL").drop("docs"), shingle, percent).unionByName(large_families(texts, far, inside, shingle, percent))
+    else:
+        found = compared(texts, sized, shingle, percent)
+    links = components(found)
     placed = classes.join(links, classes.doc_id == links.node, "left").select("d1", "d2", "copies", F.coalesce("root", "doc_id").alias("component_id"))
     some = lookup(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "d1", "d2"), placed, ["d1", "d2"], "copies")
     none = rows.filter("n_shingles = 0 OR doc_id IS NULL")
