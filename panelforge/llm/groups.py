@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from panelforge.llm.skew import lookup
 from panelforge.llm.storage import parts, stored
 
+#: Edges of a graph from which on some node may have more than a task should join at once.
+HUB_EDGES = 50_000
+
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Batches sorted by key, recut so that no key's rows are split: each table holds complete groups."""
@@ -103,7 +106,8 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.unionByName(now.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy("v").agg(F.least(F.min("m"), F.first("v")).alias("s"), F.count(F.lit(1)).alias("n"))
-        hubs = lookup(both.filter("m > v"), least, ["v"], "n")
+        up = both.filter("m > v")
+        hubs = lookup(up, least, ["v"], "n") if state[0] > HUB_EDGES else up.join(least, "v")
         large = hubs.select(F.col("m").alias("v"), F.col("s").alias("m")).distinct()
         small = large.groupBy("v").agg(F.min("m").alias("s"))
         linked = large.join(small, "v")

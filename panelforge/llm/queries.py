@@ -62,7 +62,44 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_html, op4_decontamination, op5_quality, op6_substring, op7_exact_dedup, op8_minhash, op9_licenses, op10_suffix_array)}
 
+UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
+_PLAIN = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_BLANK = "list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLES: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents), b AS (SELECT item_id, {_PLAIN} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        t AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        s AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM t))),
+        h AS (SELECT doc_id, i, k, item_id FROM s JOIN t USING (k, win)),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY 1),
+        m AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op6_substring": f"""
+        WITH d AS (SELECT doc_id, {_BLANK} AS w FROM documents),
+        s AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM (SELECT *, count(*) OVER (PARTITION BY win) AS n FROM s) WHERE n > 1 GROUP BY 1),
+        u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+        k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept FROM u LEFT JOIN (SELECT doc_id, unnest(gone) AS p, TRUE AS out FROM g) o USING (doc_id, p) WHERE out IS NULL GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op8_minhash": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(p.n) + any_value(q.n) - count(*))),
+        f AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT f.b, r.m FROM r JOIN f ON f.a = r.doc_id)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id, n""",
+    "op10_suffix_array": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        s AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 200)) AS win FROM (SELECT doc_id, x, unnest(range(1, len(x) // 2 - 98)) AS i FROM d)),
+        g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100 AS apart FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM s) WHERE r > 1),
+        v AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS z FROM (SELECT *, sum(coalesce(apart, TRUE)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+        o AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed, list(a ORDER BY a) AS froms, list(z ORDER BY a) AS tos FROM v GROUP BY 1),
+        k AS (SELECT d.doc_id, x, n_spans, n_removed, list_prepend(0, tos) AS tos, list_append(froms, len(x) // 2 + 1) AS froms FROM d LEFT JOIN o USING (doc_id))
+        SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(tos) + 1), lambda j: substr(x, 2 * tos[j] + 1, 2 * (froms[j] - tos[j] - 1))), '') END)) AS kept_sha256 FROM k""",
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
