@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.skew import lookup
-from panelforge.llm.storage import stored
+from panelforge.llm.storage import ROW, numbered, stored, with_rows
 
 #: Of the 16 first hex digits of a rolling hash, those that end a chunk: one line in four.
 CUT_DIGITS = ("0", "1", "2", "3")
 LEAST_LINES = 2
+KEY = ["digest", "n_bytes"]
 
 
 def chunked(text: str) -> Column:
@@ -35,33 +36,36 @@ def line_count(chunk: Column) -> Column:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed (lines), n_chunks (removed), kept (the other lines).
 
-    Of equal chunks of least_lines lines or more the first stays, by doc_id and then position; the others
-    go. Equal means equal bytes: chunks are grouped by their text, and a hash shared by unequal chunks
-    removes nothing. The empty text has one empty line; null has none and is kept as the empty text. Rows
-    with a null id keep all their lines. Rows that repeat an id are one document read several times: what
-    goes from one goes from all. An empty table gives no rows; other columns are not read.
+    Of equal chunks of least_lines lines or more the first stays, by doc_id (null last), the row's place in the table and
+    position; the others go. Chunks meet by SHA-256 and length, and those that meet are compared byte by byte: only texts
+    of repeated chunks move, one for each task that has them. Chunks that meet but are not equal stay. The empty text has
+    one empty line; null has none and is kept as the empty text. An empty table gives no rows; other columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = base.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode_outer(chunked("text")).alias("nth", "chunk"))
-    chunks = chunks.withColumn("lines", line_count(F.col("chunk"))).filter(F.col("lines") >= least_lines)
-    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("nth")
-    place = place.cast("decimal(38,0)")
-    key = F.xxhash64("chunk").alias("hash")
-    rows = stored(chunks.select("doc_id", "nth", key, place.alias("place"), "lines"), "chunks")
-    texts = chunks.select("chunk", place.alias("place")).groupBy("chunk").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    hashes = texts.select(key, "first", "n").groupBy("hash").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    repeated = stored(hashes.filter("n > 1 AND texts = 1").select("hash", "first", "n"), "repeated")
-    gone = lookup(rows, repeated, ["hash"], "n").filter("place <> first")
-    gone = gone.groupBy("doc_id").agg(F.collect_set("nth").alias("gone"), F.sum(F.lit(1)).alias("chunks"))
-    marked = base.join(gone.hint("merge"), "doc_id", "left")
-    kept = F.filter(chunked("text"), lambda c, i: F.col("gone").isNull() | ~F.array_contains(F.coalesce(F.col("gone"), F.array().cast("array<int>")), i))
-    joined = marked.select("doc_id", "text", "gone", kept.alias("stay"))
-    whole = F.when(F.col("text").isNull(), 0).otherwise(line_count(F.col("text")))
-    plain = F.substring(F.replace(F.concat(F.lit("\n"), F.array_join("stay", "\n")), F.lit("\n="), F.lit("\n")), 2, 1 << 30)
-    result = joined.select("doc_id", whole.cast("long").alias("n_lines"), F.coalesce(F.size("gone").cast("long"), F.lit(0)).alias("n_chunks"), F.size("stay").alias("left"), F.coalesce(plain, F.lit("")).alias("kept"))
-    result = result.withColumn("n_chunks", F.when(F.col("n_chunks") < 0, 0).otherwise(F.col("n_chunks")))
-    left = F.when((F.col("n_lines") == 0) | (F.col("left") <= 0), 0).otherwise(line_count(F.col("kept")))
-    return result.select("doc_id", "n_lines", (F.col("n_lines") - left).alias("n_removed"), "n_chunks", "kept")
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    found = rows.filter("text IS NOT NULL").select(ROW, "doc_id", F.posexplode_outer(chunked("text")).alias("nth", "chunk"))
+    digest = F.unhex(F.sha2(F.encode("chunk", "utf-8"), 256))
+    found = found.select(ROW, "doc_id", "nth", digest.alias("digest"), F.octet_length("chunk").alias("n_bytes"), line_count(F.col("chunk")).alias("lines"))
+    chunks = stored(found.filter(F.col("lines") >= least_lines), "chunks")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW, "nth")
+    repeated = stored(chunks.groupBy(*KEY).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    asked = lookup(chunks, repeated.select(*KEY, "n"), KEY, "n").groupBy(ROW).agg(F.collect_list(F.struct("nth", *KEY)).alias("asked"))
+    texts = with_rows(rows.select(ROW, "text"), stored(asked, "asked"))
+    # transform() over one element holds the chunks as a value
+    said = F.flatten(F.transform(F.array(chunked("text")), lambda c: F.transform("asked", lambda x: F.struct(*[x[k].alias(k) for k in KEY], c[x["nth"]].alias("chunk")))))
+    equal = texts.select(F.explode(said).alias("x")).select("x.*").groupBy(*KEY).agg((F.min("chunk") == F.max("chunk")).alias("equal"))
+    sure = stored(repeated.join(equal.filter("equal"), KEY, "left_semi"), "sure")
+    gone = lookup(chunks, sure, KEY, "n").filter(place != F.col("first"))
+    gone = stored(gone.groupBy(ROW).agg(F.collect_set("nth").alias("gone"), F.sum("lines").alias("n_removed")), "gone")
+    marked = with_rows(rows, gone, "left")
+    stay = F.array_join(F.filter(chunked("text"), lambda c, i: ~F.array_contains("gone", i)), "\n")
+    plain = F.substring(F.replace(F.concat(F.lit("\n"), stay), F.lit("\n="), F.lit("\n")), 2, 1 << 30)
+    return marked.select(
+        "doc_id",
+        F.when(F.col("text").isNull(), 0).otherwise(line_count(F.col("text"))).cast("long").alias("n_lines"),
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_chunks"),
+        F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(plain).alias("kept"),
+    )
 
 
 def line_digest(deduped: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(gone) if few else gone.hint("merge"), ROW, "left_anti").drop(ROW)
 
 
-def with_rows(rows: DataFrame, facts: DataFrame) -> DataFrame:
+def with_rows(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
     """numbered rows joined to facts on ROW, which has any number of rows for each. Texts stay where they are if facts are few."""
     few = facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(facts) if few else facts.hint("merge"), ROW)
+    return rows.join(F.broadcast(facts) if few else facts.hint("merge"), ROW, how)
