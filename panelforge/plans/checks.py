@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalars as X
+from panelforge.operators import order as O
 from panelforge.operators import events as E
 from panelforge.plans.panels import UNIT_SQL, unit_daily
 from panelforge.plans.registry import Tables, query
@@ -75,7 +76,7 @@ def midrank_reference(t: Tables) -> DataFrame:
     """Counts of reference values run over distinct values; the rows to be ranked join by value, never with all the reference."""
     p = t.part.select("p_partkey", F.col("p_retailprice").alias("v"), (F.col("p_partkey") % 3 != 0).cast("int").alias("ref"))
     c = p.groupBy("v").agg(F.sum("ref").alias("n"))
-    w = c.withColumn("below", F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = O.running(c, [], ["v"], "n", "upto").withColumn("below", F.col("upto") - F.col("n"))
     total = p.agg(F.sum("ref").alias("all"))
     return p.filter("ref = 0").join(w, "v").join(F.broadcast(total)).select("p_partkey", F.round(100.0 * (F.col("below") + 0.5 * F.col("n")) / F.col("all"), 8).alias("percentile"))
 
@@ -91,7 +92,8 @@ def window_reference(t: Tables) -> DataFrame:
 @query("q214_gap_summary", "WITH g AS (SELECT user_id, date_diff('day', CAST(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DATE), CAST(ts AS DATE)) AS gap FROM events) SELECT CAST(min(gap) AS INT) AS least, round(quantile_cont(gap, 0.5), 4) AS median, CAST(max(gap) AS INT) AS most, count(gap) AS n FROM g")
 def gap_summary(t: Tables) -> DataFrame:
     g = t.events.select(F.datediff(F.to_date("ts"), F.to_date(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))).alias("gap"))
-    return g.agg(F.min("gap").alias("least"), F.round(F.percentile("gap", 0.5), 4).alias("median"), F.max("gap").alias("most"), F.count("gap").alias("n"))
+    ends = g.agg(F.min("gap").alias("least"), F.max("gap").alias("most"), F.count("gap").alias("n"))
+    return ends.join(F.broadcast(O.quantiles(g, [], "gap", [0.5]))).select("least", F.round(F.col("q")[0], 4).alias("median"), "most", "n")
 
 
 @query("q312_distance_zones", """WITH RECURSIVE p AS (SELECT s_suppkey AS id, ((s_suppkey * 7919) % 1000) / 10.0 AS x, ((s_suppkey * 104729) % 1000) / 10.0 AS y FROM supplier WHERE s_suppkey <= 200), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 5),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats as S
+from panelforge.operators import order as O
 from panelforge.plans.registry import Tables, query
 
 #: Labelled rows with a probability made from the id, so that both engines see the same numbers.
@@ -152,28 +153,30 @@ def ari(t: Tables) -> DataFrame:
 
 @query("q167_rate_by_quartile", "WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.75) AS c FROM orders) SELECT CAST((o_totalprice >= a)::INT + (o_totalprice >= b)::INT + (o_totalprice >= c)::INT AS INT) AS quartile, count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 8) AS rate FROM orders, q GROUP BY 1")
 def by_quartile(t: Tables) -> DataFrame:
-    q = t.orders.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = O.quantiles(t.orders, [], "o_totalprice", [0.25, 0.5, 0.75])
     bucket = sum(((F.col("o_totalprice") >= F.col("q")[i]).cast("int") for i in (1, 2)), (F.col("o_totalprice") >= F.col("q")[0]).cast("int"))
     return t.orders.join(F.broadcast(q)).groupBy(bucket.alias("quartile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 8).alias("rate"))
 
 
 @query("q168_five_numbers", "SELECT o_orderpriority, round(min(o_totalprice), 2) AS low, round(quantile_cont(o_totalprice, 0.25), 6) AS q25, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.75), 6) AS q75, round(max(o_totalprice), 2) AS high FROM orders GROUP BY 1")
 def five_numbers(t: Tables) -> DataFrame:
-    q = F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = t.orders.groupBy("o_orderpriority").agg(F.round(F.min("o_totalprice"), 2).alias("low"), q.alias("q"), F.round(F.max("o_totalprice"), 2).alias("high"))
+    g = t.orders.groupBy("o_orderpriority").agg(F.round(F.min("o_totalprice"), 2).alias("low"), F.round(F.max("o_totalprice"), 2).alias("high"))
+    g = g.join(O.quantiles(t.orders, ["o_orderpriority"], "o_totalprice", [0.25, 0.5, 0.75]), "o_orderpriority")
     return g.select("o_orderpriority", "low", F.round(F.col("q")[0], 6).alias("q25"), F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2], 6).alias("q75"), "high")
 
 
 @query("q273_robust_scale", "WITH q AS (SELECT p_brand, quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS m, quantile_cont(p_retailprice, 0.75) AS c FROM part GROUP BY 1) SELECT p_partkey, round((p_retailprice - m) / nullif(c - a, 0), 6) AS scaled FROM part JOIN q USING (p_brand)")
 def robust(t: Tables) -> DataFrame:
-    q = t.part.groupBy("p_brand").agg(F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = O.quantiles(t.part, ["p_brand"], "p_retailprice", [0.25, 0.5, 0.75])
     return t.part.join(q, "p_brand").select("p_partkey", F.round((F.col("p_retailprice") - F.col("q")[1]) / F.nullif(F.col("q")[2] - F.col("q")[0], F.lit(0.0)), 6).alias("scaled"))
 
 
 @query("q245_train_only_scaling", "WITH f AS (SELECT quantile_cont(p_size, 0.5) AS med, avg(coalesce(p_size, 0)) AS m, stddev_pop(p_size) AS s FROM part WHERE p_partkey % 3 <> 0) SELECT p_partkey, round((coalesce(p_size, med) - m) / s, 8) AS scaled FROM part, f WHERE p_partkey % 3 = 0")
 def train_only(t: Tables) -> DataFrame:
-    f = t.part.filter("p_partkey % 3 <> 0").agg(F.percentile("p_size", 0.5).alias("med"), F.avg(F.coalesce("p_size", F.lit(0))).alias("m"), F.stddev_pop("p_size").alias("s"))
-    return t.part.filter("p_partkey % 3 = 0").join(F.broadcast(f)).select("p_partkey", F.round((F.coalesce("p_size", "med") - F.col("m")) / F.col("s"), 8).alias("scaled"))
+    learn = t.part.filter("p_partkey % 3 <> 0")
+    middle = O.quantiles(learn, [], "p_size", [0.5]).select(F.col("q")[0].alias("med"))
+    f = learn.agg(F.avg(F.coalesce("p_size", F.lit(0))).alias("m"), F.stddev_pop("p_size").alias("s"))
+    return t.part.filter("p_partkey % 3 = 0").join(F.broadcast(f)).join(F.broadcast(middle)).select("p_partkey", F.round((F.coalesce("p_size", "med") - F.col("m")) / F.col("s"), 8).alias("scaled"))
 
 
 @query("q102_hash_dropout", "SELECT doc_id, (('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT / 281474976710656.0) < 0.3 AS dropped FROM documents")
@@ -192,6 +195,7 @@ def mixture_parameters(t: Tables) -> DataFrame:
 
 @query("q274_stratified_subsample", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE r <= ceil(0.05 * n)")
 def subsample(t: Tables) -> DataFrame:
-    w = Window.partitionBy("o_orderpriority")
-    r = t.orders.select("o_orderkey", F.row_number().over(w.orderBy(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "o_orderkey")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    rows = t.orders.select("o_orderkey", "o_orderpriority", F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("h"), F.lit(1).alias("one"))
+    n = t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    r = O.running(rows, ["o_orderpriority"], ["h", "o_orderkey"], "one", "r").join(F.broadcast(n), "o_orderpriority")
     return r.filter("r <= ceil(0.05D * n)").select("o_orderkey")

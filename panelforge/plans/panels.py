@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators import order as O
 from panelforge.operators import windows as W
 from panelforge.plans.registry import Tables, query
 
@@ -190,7 +191,7 @@ def exceedance(t: Tables) -> DataFrame:
 
 @query("q192_midrank", "SELECT p_partkey, p_brand, round(100.0 * (rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) - 1 + 0.5 * count(*) OVER (PARTITION BY p_brand, p_retailprice)) / count(*) OVER (PARTITION BY p_brand), 8) AS midrank FROM part")
 def midrank(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", "p_brand", F.round(W.midrank("p_retailprice", ["p_brand"]), 8).alias("midrank"))
+    return O.midranks(t.part.select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], "p_retailprice", "m").select("p_partkey", "p_brand", F.round("m", 8).alias("midrank"))
 
 
 @query("q199_antecedent_window", f"""WITH {UNIT_SQL}, e AS (SELECT l_returnflag AS unit, CAST(l_shipdate AS DATE) AS event_day FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY 1, 2)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalars as X
+from panelforge.operators import order as O
 from panelforge.operators import windows as W
 from panelforge.plans.panels import UNIT_SQL, unit_daily
 from panelforge.plans.registry import Tables, query
@@ -43,8 +44,8 @@ def on_axis(t: Tables, events: DataFrame) -> DataFrame:
 def rollup(t: Tables) -> DataFrame:
     m = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
     c = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_date"), F.array_join(F.transform(m, lambda x: x["o_orderkey"].cast("string")), ",").alias("members"))
-    nth = F.row_number().over(Window.partitionBy(F.col("o_custkey") % 10).orderBy("first_date", "o_custkey"))
-    return c.select("o_custkey", "members", nth.alias("nth"))
+    c = c.withColumn("k", F.col("o_custkey") % 10).withColumn("one", F.lit(1))
+    return O.running(c, ["k"], ["first_date", "o_custkey"], "one", "nth").select("o_custkey", "members", F.col("nth").cast("int").alias("nth"))
 
 
 @query("q364_apply_decisions", "SELECT c_custkey, coalesce(d.segment, c.c_mktsegment) AS segment, d.segment IS NOT NULL AS changed FROM customer c LEFT JOIN (SELECT o_custkey, max('REVIEWED') AS segment FROM orders WHERE o_totalprice > 400000 GROUP BY 1) d ON c_custkey = o_custkey")
@@ -95,8 +96,7 @@ def scope(t: Tables) -> DataFrame:
 @query("q402_rank_finite_cells", "WITH g AS (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_retailprice END AS v, p_size % 3 AS component FROM part), r AS (SELECT *, (rank() OVER (PARTITION BY component ORDER BY v) - 1 + 0.5 * count(*) OVER (PARTITION BY component, v)) / count(*) OVER (PARTITION BY component) AS p FROM g WHERE v IS NOT NULL) SELECT g.p_partkey, round(100 * p, 8) AS percentile FROM g LEFT JOIN r USING (p_partkey)")
 def rank_finite(t: Tables) -> DataFrame:
     g = t.part.select("p_partkey", F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice")).alias("v"), (F.col("p_size") % 3).alias("component"))
-    r = g.filter("v IS NOT NULL").select("p_partkey", F.round(W.midrank("v", ["component"]), 8).alias("percentile"))
-    return g.select("p_partkey").join(r, "p_partkey", "left")
+    return O.midranks(g, ["component"], "v", "p").select("p_partkey", F.round("p", 8).alias("percentile"))
 
 
 @query("q416_threshold_rule", "SELECT event_id, CASE WHEN value IS NOT NULL AND NOT isnan(value) AND abs(value) < 'inf'::DOUBLE AND value >= 50 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS p FROM events")
