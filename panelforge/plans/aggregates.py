@@ -29,11 +29,6 @@ def reason_lists(t: Tables) -> DataFrame:
     return g.filter(F.size("r") > 0).select("o_custkey", F.array_join("r", "|").alias("reasons"))
 
 
-@query("q151_occupancy", "WITH c AS (SELECT p_size % 7 AS label, count(*) AS n FROM part WHERE p_size % 7 < 5 GROUP BY 1) SELECT CAST(l AS INT) AS label, round(coalesce(n, 0) / (SELECT sum(n) FROM c), 10) AS share FROM range(7) r(l) LEFT JOIN c ON label = l")
-def occupancy(t: Tables) -> DataFrame:
-    return occupied(t, t.part.filter("p_size % 7 < 5"), 7)
-
-
 @query("q151_occupancy_all", "WITH c AS (SELECT p_size % 7 AS label, count(*) AS n FROM part GROUP BY 1) SELECT CAST(l AS INT) AS label, round(coalesce(n, 0) / (SELECT sum(n) FROM c), 10) AS share FROM range(9) r(l) LEFT JOIN c ON label = l")
 def occupancy_all(t: Tables) -> DataFrame:
     """Labels 7 and 8 are in the spine and occur nowhere."""
@@ -67,11 +62,6 @@ def reference_state(t: Tables) -> DataFrame:
     return j.select("unit", "day", F.when(reason == "ok", F.round((F.col("v") - F.col("mean")) / F.col("s"), 6)).alias("z"), reason.alias("reason"))
 
 
-@query("q197_washout", f"WITH {UNIT_SQL}, e AS (SELECT DISTINCT l_returnflag AS unit, CAST(l_shipdate AS DATE) AS event_day FROM lineitem WHERE l_orderkey % 997 = 0) SELECT u.unit, count(*) AS kept FROM unit_daily u WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.unit = u.unit AND u.day BETWEEN e.event_day - 7 AND e.event_day + 7) GROUP BY 1")
-def washout(t: Tables) -> DataFrame:
-    return washed(t, t.lineitem.filter("l_orderkey % 997 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("d")))
-
-
 @query("q197_washout_all", f"WITH {UNIT_SQL}, {EVENT_SQL} SELECT u.unit, count(*) AS kept FROM unit_daily u WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.unit = u.unit AND u.day BETWEEN e.event_day - 7 AND e.event_day + 7) GROUP BY 1")
 def washout_all(t: Tables) -> DataFrame:
     return washed(t, event_days(t).withColumnRenamed("event_day", "d"))
@@ -128,11 +118,6 @@ def graph_checks(t: Tables) -> DataFrame:
     return e.join(known, "parent", "left").agg(F.count(F.when(F.col("id") == F.col("parent"), 1)).alias("self_parent"), F.count(F.when(F.col("known").isNull(), 1)).alias("dangling"))
 
 
-@query("q287_case_crossover", f"WITH {UNIT_SQL}, e AS (SELECT DISTINCT l_returnflag AS unit, CAST(l_shipdate AS DATE) AS event_day FROM lineitem WHERE l_orderkey % 997 = 0) SELECT e.unit, event_day, count(*) AS controls, round(avg(v), 6) AS control_mean FROM e JOIN unit_daily u ON u.unit = e.unit AND month(u.day) = month(event_day) AND year(u.day) <> year(event_day) GROUP BY 1, 2")
-def crossover(t: Tables) -> DataFrame:
-    return crossed(t, t.lineitem.filter("l_orderkey % 997 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("event_day")).distinct())
-
-
 @query("q287_case_crossover_all", f"WITH {UNIT_SQL}, {EVENT_SQL} SELECT e.unit, event_day, count(*) AS controls, round(avg(v), 6) AS control_mean FROM e JOIN unit_daily u ON u.unit = e.unit AND month(u.day) = month(event_day) AND year(u.day) <> year(event_day) GROUP BY 1, 2")
 def crossover_all(t: Tables) -> DataFrame:
     return crossed(t, event_days(t))

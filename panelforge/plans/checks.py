@@ -96,12 +96,6 @@ def gap_summary(t: Tables) -> DataFrame:
     return ends.join(F.broadcast(O.quantiles(g, [], "gap", [0.5]))).select("least", F.round(F.col("q")[0], 4).alias("median"), "most", "n")
 
 
-@query("q312_distance_zones", """WITH RECURSIVE p AS (SELECT s_suppkey AS id, ((s_suppkey * 7919) % 1000) / 10.0 AS x, ((s_suppkey * 104729) % 1000) / 10.0 AS y FROM supplier WHERE s_suppkey <= 200), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 5),
-    r AS (SELECT id AS node, id AS root FROM p UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a) SELECT node, min(root) AS zone FROM r GROUP BY 1""")
-def zones(t: Tables) -> DataFrame:
-    return zoned(placed(t.supplier.filter("s_suppkey <= 200")))
-
-
 @query("q312_distance_zones_all")
 def zones_all(t: Tables) -> DataFrame:
     """Points of one place are one zone, so each place takes part once, by its smallest id: pairs grow with places, not with points."""

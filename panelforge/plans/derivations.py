@@ -119,11 +119,6 @@ def denylist(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", (F.lower("p_name").rlike("(outcome|label|future|post_)") | (F.col("p_size") % 17 == 0)).alias("leaks"))
 
 
-@query("q104_verified_binding", "SELECT o_orderkey, c_name, md5(c_name) = md5('Customer#' || o_custkey::VARCHAR) AS matches FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0")
-def binding(t: Tables) -> DataFrame:
-    return bound(t.orders.filter("o_orderkey % 7 = 0"), t.customer)
-
-
 @query("q104_verified_binding_all", "SELECT o_orderkey, c_name, md5(c_name) = md5('Customer#' || o_custkey::VARCHAR) AS matches FROM orders JOIN customer ON o_custkey = c_custkey")
 def binding_all(t: Tables) -> DataFrame:
     return bound(t.orders, t.customer)

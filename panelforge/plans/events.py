@@ -89,14 +89,7 @@ def matched(t: Tables) -> DataFrame:
 XY_SQL = "xy AS (SELECT p_partkey AS id, CAST((p_partkey * 7919) % 1000 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 1000 AS DOUBLE) AS y FROM part)"
 
 
-@query("q119_nearest_join", f"""WITH {XY_SQL}, d AS (SELECT a.id AS point, b.id AS target, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM xy a JOIN xy b ON a.id % 5 = 0 AND b.id % 5 = 1 AND abs(a.x - b.x) <= 40 AND abs(a.y - b.y) <= 40)
-    SELECT point, target, round(distance, 8) AS distance FROM (SELECT *, rank() OVER (PARTITION BY point ORDER BY distance) AS r FROM d WHERE distance <= 40) WHERE r = 1""")
-def nearest(t: Tables) -> DataFrame:
-    xy = placed(t)
-    return E.nearest(xy.filter("id % 5 = 0"), xy.filter("id % 5 = 1"), "id", "id", "x", "y", 40.0).withColumn("distance", F.round("distance", 8))
-
-
-@query("q119_nearest_join_all", f"""WITH {XY_SQL}, s AS (SELECT s_suppkey AS id, CAST((s_suppkey * 7919) % 997 AS DOUBLE) AS x, CAST((s_suppkey * 104729) % 997 AS DOUBLE) AS y FROM supplier), d AS (SELECT a.id AS point, b.id AS target, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM xy a JOIN s b ON abs(a.x - b.x) <= 40 AND abs(a.y - b.y) <= 40)
+@query("q119_nearest_join", f"""WITH {XY_SQL}, s AS (SELECT s_suppkey AS id, CAST((s_suppkey * 7919) % 997 AS DOUBLE) AS x, CAST((s_suppkey * 104729) % 997 AS DOUBLE) AS y FROM supplier), d AS (SELECT a.id AS point, b.id AS target, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM xy a JOIN s b ON abs(a.x - b.x) <= 40 AND abs(a.y - b.y) <= 40)
     SELECT point, target, round(distance, 8) AS distance FROM (SELECT *, rank() OVER (PARTITION BY point ORDER BY distance) AS r FROM d WHERE distance <= 40) WHERE r = 1""")
 def nearest_all(t: Tables) -> DataFrame:
     """Every part against every supplier."""
@@ -109,13 +102,6 @@ def placed(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 7919) % 1000).cast("double").alias("x"), ((F.col("p_partkey") * 104729) % 1000).cast("double").alias("y"))
 
 
-@query("q237_event_groups", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 3) // 4 AS b FROM orders WHERE o_custkey % 4 = 0 AND o_custkey > 0), up AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT up.a, e.b, n + 1 FROM up JOIN e ON up.b = e.a WHERE n < 40)
-    , nodes AS (SELECT a AS node FROM e UNION SELECT b FROM e) SELECT node, least(node, coalesce(min(b), node)) AS root FROM nodes LEFT JOIN up ON up.a = node GROUP BY node""")
-def event_groups(t: Tables) -> DataFrame:
-    e = t.orders.filter("o_custkey % 4 = 0 AND o_custkey > 0").select("o_custkey", F.expr("(o_custkey * 3) div 4").alias("parent"))
-    return E.components(e, "o_custkey", "parent")
-
-
 @query("q237_event_groups_all", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 3) // 4 AS b FROM orders), up AS (SELECT a, b FROM e UNION SELECT up.a, e.b FROM up JOIN e ON up.b = e.a)
     , nodes AS (SELECT a AS node FROM e UNION SELECT b FROM e) SELECT node, least(node, coalesce(min(b), node)) AS root FROM nodes LEFT JOIN up ON up.a = node GROUP BY node""")
 def event_groups_all(t: Tables) -> DataFrame:

@@ -194,12 +194,6 @@ def midrank(t: Tables) -> DataFrame:
     return O.midranks(t.part.select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], "p_retailprice", "m").select("p_partkey", "p_brand", F.round("m", 8).alias("midrank"))
 
 
-@query("q199_antecedent_window", f"""WITH {UNIT_SQL}, e AS (SELECT l_returnflag AS unit, CAST(l_shipdate AS DATE) AS event_day FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY 1, 2)
-    SELECT e.unit, event_day, round(sum(v), 4) AS exposure, round(avg(v), 6) AS mean_value FROM e JOIN unit_daily d ON d.unit = e.unit AND d.day BETWEEN event_day - 10 AND event_day - 4 GROUP BY 1, 2 HAVING count(*) = 7""")
-def antecedent(t: Tables) -> DataFrame:
-    return antecedents(t, t.lineitem.filter("l_orderkey % 97 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("event_day")).distinct())
-
-
 @query("q199_antecedent_window_all", f"""WITH {UNIT_SQL}, {EVENT_SQL}
     SELECT e.unit, event_day, round(sum(v), 4) AS exposure, round(avg(v), 6) AS mean_value FROM e JOIN unit_daily d ON d.unit = e.unit AND d.day BETWEEN event_day - 10 AND event_day - 4 GROUP BY 1, 2 HAVING count(*) = 7""")
 def antecedent_all(t: Tables) -> DataFrame:
@@ -226,13 +220,6 @@ def cadence(t: Tables) -> DataFrame:
     return g.groupBy("o_custkey").agg(F.min("gap").alias("min_gap"), F.round(F.percentile("gap", 0.5), 4).alias("median_gap"), F.max("gap").alias("max_gap"), F.count("gap").alias("gaps"), F.coalesce(F.bool_and(F.col("gap") % 7 == 0), F.lit(False)).alias("weekly"))
 
 
-@query("q205_superposed_epoch", f"""WITH {UNIT_SQL}, p AS (SELECT *, 100.0 * (rank() OVER (PARTITION BY unit ORDER BY v) - 1 + 0.5 * count(*) OVER (PARTITION BY unit, v)) / count(*) OVER (PARTITION BY unit) AS pct FROM unit_daily),
-    e AS (SELECT DISTINCT l_returnflag AS unit, CAST(l_shipdate AS DATE) AS event_day FROM lineitem WHERE l_orderkey % 97 = 0)
-    SELECT CAST(lag AS INT) AS lag, count(*) AS n, round(avg(pct), 6) AS mean_pct FROM e CROSS JOIN range(-17, 4) r(lag) JOIN p ON p.unit = e.unit AND p.day = event_day + CAST(lag AS INT) GROUP BY 1""")
-def superposed(t: Tables) -> DataFrame:
-    return superposed_on(t, t.lineitem.filter("l_orderkey % 97 = 0").select(F.col("l_returnflag").alias("unit"), F.to_date("l_shipdate").alias("event_day")).distinct())
-
-
 @query("q205_superposed_epoch_all", f"""WITH {UNIT_SQL}, p AS (SELECT *, 100.0 * (rank() OVER (PARTITION BY unit ORDER BY v) - 1 + 0.5 * count(*) OVER (PARTITION BY unit, v)) / count(*) OVER (PARTITION BY unit) AS pct FROM unit_daily), {EVENT_SQL}
     SELECT CAST(lag AS INT) AS lag, count(*) AS n, round(avg(pct), 6) AS mean_pct FROM e CROSS JOIN range(-17, 4) r(lag) JOIN p ON p.unit = e.unit AND p.day = event_day + CAST(lag AS INT) GROUP BY 1""")
 def superposed_all(t: Tables) -> DataFrame:

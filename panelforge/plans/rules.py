@@ -20,12 +20,6 @@ def calendar(t: Tables) -> DataFrame:
     return c.join(u.withColumn("there", F.lit(1)), ["unit", "day"], "left").groupBy("unit", F.year("day").alias("year")).agg(F.count(F.lit(1)).alias("expected"), F.count("there").alias("found"))
 
 
-@query("q354_continuous_axis", """WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, sum(value) AS v FROM events WHERE user_id <= 20 GROUP BY 1, 2), c AS (SELECT DISTINCT user_id, CAST(d AS DATE) AS day FROM h, (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE))::TIMESTAMP FROM events), (SELECT max(CAST(ts AS DATE))::TIMESTAMP FROM events), INTERVAL 1 DAY)) AS d))
-    SELECT user_id, day, CASE WHEN n >= 2 THEN round(v, 6) END AS total FROM c LEFT JOIN h USING (user_id, day)""")
-def continuous(t: Tables) -> DataFrame:
-    return on_axis(t, t.events.filter("user_id <= 20"))
-
-
 @query("q354_continuous_axis_all", """WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2), c AS (SELECT user_id, CAST(d AS DATE) AS day FROM (SELECT DISTINCT user_id FROM h), (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE))::TIMESTAMP FROM events), (SELECT max(CAST(ts AS DATE))::TIMESTAMP FROM events), INTERVAL 1 DAY)) AS d))
     SELECT user_id, day, CASE WHEN n >= 2 THEN round(v, 6) END AS total FROM c LEFT JOIN h USING (user_id, day)""")
 def continuous_all(t: Tables) -> DataFrame:
@@ -159,11 +153,6 @@ def logit(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(z, 8).alias("logit"), F.round(back, 8).alias("back"))
 
 
-@query("q461_date_ranges", "SELECT o_orderkey, CAST(d AS DATE) AS day FROM (SELECT o_orderkey, unnest(generate_series(CAST(o_orderdate AS DATE)::TIMESTAMP, (CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 - 1 AS INT))::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM orders WHERE o_orderkey % 50 = 1)")
-def date_ranges(t: Tables) -> DataFrame:
-    return expanded(t.orders.filter("o_orderkey % 50 = 1"))
-
-
 @query("q461_date_ranges_all", "SELECT o_orderkey, CAST(d AS DATE) AS day FROM (SELECT o_orderkey, unnest(generate_series(CAST(o_orderdate AS DATE)::TIMESTAMP, (CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 - 1 AS INT))::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM orders)")
 def date_ranges_all(t: Tables) -> DataFrame:
     return expanded(t.orders)
