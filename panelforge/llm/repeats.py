@@ -7,6 +7,9 @@ what moves between machines: about two for every span - gram + 2 units, 4 number
 
 1. Runs meet by anchor. An anchor seen once proves all its windows unique: most text ends here.
 2. Runs of the same anchor and the same units are a class: its repeats are settled by counting.
+   A class that a sample of the documents shows to be hot (a passage that many share) is settled before it
+   moves: rows after the sample's first one are repeats whatever else there is, and go their own ways; the
+   others, few, stand for the class. The sample decides only how rows travel, never what they are.
 3. Anchors with several classes need a closer look, at one run of each class: its units (at most
    2 * span - gram) are fetched and compared by a method of the caller's. Of anchors with very many runs
    the windows of each such run are fetched as hashes, and each window's content is a group of its own:
@@ -31,13 +34,17 @@ from pyspark.sql import functions as F
 from panelforge.llm import kernels as K
 from panelforge.llm.groups import bounded_groups, dealt
 from panelforge.llm.skew import lookup
-from panelforge.llm.storage import small_batches, stored
+from panelforge.llm.storage import BROADCAST_ROWS, parts, small_batches, stored
 
 SEGMENT = 1 << 20
 PLACE = 22
 #: Rows of one anchor that a task holds at once. An anchor with more is taken in parts, and what needs a closer
 #: look in it is compared window by window, by content, instead of run by run.
 HELD_ROWS = 200_000
+#: One document in SAMPLE is looked at for hot classes and anchors: those with a share HOT of a task's rows, MOST_HOT at most.
+SAMPLE, HOT, MOST_HOT = 64, 0.1, 1024
+#: Parts that the copies of one window are first settled in.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -114,7 +121,24 @@ def _segment(codes: np.ndarray, at: np.ndarray, row0: int, shape: Shape) -> tupl
 
 
 #: more: places (8 bytes each) of further runs of the same class in the same document.
-RUN = "anchor long, class long, doc_id long, place long, more binary"
+#: spread: what rows of one task have in common. done: a row of a hot class that is a repeat for certain.
+RUN = "anchor long, class long, doc_id long, place long, more binary, spread long, done boolean"
+RUN_NAMES = ["anchor", "class", "doc_id", "place", "more", "spread", "done"]
+
+
+@dataclass(frozen=True)
+class Heat:
+    """What the sample found: hot classes with the first (doc_id, place) of each in it, and anchors hot in other classes."""
+
+    classes: np.ndarray
+    docs: np.ndarray
+    places: np.ndarray
+    anchors: np.ndarray
+
+    @staticmethod
+    def none() -> Heat:
+        z = np.zeros(0, np.int64)
+        return Heat(z, z, z, z)
 
 
 def packed(lo: np.ndarray, count: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -125,8 +149,12 @@ def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 16, place >> 8 & 255, place & 255
 
 
-def _emit_runs(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row for each class of runs in a document, so that text that repeats itself is one row however long it is."""
+def _emit_runs(shape: Shape, heat: Callable[[], Heat] = Heat.none) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for each class of runs in a document, so that text that repeats itself is one row however long it is.
+
+    Rows of a hot class beyond the sample's first are done; if all that occur elsewhere count, so are the others, besides
+    standing for the class. Rows of a hot anchor go by class.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,16 +173,39 @@ def _emit_runs(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     more = pa.array([place[x[1:]].tobytes() if len(x) > 1 else None for x in others], pa.binary())
                     row, place, anchor, whole = row[first], place[first], anchor[first], whole[first]
                 more = pa.nulls(len(row), pa.binary()) if more is None else more
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchor)), pa.array(K.signed(whole)), pa.array(ids[a:b][row]), pa.array(place), more], ["anchor", "class", "doc_id", "place", "more"])
+                anchor, whole, doc = K.signed(anchor), K.signed(whole), ids[a:b][row]
+                spread, done = anchor, np.zeros(len(doc), bool)
+                known = heat()
+                if len(known.classes):
+                    at = np.minimum(np.searchsorted(known.classes, whole), len(known.classes) - 1)
+                    hot = known.classes[at] == whole
+                    done = hot & ((doc > known.docs[at]) | ((doc == known.docs[at]) & (place > known.places[at])))
+                    again = np.flatnonzero(hot & ~done) if not shape.earlier else np.zeros(0, np.int64)
+                    if len(again):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[again], whole[again], doc[again], place[again])] + [more.take(pa.array(again)), pa.array(K.signed(K.mix(doc[again].view(np.uint64)))), pa.array(np.ones(len(again), bool))], RUN_NAMES)
+                    spread = np.where(done, K.signed(K.mix(doc.astype(np.int64).view(np.uint64))), anchor)
+                if len(known.anchors):
+                    spread = np.where(~done & np.isin(anchor, known.anchors), K.signed(K.mix(anchor.view(np.uint64) ^ whole.view(np.uint64), 15)), spread)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor, whole, doc, place)), more, pa.array(spread), pa.array(done)], RUN_NAMES)
 
     return scan
 
 
+def _heat(runs: DataFrame, tasks: int) -> Heat:
+    """The hot classes and anchors among the runs of a sample of documents."""
+    c = stored(runs.groupBy("anchor", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")), "sampled")
+    least = max(8.0, HOT * (c.agg(F.sum("n")).first()[0] or 0) / tasks)
+    classes = c.filter(F.col("n") >= least).orderBy(F.desc("n"), "class").limit(MOST_HOT).select("class", "first.doc_id", "first.place").toArrow().sort_by("class")
+    rest = c.filter(F.col("n") < least).groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).filter((F.col("n") >= least) & (F.col("k") > 1))
+    anchors = rest.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).select("anchor").toArrow()
+    return Heat(*(classes.column(x).to_numpy() for x in ("class", "doc_id", "place")), anchors.column("anchor").to_numpy())
+
+
 MET = "doc_id long, place long, anchor long, sure boolean, look boolean, many boolean"
 _NAMES = ["doc_id", "place", "anchor", "sure", "look", "many"]
 
 
-def _met(doc: np.ndarray, place: np.ndarray, anchor: np.ndarray, sure: np.ndarray, look: np.ndarray, more: pa.Array, many: bool) -> pa.RecordBatch | None:
+def _met(doc: np.ndarray, place: np.ndarray, anchor: np.ndarray, sure: np.ndarray, look: np.ndarray, more: pa.Array, many: bool | np.ndarray) -> pa.RecordBatch | None:
     """The rows worth keeping, with the further runs of their documents, which are sure whatever the shape."""
     keep = np.flatnonzero(sure | look)
     again = np.flatnonzero(np.asarray(more.is_valid()))
@@ -164,12 +215,13 @@ def _met(doc: np.ndarray, place: np.ndarray, anchor: np.ndarray, sure: np.ndarra
     if not len(rows):
         return None
     yes, no = np.ones(len(mine), bool), np.zeros(len(mine), bool)
-    flags = [np.concatenate([sure[keep], yes]), np.concatenate([look[keep], no]), np.full(len(rows), many)]
+    flags = [np.concatenate([sure[keep], yes]), np.concatenate([look[keep], no]), np.broadcast_to(many, len(doc))[rows]]
     return pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(np.concatenate([place[keep], *others])), pa.array(anchor[rows]), *map(pa.array, flags)], _NAMES)
 
 
-def _meet(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Runs sorted by anchor, class, doc_id, place -> those of repeated anchors.
+def _meet(shape: Shape, heat: Callable[[], Heat] = Heat.none) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs sorted by spread, anchor, class, doc_id, place -> those of repeated anchors. Hot anchors count as having several
+    classes and very many runs.
 
     sure: all windows of the run are repeated. look: stands for its class where the anchor has several.
     many: the anchor has more than HELD_ROWS runs; of it only the last row and the first are remembered
@@ -187,11 +239,29 @@ def _meet(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         per_class = np.bincount(cls, weights=weight)[cls]
         several = np.bincount(group[first], minlength=group[-1] + 1)[group] > 1
         sure = ~first if shape.earlier else per_class > 1
-        return _met(table.column("doc_id").to_numpy(), table.column("place").to_numpy(), anchor, sure, first & several, more, False)
+        hot = heat().anchors
+        many = bool(len(hot)) and np.isin(anchor, hot)
+        several |= many
+        return _met(table.column("doc_id").to_numpy(), table.column("place").to_numpy(), anchor, sure, first & several, more, many)
+
+    def parted(batches: Iterator[pa.RecordBatch], ready: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = batch.column(6).to_numpy(zero_copy_only=False).astype(bool)
+            if done.any():
+                rows = batch.filter(pa.array(done))
+                yes = np.ones(rows.num_rows, bool)
+                out = _met(rows.column(2).to_numpy(), rows.column(3).to_numpy(), rows.column(0).to_numpy(), yes, ~yes, rows.column(4), False)
+                if out is not None:
+                    ready.append(out)
+                batch = batch.filter(pa.array(~done))
+            yield batch
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opening, before, last = None, None, None  # first row of the first class; class before `last`; the row held back
-        for table, part in bounded_groups(batches, "anchor", HELD_ROWS):
+        ready: list[pa.RecordBatch] = []
+        for table, part in bounded_groups(parted(batches, ready), "spread", HELD_ROWS):
+            yield from ready
+            ready.clear()
             if part == "whole":
                 out = whole(table)
             else:
@@ -204,7 +274,7 @@ def _meet(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 twice = np.asarray(more.is_valid())
                 sure = ~first if shape.earlier else ~(first & ends) | twice
                 look = first.copy()
-                if before is None:
+                if before is None and rows.column("anchor")[0].as_py() not in heat().anchors:
                     opening, look[0] = rows.slice(0, 1), False
                 elif opening is not None and first[:n].any():
                     yield pa.RecordBatch.from_arrays([*(pa.array(opening.column(c).to_numpy()) for c in ("doc_id", "place", "anchor")), *(pa.array([x]) for x in (False, True, True))], _NAMES)
@@ -218,6 +288,7 @@ def _meet(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     opening, before, last = None, None, None
             if out is not None:
                 yield out
+        yield from ready
 
     return meet
 
@@ -227,6 +298,33 @@ LOOKED = "anchor long, second long, doc_id long, place long, sure boolean, units
 LOOKED_NAMES = ["anchor", "second", "doc_id", "place", "sure", "units"]
 
 
+#: open: the first of its window in its part, still to be settled. twice: its part has others.
+WINDOW = "doc_id long, lo long, n long, anchor long, second long, place long, open boolean, twice boolean"
+
+
+def _window_parts(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Single windows of one part, sorted by their two hashes, doc_id and place -> the repeats, and the first of each, open."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None
+        for batch in chain(batches, [None]):
+            rows = pa.Table.from_batches([x for x in (held, batch) if x is not None]) if held is not None or batch is not None else None
+            if rows is None or not rows.num_rows:
+                continue
+            key = np.stack([rows.column(c).to_numpy() for c in ("anchor", "second")], axis=1)
+            change = (key[1:] != key[:-1]).any(axis=1)
+            first = np.concatenate([[before is None or (key[0] != before).any()], change])
+            alone = first & np.concatenate([change, [True]])
+            n = len(key) if batch is None else len(key) - 1
+            if n:
+                before = key[n - 1]
+                place = rows.column("place").to_numpy()[:n]
+                yield pa.RecordBatch.from_arrays([pa.array(rows.column("doc_id").to_numpy()[:n]), pa.array(unpacked(place)[0]), pa.array(np.ones(n, np.int64)), pa.array(key[:n, 0].copy()), pa.array(key[:n, 1].copy()), pa.array(place), pa.array(first[:n]), pa.array((first & ~alone)[:n])], ["doc_id", "lo", "n", "anchor", "second", "place", "open", "twice"])
+            held = rows.slice(n).combine_chunks().to_batches()[0] if n < len(key) else None
+
+    return look
+
+
 def _same_windows(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Single windows sorted by their two hashes, doc_id and place -> the repeated ones. One row is held back between batches."""
 
@@ -337,13 +435,26 @@ def repeated_windows(docs: DataFrame, shape: Shape, looker: Callable[[Shape], Ca
     first = digest.groupBy("d", "x").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     settled = lookup(digest, stored(first, "copies"), ["d", "x"], "copies").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("first")).alias("copy"))
     settled = stored(settled, "settled")
+    own = texts.join(settled.filter("copy").hint("merge"), "doc_id", "left_anti").select("doc_id", "text")
+    few = settled.filter("copy").select("doc_id").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    copies = settled.filter("copy").select("doc_id")
+    some = some.join(F.broadcast(copies) if few else copies.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), "doc_id", "left_anti").select("doc_id", "text")
+    spark = docs.sparkSession
+    table = spark.sparkContext.broadcast(_heat(some.mapInArrow(K.tidy(_emit_runs(shape)), RUN), parts(spark)))
+    known = lambda: table.value
     # One plan from here, so that the three joins by id read one exchange of the texts.
-    runs = texts.join(settled.filter("copy").hint("merge"), "doc_id", "left_anti").select("doc_id", "text").mapInArrow(K.tidy(_emit_runs(shape)), RUN)
-    met = dealt(runs, "anchor", "class", "doc_id", "place").mapInArrow(K.tidy(_meet(shape)), MET)
+    runs = own.mapInArrow(K.tidy(_emit_runs(shape, known)), RUN)
+    met = dealt(runs, "spread", "anchor", "class", "doc_id", "place").mapInArrow(K.tidy(_meet(shape, known)), MET)
     looks = met.filter("look").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor", "sure", "many")).alias("looks"))
     fetched = texts.join(looks.hint("merge"), "doc_id").select("doc_id", "text", "looks").mapInArrow(K.tidy(_fetch(shape)), LOOKED)
     found = dealt(fetched.filter("units IS NOT NULL"), "anchor", "doc_id", "place").mapInArrow(K.tidy(looker(shape)), SPANS)
-    same = dealt(fetched.filter("units IS NULL").select("anchor", "second", "doc_id", "place"), "anchor", "second", "doc_id", "place").mapInArrow(K.tidy(_same_windows(shape)), SPANS)
+    single = fetched.filter("units IS NULL").select("anchor", "second", "doc_id", "place", F.xxhash64("anchor", "second", F.pmod("doc_id", F.lit(SALTS))).alias("part"))
+    ordered = dealt(single, "part", "anchor", "second", "doc_id", "place").select("anchor", "second", "doc_id", "place")
+    windows = ordered.mapInArrow(K.tidy(_window_parts(shape)), WINDOW)
+    firsts = dealt(windows.filter("open").select("anchor", "second", "doc_id", "place"), "anchor", "second", "doc_id", "place").mapInArrow(K.tidy(_same_windows(shape)), SPANS)
+    again = windows.filter("NOT open" if shape.earlier else "NOT open OR twice").select("doc_id", "lo", "n")
+    same = firsts.unionByName(again)
     sure = met.filter("sure").select("doc_id", F.shiftright("place", 16).alias("lo"), F.shiftright("place", 8).bitwiseAND(F.lit(255)).alias("n"))
     spans = found.unionByName(same).unionByName(sure).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     marks = spans.join(settled, "doc_id", "full").select("doc_id", "copy", "spans")
