@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from panelforge.llm.skew import lookup
 from panelforge.llm.storage import parts, stored
 
-#: Edges of a graph from which on some node may have more than a task should join at once.
-HUB_EDGES = 50_000
+#: Edges of a graph from which on some node may have more of them than a task should join at once.
+HUB_EDGES = 1_000_000
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
