@@ -24,7 +24,7 @@ SIDE, ROWS = 8, 2
 LOOSE, TIGHT = 13, 8
 #: Documents and shingles of a family of candidates that one task compares; in larger families candidates are verified edge
 #: by edge, and what may be linked beyond that meets by rare shingles.
-FAMILY_DOCS, FAMILY_SHINGLES = 512, 1_000_000
+FAMILY_DOCS, FAMILY_SHINGLES = 4096, 4_000_000
 #: Rows of one bucket that a task holds at once; a larger bucket is taken in portions.
 HELD_ROWS = 1_000_000
 
@@ -282,7 +282,7 @@ def large_families(texts: DataFrame, nodes: DataFrame, edges: DataFrame, shingle
 
     First each candidate edge is verified on the full sets; what is linked so is one component. A link that is left over joins
     two components, and its documents share one of each one's rarest shingles in the family. So documents meet by those, only
-    where they are of several components: pages of one template, each with its own content, meet nowhere, and copies of
+    where they are of several components (families of one component are done): pages of one template, each with its own content, meet nowhere, and copies of
     one text are one component by then. Lists of the same documents are compared once.
     """
     sets = stored(texts.join(nodes.hint("merge"), "node").select("node", "root", "text").mapInArrow(K.tidy(_set_rows(shingle)), "node long, root long, set array<long>"), "large-sets")
@@ -291,12 +291,15 @@ def large_families(texts: DataFrame, nodes: DataFrame, edges: DataFrame, shingle
     ends = edges.join(side("a"), "a").join(side("b"), "b")
     links = stored(ends.withColumn("both", shared).filter(100 * F.col("both") >= percent * (F.size("a_set") + F.size("b_set") - F.col("both"))).select("a", "b"), "large-links")
     label = components(links).withColumnRenamed("root", "known")
-    item = sets.select("node", "root", F.size("set").cast("long").alias("n_shingles"), F.explode("set").alias("h"))
+    joined = stored(sets.select("node", "root").join(label, "node", "left").withColumn("known", F.coalesce("known", "node")), "large-labels")
+    several = joined.groupBy("root").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count(F.lit(1)).alias("docs")).filter("low <> high").select("root", "docs")
+    open_ = lookup(sets, several, ["root"], "docs")
+    item = open_.select("node", "root", F.size("set").cast("long").alias("n_shingles"), F.explode("set").alias("h"))
     held = stored(item.groupBy("root", "h").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "large-shingles")
     least = (F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1).cast("int")
     rare = lookup(item, held, ["root", "h"], "held", "left").groupBy("node", "root", "n_shingles").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "h"))).alias("all"))
     rare = rare.select("node", "root", "n_shingles", F.explode(F.slice("all", 1, least)).alias("x")).filter("x.held > 1").select("node", "n_shingles", F.xxhash64("root", "x.h").alias("list"))
-    rare = stored(rare.join(label, "node", "left").withColumn("known", F.coalesce("known", "node")), "large-rare")
+    rare = stored(rare.join(joined.select("node", "known"), "node"), "large-rare")
     lists = rare.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("known").alias("low"), F.max("known").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s"))
     chosen = lists.filter("low <> high").groupBy("n", "x", "s").agg(F.min("list").alias("list")).select("list", "n")
     members = lookup(rare, stored(chosen, "large-lists"), ["list"], "n").select("node", F.col("list").alias("root"), "known", "n_shingles")
