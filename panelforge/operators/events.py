@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.order import checkpointed
+
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: int) -> DataFrame:
     """Pairs of the same keys whose half-open intervals (unix seconds) overlap.
@@ -24,18 +26,14 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     Each round is a join and a minimum over the edges, stored so that the plan stays short; one number a
     round reaches the driver.
     """
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelforge-"))
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node").checkpoint()
+    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    e = checkpointed(e)
+    label = checkpointed(e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
     while True:
         near = e.join(label.withColumnsRenamed({"node": "b", "root": "r"}), "b").groupBy("a").agg(F.min("r").alias("r")).withColumnRenamed("a", "node")
         step = label.join(near, "node", "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root"), F.col("root").alias("old"))
-        jump = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"), "old").checkpoint()
+        jump = checkpointed(step.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"), "old"))
         changed = jump.filter("root <> old").limit(1).count()
         label = jump.drop("old")
         if not changed:

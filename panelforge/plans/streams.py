@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.order import shared_folder
 from panelforge.plans.registry import Tables, query
 from panelforge.streaming import panels as P
 
@@ -20,8 +20,7 @@ def events_stream(t: Tables) -> DataFrame:
 
 def finished(stream: DataFrame, t: Tables, mode: str) -> DataFrame:
     """The result of the query once all files of its source are read, from a table in the shared folder."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='panelforge-')}"
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch-{number if mode == 'append' else 0}")
