@@ -104,15 +104,18 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
     state = settled(now)
     while state[0]:
-        both = now.unionByName(now.select(F.col("m").alias("v"), F.col("v").alias("m")))
+        n = min(parts(edges.sparkSession), max(8, state[0] // 200_000))
+        by_v = lambda df: df.repartition(n, "v")
+        # three exchanges a round: what is grouped and joined by v below lies by v already
+        both = by_v(now.unionByName(now.select(F.col("m").alias("v"), F.col("v").alias("m"))))
         least = both.groupBy("v").agg(F.least(F.min("m"), F.first("v")).alias("s"), F.count(F.lit(1)).alias("n"))
         up = both.filter("m > v")
         hubs = lookup(up, least, ["v"], "n") if state[0] > HUB_EDGES else up.join(least, "v")
-        large = hubs.select(F.col("m").alias("v"), F.col("s").alias("m")).distinct()
+        large = by_v(hubs.select(F.col("m").alias("v"), F.col("s").alias("m"))).distinct()
         small = large.groupBy("v").agg(F.min("m").alias("s"))
         linked = large.join(small, "v")
         pairs = linked.filter("m <> s").select(F.col("m").alias("v"), F.col("s").alias("m")).unionByName(small.select("v", F.col("s").alias("m")))
-        now = stored(pairs.distinct(), "edges")
+        now = stored(by_v(pairs).distinct(), "edges")
         before, state = state, settled(now)
         if state == before:
             break
