@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.llm import kernels as K
-from panelforge.llm.storage import small_batches, stored
+from panelforge.llm.storage import called, plain, small_batches, stored
 
 WINDOW = 10
 #: Item text (bytes, 64 more an item) up to which the windows themselves are broadcast. An index takes about
@@ -235,7 +235,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 def without_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, whatever their ids, in which no window of an item occurs: judged where they lie, in one pass."""
-    return scanned(docs, items, text_col, **options).filter("size(_spans) = 0").select(*docs.columns)
+    rows = plain(docs)
+    return scanned(rows, items, called(docs, text_col), **options).filter("size(_spans) = 0").select(*rows.columns).toDF(*docs.columns)
 
 
 def hit_digest(hits: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.skew import lookup
-from panelforge.llm.storage import ROW, numbered, parts, stored, without_rows
+from panelforge.llm.storage import ROW, called, numbered, parts, plain, stored, without_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUNS, FAN_IN = 64, 4
@@ -86,6 +86,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """docs with one row for each text, all columns as they are; ids only say which row that is (of equal ids any one)."""
-    rows = numbered(docs)
-    return without_rows(rows, judged(rows, id_col, text_col, keep, ROW).filter("row <> keep_row").select(F.col("row").alias(ROW)))
+    """docs with one row for each text, all columns as they are, whatever their names; ids only say which row that is (of equal ids any one)."""
+    rows = numbered(plain(docs))
+    gone = judged(rows, called(docs, id_col), called(docs, text_col), keep, ROW).filter("row <> keep_row").select(F.col("row").alias(ROW))
+    return without_rows(rows, gone).toDF(*docs.columns)

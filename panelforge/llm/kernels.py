@@ -173,7 +173,9 @@ def row_of(off: np.ndarray) -> np.ndarray:
 
 
 def cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """Mask of the positions inside any [start, end)."""
+    """Mask of the positions inside any [start, end), all of it within 0 and n."""
+    if len(starts) and (starts.min() < 0 or ends.max() > n):
+        raise ValueError(f"a span leaves its {n} units")
     d = np.zeros(n + 1, np.int32)
     np.add.at(d, starts, 1)
     np.add.at(d, ends, -1)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelforge.llm import kernels as K
 from panelforge.llm.groups import bounded_groups, components, dealt, whole_groups
 from panelforge.llm.skew import lookup
-from panelforge.llm.storage import ROW, numbered, small_batches, stored, without_rows
+from panelforge.llm.storage import ROW, called, numbered, plain, small_batches, stored, without_rows
 
 #: Two collections of SIDE half-keys, each of ROWS minhashes. Every pair of half-keys, one from each, is a
 #: table: SIDE**2 tables from 2 * SIDE * ROWS minhashes. A pair of similarity s meets in no table with
@@ -347,11 +347,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def distinct_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row for each group of near_duplicates, all columns as they are: that of the smallest id, a null one last.
 
-    Rows are judged by their texts alone, whatever their ids.
+    Rows are judged by their texts alone, whatever their ids; columns may have any names.
     """
-    rows = numbered(docs)
-    found = near_duplicates(rows, ROW, text_col, shingle, percent).select(F.col("doc_id").alias(ROW), "component_id")
-    named = stored(found.join(rows.select(ROW, F.col(id_col).alias("id")), ROW), "groups")
+    rows = numbered(plain(docs))
+    found = near_duplicates(rows, ROW, called(docs, text_col), shingle, percent).select(F.col("doc_id").alias(ROW), "component_id")
+    named = stored(found.join(rows.select(ROW, F.col(called(docs, id_col)).alias("id")), ROW), "groups")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", ROW)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     gone = lookup(named, stored(first.select("component_id", F.col(f"first.{ROW}").alias("stays"), "n"), "firsts"), ["component_id"], "n")
-    return without_rows(rows, gone.filter(F.col(ROW) != F.col("stays")).select(ROW))
+    return without_rows(rows, gone.filter(F.col(ROW) != F.col("stays")).select(ROW)).toDF(*docs.columns)

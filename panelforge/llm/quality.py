@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.llm import kernels as K
-from panelforge.llm.storage import small_batches
+from panelforge.llm.storage import called, plain, small_batches
 
 BITS = 18
 SAMPLE_ROWS = 16_000
@@ -180,6 +180,12 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return fit(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]), got.column("grade").to_numpy().astype(np.int64))
 
 
+def selected(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that grade() selects, all columns as they are, whatever their names."""
+    rows = plain(docs)
+    return grade(rows, model, text_col=called(docs, text_col), least=least).filter("_selected").select(*rows.columns).toDF(*docs.columns)
+
+
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """docs, all columns as they are, with _grade (expected), _tail (probability of the top grade) and _selected.
 

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from panelforge.llm import kernels as K
 from panelforge.llm.groups import bounded_groups, dealt
 from panelforge.llm.skew import lookup
-from panelforge.llm.storage import BROADCAST_ROWS, parts, small_batches, stored
+from panelforge.llm.storage import BROADCAST_ROWS, ROW, numbered, parts, small_batches, stored
+from panelforge.operators.order import running
 
 SEGMENT = 1 << 20
 PLACE = 22
@@ -423,7 +424,7 @@ SPANS = "doc_id long, lo long, n long"
 
 
 def repeated_windows(docs: DataFrame, shape: Shape, looker: Callable[[Shape], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]) -> DataFrame:
-    """(doc_id, text, repeats, copy, spans): every document with a non-null id, whether its whole text occurs
+    """(doc_id, text, repeats, copy, spans): every document with a non-null id, none twice, whether its whole text occurs
     more than once, whether it is a later copy of such a text (then it has no spans of its own), and the
     repeated windows as array<struct<lo, n>>: n windows that start at unit lo and after.
 
@@ -461,6 +462,30 @@ def repeated_windows(docs: DataFrame, shape: Shape, looker: Callable[[Shape], Ca
     return texts.join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", F.col("copy").isNotNull().alias("repeats"), F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
 
 
+def with_own_ids(base: DataFrame) -> DataFrame | None:
+    """(doc_id, given, text) with ids of their own in order of (given id, row), if rows of base repeat an id; else None.
+
+    Only numbers move to find the order; texts move once, to be written with their new ids.
+    """
+    again = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not again.limit(1).count():
+        return None
+    rows = numbered(base)
+    ranks = running(rows.filter("doc_id IS NOT NULL").select("doc_id", ROW, F.lit(1).cast("long").alias("one")), [], ["doc_id", ROW], "one", "own").select(ROW, "own")
+    few = ranks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return stored(rows.join(F.broadcast(ranks) if few else ranks.hint("merge"), ROW, "left").select(F.col("own").alias("doc_id"), F.col("doc_id").alias("given"), "text"), "own-ids")
+
+
+def by_row(base: DataFrame, dedup: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """dedup of base (doc_id, text), which asks for ids that tell rows apart, with the ids of base."""
+    keyed = with_own_ids(base)
+    if keyed is None:
+        return dedup(base)
+    done = dedup(keyed.select("doc_id", "text"))
+    named = done.join(keyed.filter("doc_id IS NOT NULL").select("doc_id", "given").hint("merge"), "doc_id", "left")
+    return named.select(F.col("given").alias("doc_id"), *done.columns[1:])
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id long, text), without a projection where the columns are so already: reads of equal plans share an exchange."""
     kinds = dict(docs.dtypes)

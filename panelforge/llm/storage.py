@@ -72,6 +72,16 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(place), "_file").withColumn(ROW, F.shiftleft("_at", 40) + F.col("_nth")).drop("_file", "_at", "_nth")
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ...: whatever their own names, none is that of a column added on the way."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def called(docs: DataFrame, name: str) -> str:
+    """What plain() calls the column of this name."""
+    return f"c{docs.columns.index(name)}"
+
+
 def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """numbered rows without those whose ROW is in gone, and without ROW. Rows stay where they are if few go."""
     gone = stored(gone, "gone")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import kernels as K
 from panelforge.llm.groups import whole_groups
-from panelforge.llm.repeats import Shape, Units, id_and_text, matrices, removed_units, repeated_windows, unpacked
+from panelforge.llm.repeats import Shape, Units, by_row, id_and_text, matrices, removed_units, repeated_windows, unpacked
 
 SPAN, GRAM = 35, 16
 
@@ -79,11 +79,15 @@ def word_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are runs of non-blanks, unchanged; null has none. Removed is every word covered by a window of
     span consecutive words whose sequence also starts anywhere else, in any document, the same included;
     windows are judged on the input. Rows with a null id are compared with nothing and keep all. Rows that
-    repeat an id count as different places with equal text. An empty table gives no rows; other columns are
+    repeat an id are documents of their own, each with its own text. An empty table gives no rows; other columns are
     not read. span: from 20 to 250.
     """
     shape = Shape("word", span, GRAM, False)
-    base = id_and_text(docs, id_col, text_col)
+    return by_row(id_and_text(docs, id_col, text_col), lambda base: _word_dedup(base, shape))
+
+
+def _word_dedup(base: DataFrame, shape: Shape) -> DataFrame:
+    span = shape.span
     marked = repeated_windows(base, shape, _look)
     lone = base.filter("doc_id IS NULL").select("doc_id", "text", F.lit(False).alias("repeats"), F.lit(False).alias("copy"), F.lit(None).cast("array<struct<lo: long, n: long>>").alias("spans"))
 

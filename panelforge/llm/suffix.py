@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import kernels as K
 from panelforge.llm.groups import whole_groups
-from panelforge.llm.repeats import Shape, id_and_text, matrices, removed_units, repeated_windows, unpacked
+from panelforge.llm.repeats import Shape, by_row, id_and_text, matrices, removed_units, repeated_windows, unpacked
 
 SPAN, GRAM = 100, 24
 
@@ -122,11 +122,15 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Removed is every byte covered by a span-byte string that also starts earlier, in a document of smaller
     doc_id or earlier in the same one; matches never cross documents and strings are judged on the input.
     Texts are UTF-8 bytes, null counts as empty. Rows with a null id are compared with nothing and keep all.
-    Rows that repeat an id count as one document read twice, so all but its first windows go. An empty
+    Rows that repeat an id are documents of their own, in order of their place in the table. An empty
     table gives no rows; other columns are not read. span: from 40 to 170.
     """
     shape = Shape("byte", span, GRAM, True)
-    base = id_and_text(docs, id_col, text_col)
+    return by_row(id_and_text(docs, id_col, text_col), lambda base: _byte_dedup(base, shape))
+
+
+def _byte_dedup(base: DataFrame, shape: Shape) -> DataFrame:
+    span = shape.span
     marked = repeated_windows(base, shape, _look)
     lone = base.filter("doc_id IS NULL").select("doc_id", "text", F.lit(False).alias("repeats"), F.lit(False).alias("copy"), F.lit(None).cast("array<struct<lo: long, n: long>>").alias("spans"))
 

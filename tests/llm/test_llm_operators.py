@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm import decontaminate, exact_dedup, html_extract, kernels, licenses, line_dedup, minhash, packing, quality, substring, suffix
-from panelforge.llm.queries import ORACLES, QUERIES, TOKENIZER
+from panelforge.llm.queries import TOKENIZER
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 FIELDS = "doc_id long, text string, digest string, run string, anchor string, spans string, words string, place string, node string, kept string"
@@ -404,15 +404,3 @@ def test_quality_without_ratings(spark, docs, rows, nothing):
     model = quality.train(docs, none)
     assert quality.grade(docs, model).filter("_selected").count() == len(rows)
     assert quality.grade(nothing, model).count() == 0
-
-
-@pytest.mark.parametrize("name", sorted(ORACLES))
-def test_queries_against_oracles(spark, name):
-    import duckdb
-
-    folder = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    df = QUERIES[name](spark, folder)
-    cols = sorted(df.columns)
-    assert sorted(map(tuple, df.select(*cols).collect())) == sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall())
