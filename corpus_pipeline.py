@@ -18,7 +18,7 @@ from panelforge.llm.storage import stored
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier gives the top grade with a probability of one half or more."""
     model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
-    return quality.grade(docs, model).filter("_selected").select(*docs.columns)
+    return quality.selected(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
