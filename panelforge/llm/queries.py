@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, exact_dedup, html_extract, licenses, line_dedup, minhash, packing, quality, substring, suffix
+from panelforge.llm import decontaminate, exact_dedup, html_extract, licenses, line_dedup, minhash, packing, quality, search, substring, suffix, trie, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -60,7 +60,21 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.byte_digest(suffix.byte_dedup(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_html, op4_decontamination, op5_quality, op6_substring, op7_exact_dedup, op8_minhash, op9_licenses, op10_suffix_array)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of archives in the shared folder, as read back from there."""
+    files = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(files, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_html, op4_decontamination, op5_quality, op6_substring, op7_exact_dedup, op8_minhash, op9_licenses, op10_suffix_array, op11_prefix_trie, op12_ranked_search, op13_warc)}
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 _PLAIN = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -121,4 +135,36 @@ ORACLES: dict[str, str] = {
         ds AS (SELECT doc_id, k, list_distinct(list_transform(range(1, greatest(len(w) - k + 1, 1) + 1), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS s FROM dw CROSS JOIN (SELECT DISTINCT k FROM ts)),
         found AS (SELECT doc_id, license_id, len(list_intersect(s, t))::BIGINT AS n_shared, len(t)::BIGINT AS n_template FROM ds JOIN ts USING (k))
         SELECT *, n_shared / n_template AS containment FROM found WHERE n_shared / n_template >= {licenses.LEAST}""",
+    "op11_prefix_trie": """
+        WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        crc AS (SELECT c, (xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ord(substr(c::VARCHAR, i, 1))::BIGINT)),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4)::BIGINT AS h FROM (SELECT DISTINCT c FROM o)),
+        b AS (SELECT crc.c, o.i AS d, role, text FROM crc JOIN o ON o.c = crc.c - crc.c % 20 AND o.i <= h),
+        n AS (SELECT crc.c, h, count(b.d) AS k FROM crc LEFT JOIN b USING (c) GROUP BY ALL),
+        t AS (SELECT * FROM b UNION ALL SELECT o.c, k + i - h, role, text FROM o JOIN n ON n.c = o.c AND i > h),
+        p AS (SELECT c, d, md5(string_agg(md5(role) || md5(text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS seq, len(list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '')) AS words FROM t
+              UNION ALL SELECT c, 0, '', 0 FROM crc),
+        m AS (SELECT c, d, words, min(c) OVER g AS node, count(*) OVER g AS n FROM p WINDOW g AS (PARTITION BY d, seq)),
+        z AS (SELECT c, max(d) AS d FROM m GROUP BY 1),
+        e AS (SELECT node, d, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM m JOIN z USING (c, d) GROUP BY ALL),
+        v AS (SELECT m.node, m.d, any_value(m.n) AS n, any_value(u.node) AS parent, any_value(m.words) AS words FROM m LEFT JOIN m u ON u.c = m.c AND u.d = m.d - 1 GROUP BY ALL),
+        k AS (SELECT v.node, v.d, count(w.node) AS children FROM v LEFT JOIN v w ON w.parent = v.node AND w.d = v.d + 1 GROUP BY ALL),
+        x AS (SELECT v.node, v.d, n, parent, children, (n - 1) * words AS own FROM v JOIN k ON k.node = v.node AND k.d = v.d),
+        s AS (SELECT m.node, m.d, count(*) FILTER (children = 0) AS leaves, sum(own) AS saved FROM x JOIN m ON m.c = x.node AND m.d <= x.d GROUP BY ALL)
+        SELECT x.node AS conv_id, x.d::BIGINT AS depth, parent AS parent_conv_id, n::BIGINT AS n_convs, children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM x JOIN s ON s.node = x.node AND s.d = x.d LEFT JOIN e ON e.node = x.node AND e.d = x.d""",
+    "op12_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents), b AS (SELECT row_number() OVER () AS q, item_id, {_PLAIN} AS w FROM benchmark),
+        g AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS N, sum(len(w))::BIGINT AS L FROM d),
+        t AS (SELECT q, term, count(*)::BIGINT AS times FROM (SELECT q, unnest(w) AS term FROM b) GROUP BY ALL),
+        p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN t USING (term) GROUP BY ALL),
+        f AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, g GROUP BY term, N),
+        m AS (SELECT r, 25 + (75 * len(w)::BIGINT * N) // L AS m FROM d, g WHERE len(w) > 0),
+        s AS (SELECT q, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM t JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL),
+        k AS (SELECT q, r, score, doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s JOIN d USING (r) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM k JOIN b USING (q) WHERE rank <= 10""",
+    "op13_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        r AS (SELECT *, row_number() OVER g AS i, first_value(page_id) OVER g AS first FROM p WINDOW g AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND i > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND i > 1 THEN first END AS refers_to FROM r""",
 }
