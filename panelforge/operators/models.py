@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.order import checkpointed
+
 
 def free_parameters(k: Column, d: Column, family: Column) -> Column:
     """Free parameters of a k-component mixture in d dimensions: full, tied, diag or spherical covariance."""
@@ -99,13 +101,8 @@ def mixture(x: np.ndarray, k: int, family: str, seed: int, rounds: int = 200, fl
 
 
 def _kept(points: DataFrame) -> DataFrame:
-    """points stored once for many passes, in the shared folder if there is one."""
-    spark = points.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelforge-"))
-    return points.checkpoint()
+    """points stored once for many passes, in the shared folder."""
+    return checkpointed(points)
 
 
 def _pass(points: DataFrame, each: Callable[[np.ndarray, np.ndarray], np.ndarray], merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
