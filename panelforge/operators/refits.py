@@ -8,10 +8,11 @@ settled, and sums of each component are what reaches the driver.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -451,3 +452,24 @@ def null_envelope(df: DataFrame, key: str, strata: list[str], features: list[str
     p = None if lost or observed is None else float(np.mean([s >= observed for s in good]))
     row = (ref.k, observed, replicates, lost, p, min(good, default=None), max(good, default=None), "PASS" if p is not None and p < alpha else "FAIL")
     return spark.createDataFrame([row], "k int, observed double, replicates int, failures int, p double, null_min double, null_max double, status string")
+
+
+def labelled(df: DataFrame, key: str, units: list[str], features: list[str], fit: Fit) -> DataFrame:
+    """(key, label): the component of every row that has all features, by a fit."""
+    m, data = len(units), points(df, key, units, features)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)[:, m:]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fit.labels(x).astype(np.int32)) if len(x) else pa.array([], pa.int32())], ["key", "label"])
+
+    return data.mapInArrow(scan, "key long, label int")
+
+
+def least_bic(df: DataFrame, key: str, features: list[str], ks: list[int], seed: int, family: str = "diag") -> tuple[list[Fit], Fit]:
+    """A fit of all rows for each number of components, and the one of least BIC, the smaller number on ties."""
+    fits = refitted(points(df, key, [], features), 0, len(features), [(0, k, seed) for k in ks], everything, family)
+    good = [f for f in fits if f.converged]
+    if not good:
+        raise ValueError("no fit converged")
+    return fits, min(good, key=lambda f: (f.bic(family), f.k))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators import logistic as L
+from panelforge.operators import occupancy as O
 from panelforge.operators import refits as R
 from panelforge.plans.registry import Tables, query
 
@@ -63,3 +65,46 @@ def matched_null(t: Tables) -> DataFrame:
 @query("q257_null_envelope")
 def null_envelope(t: Tables) -> DataFrame:
     return rounded(R.null_envelope(weekly(t), "id", ["season", "era"], FEATURES, [1, 2, 3, 4, 5], SEEDS, 50, family="diag"))
+
+
+def daily(t: Tables) -> DataFrame:
+    o = t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg((F.avg("o_totalprice") / 100000).alias("price"), F.count(F.lit(1)).cast("double").alias("orders"))
+    return o.withColumn("id", F.datediff("day", F.lit("1970-01-01")).cast("long"))
+
+
+BASELINE = F.year("day") <= 1999
+
+
+def daily_labels(t: Tables) -> DataFrame:
+    """(day, label) by the mixture of least BIC of the baseline years."""
+    d = daily(t)
+    _, fit = R.least_bic(d.filter(BASELINE), "id", ["price", "orders"], [1, 2, 3, 4, 5], 42)
+    return d.select("day", "id").join(R.labelled(d, "id", [], ["price", "orders"], fit).withColumnRenamed("key", "id"), "id").drop("id")
+
+
+@query("q406_baseline_mixture")
+def baseline_mixture(t: Tables) -> DataFrame:
+    fits, best = R.least_bic(daily(t).filter(BASELINE), "id", ["price", "orders"], [1, 2, 3, 4, 5], 42)
+    return t.spark.createDataFrame([(f.k, round(f.bic("diag"), 4), f.converged, f.k == best.k) for f in fits], "k int, bic double, converged boolean, chosen boolean")
+
+
+@query("q407_window_divergence")
+def window_divergence(t: Tables) -> DataFrame:
+    return rounded(O.window_distances(daily_labels(t), "day", "label", BASELINE))
+
+
+@query("q249_divergence_bootstrap")
+def divergence_bootstrap(t: Tables) -> DataFrame:
+    d = daily_labels(t)
+    return rounded(O.divergence_bootstrap(d.filter(BASELINE), d.filter(~BASELINE), "day", "label", 200, 7, 42))
+
+
+@query("q296_logistic")
+def logistic(t: Tables) -> DataFrame:
+    """Returned lines by quantity, discount, tax and price: the fit, and its mean log loss over all rows."""
+    x = t.lineitem.select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") / 50).alias("quantity"), (F.col("l_discount") * 10).alias("discount"), (F.col("l_tax") * 10).alias("tax"), (F.col("l_extendedprice") / 100000).alias("price"))
+    fit = L.fitted(x, ["quantity", "discount", "tax", "price"], "y", 1.0)
+    p = F.least(F.lit(1 - 1e-15), F.greatest(F.lit(1e-15), fit.probability()))
+    loss = x.agg(F.avg(-F.ln(F.when(F.col("y") == 1, p).otherwise(1 - p))).alias("loss"))
+    named = [F.round(F.lit(w), 6).alias(f"w_{name}") for name, w in zip(fit.features, fit.weights, strict=True)]
+    return loss.select(*named, F.round(F.lit(fit.intercept), 6).alias("intercept"), F.round("loss", 8).alias("loss"))
