@@ -120,13 +120,14 @@ ORACLES: dict[str, str] = {
         FROM n WINDOW g AS (PARTITION BY text_sha256)""",
     "op1_line_dedup": """
         WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-        hashed AS (SELECT *, substr(md5(coalesce(lag(substr(md5(line), 1, 8)) OVER d, '') || substr(md5(line), 1, 8)), 1, 1) < '4' AS cut FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
-        numbered AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM hashed),
-        chunks AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY pos) AS body, count(*) AS n FROM numbered GROUP BY ALL),
-        ranked AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM chunks)
-        SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed, count(*) FILTER (gone) AS n_chunks,
-               sha256(coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '')) AS kept_sha256
-        FROM ranked GROUP BY doc_id""",
+        hashed AS (SELECT *, trim(line, ' ') <> '' AND substr(md5(coalesce(lag(substr(md5(line), 1, 8)) OVER d, '') || substr(md5(line), 1, 8)), 1, 2) < 'f8' AS cut FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+        placed AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM hashed),
+        stretches AS (SELECT doc_id, stretch, string_agg(line, chr(10) ORDER BY pos) AS body, min(pos) AS a, max(pos) AS z FROM placed GROUP BY ALL),
+        chunks AS (SELECT x.doc_id, x.a, y.z, x.body || chr(10) || y.body AS body FROM stretches x JOIN stretches y ON y.doc_id = x.doc_id AND y.stretch = x.stretch + 1),
+        gone AS (SELECT doc_id, a, z FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS r FROM chunks) WHERE r > 1),
+        counts AS (SELECT doc_id, count(*) AS n_chunks FROM gone GROUP BY 1), dropped AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS pos FROM gone)
+        SELECT l.doc_id, count(*) AS n_lines, count(d.pos) AS n_removed, coalesce(any_value(n_chunks), 0)::BIGINT AS n_chunks, sha256(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (d.pos IS NULL), '')) AS kept_sha256
+        FROM lines l LEFT JOIN dropped d ON d.doc_id = l.doc_id AND d.pos = l.pos LEFT JOIN counts c ON c.doc_id = l.doc_id GROUP BY l.doc_id""",
     "op9_licenses": f"""
         WITH templates(license_id, text) AS (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.TEMPLATES.items())}),
         tw AS (SELECT license_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM templates),
@@ -142,7 +143,8 @@ ORACLES: dict[str, str] = {
         b AS (SELECT crc.c, o.i AS d, role, text FROM crc JOIN o ON o.c = crc.c - crc.c % 20 AND o.i <= h),
         n AS (SELECT crc.c, h, count(b.d) AS k FROM crc LEFT JOIN b USING (c) GROUP BY ALL),
         t AS (SELECT * FROM b UNION ALL SELECT o.c, k + i - h, role, text FROM o JOIN n ON n.c = o.c AND i > h),
-        p AS (SELECT c, d, md5(string_agg(md5(role) || md5(text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS seq, len(list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '')) AS words FROM t
+        p AS (SELECT c, d, md5(string_agg(md5(role) || md5(text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS seq, len(list_filter(string_split_regex(text, '[ 	-
+]+'), lambda x: x <> '')) AS words FROM t
               UNION ALL SELECT c, 0, '', 0 FROM crc),
         m AS (SELECT c, d, words, min(c) OVER g AS node, count(*) OVER g AS n FROM p WINDOW g AS (PARTITION BY d, seq)),
         z AS (SELECT c, max(d) AS d FROM m GROUP BY 1),

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -89,7 +89,10 @@ def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(gone) if few else gone.hint("merge"), ROW, "left_anti").drop(ROW)
 
 
-def with_rows(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-    """numbered rows joined to facts on ROW, which has any number of rows for each. Texts stay where they are if facts are few."""
-    few = facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(facts) if few else facts.hint("merge"), ROW, how)
+def with_rows(rows: DataFrame, facts: DataFrame, how: str = "inner", entries: Column | None = None) -> DataFrame:
+    """numbered rows joined to facts on ROW, which has any number of rows for each. Texts stay where they are if facts are few.
+
+    entries: what a fact holds besides itself, in numbers of 16 bytes or so, where it has arrays; they count as rows do.
+    """
+    size = facts.limit(BROADCAST_ROWS + 1).count() if entries is None else facts.agg(F.sum(F.lit(1) + entries)).first()[0] or 0
+    return rows.join(F.broadcast(facts) if size <= BROADCAST_ROWS else facts.hint("merge"), ROW, how)

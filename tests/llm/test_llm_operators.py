@@ -357,33 +357,34 @@ def test_licenses(docs, rows, nothing):
     assert licenses.license_scan(nothing).count() == 0 and licenses.license_scan(docs, templates={}).count() == 0
 
 
-def chunks_of(text):
-    out, now, before = [], [], ""
-    for line in text.split("\n"):
+def stretches_of(text):
+    """(first, last) line of each stretch."""
+    out, start, before = [], 0, ""
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
         own = hashlib.md5(line.encode()).hexdigest()[:8]
-        now.append(line)
-        if hashlib.md5((before + own).encode()).hexdigest()[0] in "0123":
-            out.append(now)
-            now = []
+        if (line.strip(" ") and hashlib.md5((before + own).encode()).hexdigest()[:2] < "f8") or i == len(lines) - 1:
+            out.append((start, i))
+            start = i + 1
         before = own
-    return out + [now] if now else out
+    return out
 
 
 def test_line_dedup(docs, rows, nothing):
-    first = {}
+    first, chunks = {}, {}
     for i, t in rows:
-        for k, c in enumerate(chunks_of(t) if t is not None else []):
-            if len(c) >= 2:
-                first.setdefault(tuple(c), (i, k))
+        s = stretches_of(t) if t is not None else []
+        chunks[i] = [(a, z, "\n".join(t.split("\n")[a : z + 1])) for (a, _), (_, z) in zip(s, s[1:], strict=False)]
+        for a, _, body in chunks[i]:
+            first.setdefault(body, (i, a))
     got = by_id(line_dedup.line_dedup(docs))
     removed = 0
     for i, t in rows:
-        parts = chunks_of(t) if t is not None else []
-        stay = [c for k, c in enumerate(parts) if len(c) < 2 or first[tuple(c)] == (i, k)]
-        kept = "\n".join("\n".join(c) for c in stay)
-        n = sum(map(len, parts))
-        removed += n - sum(map(len, stay))
-        assert (got[i]["n_lines"], got[i]["n_removed"], got[i]["n_chunks"], got[i]["kept"]) == (n, n - sum(map(len, stay)), len(parts) - len(stay), kept)
+        lines = t.split("\n") if t is not None else []
+        gone = [(a, z) for a, z, body in chunks[i] if first[body] != (i, a)]
+        out = {k for a, z in gone for k in range(a, z + 1)}
+        removed += len(out)
+        assert (got[i]["n_lines"], got[i]["n_removed"], got[i]["n_chunks"], got[i]["kept"]) == (len(lines), len(out), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in out))
     assert removed > 0 and line_dedup.line_dedup(nothing).count() == 0
 
 
