@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.order import counted, running, running_least
+
 
 def calibration_bins(df: DataFrame, keys: list[str], truth: str, prob: str, bins: int) -> DataFrame:
     """(keys, bin, n, mean_prob, mean_truth) for every bin, empty ones too; probability 1 falls in the last."""
@@ -35,9 +37,9 @@ def precision_recall(df: DataFrame, keys: list[str], truth: str, score: str) ->
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """df with ranks from 1, ties at their average."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2)
+    """df, rows with a value, with ranks from 1, ties at their average. Counted by distinct value, over range partitions."""
+    c = running(counted(df, keys, value), keys, [value], "n", "upto")
+    return df.join(c.select(*keys, value, (F.col("upto") - (F.col("n") - 1) / 2).alias(out)), [*keys, value])
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -45,20 +47,25 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
+def _by_p(df: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """(keys, p, n, upto, total): distinct values with how many there are, how many up to them, and in all."""
+    c = running(counted(df, keys, p), keys, [p], "n", "upto")
+    return c.join(c.groupBy(*keys).agg(F.max("upto").alias("total")), keys)
+
+
 def false_discovery(df: DataFrame, keys: list[str], p: str) -> DataFrame:
-    """df with q: p * n / rank, made monotone from the largest p down."""
-    w = Window.partitionBy(*keys)
-    raw = df.withColumn("_q", F.col(p) * F.count(F.lit(1)).over(w) / F.rank().over(w.orderBy(p)))
-    last = F.max("_q").over(Window.partitionBy(*keys, p))
-    return raw.withColumn("_q", last).withColumn("q", F.least(F.lit(1.0), F.min("_q").over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))).drop("_q")
-
-
-def step_down(df: DataFrame, keys: list[str], p: str, order: list[str], alpha: float) -> DataFrame:
-    """df with significant: p <= alpha / (n - i) for it and all smaller ones (i from 0)."""
-    w = Window.partitionBy(*keys).orderBy(p, *order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ok = df.withColumn("_ok", F.col(p) <= alpha / (n - F.row_number().over(w) + 1))
-    return ok.withColumn("significant", F.bool_and("_ok").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_ok")
+    """df, rows with a p, with q: p * n / rank, made monotone from the largest p down. Distinct values are ranked over range partitions."""
+    raw = _by_p(df, keys, p).select(*keys, p, (F.col(p) * F.col("total") / (F.col("upto") - F.col("n") + 1)).alias("_q"), (-F.col(p)).alias("_down"))
+    least = running_least(raw, keys, ["_down"], "_q", "q")
+    return df.join(least.select(*keys, p, F.least(F.lit(1.0), "q").alias("q")), [*keys, p])
+
+
+def step_down(df: DataFrame, keys: list[str], p: str, alpha: float) -> DataFrame:
+    """df, rows with a p, with significant: p <= alpha / (n - i) for it and all smaller ones (i from 0). Of equal values the first
+    has the strictest bound, so that one decides for all."""
+    ok = _by_p(df, keys, p).select(*keys, p, (F.col(p) <= alpha / (F.col("total") - F.col("upto") + F.col("n"))).cast("int").alias("_ok"))
+    all_ok = running_least(ok, keys, [p], "_ok", "_all")
+    return df.join(all_ok.select(*keys, p, (F.col("_all") == 1).alias("significant")), [*keys, p])
 
 
 def wilson(wins: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

@@ -45,6 +45,15 @@ def running(df: DataFrame, keys: list[str], order: list[str], weight: str, out:
     return own.join(base, ["_range", *keys]).withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
 
 
+def running_least(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """df with the least value over the rows of its keys up to and including this one, by order; ranges as in running."""
+    cut = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    own = cut.withColumn("_own", F.min(value).over(Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut.groupBy("_range", *keys).agg(F.min(value).alias("_least")).select("_range", *keys, F.min("_least").over(before).alias("_before"))
+    return own.join(base, ["_range", *keys]).withColumn(out, F.least("_before", "_own")).drop("_range", "_own", "_before")
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
     """(keys, q): exact quantiles, linear between neighbours, as an array in order of `at`."""
     c = running(counted(df, keys, value), keys, [value], "n", "upto")

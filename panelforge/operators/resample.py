@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.order import checkpointed, running
+
 
 def uniform(*keys: str | Column) -> Column:
     """A number in [0, 1) from the keys."""
@@ -18,12 +20,15 @@ def replicated(df: DataFrame, n: int) -> DataFrame:
 
 
 def label_shuffle(df: DataFrame, strata: list[str], key: str, label: str, n: int, seed: int) -> DataFrame:
-    """df's (strata, key) n times, each time with the labels of a stratum dealt anew: (replicate, strata, key, label)."""
-    wide = replicated(df.select(*strata, key, label), n)
-    w = Window.partitionBy("replicate", *strata)
-    place = wide.withColumn("_a", F.row_number().over(w.orderBy(key))).withColumn("_b", F.row_number().over(w.orderBy(uniform(F.lit(seed), "replicate", key), key)))
-    labels = place.select("replicate", *strata, F.col("_b").alias("_a"), label)
-    return place.drop(label, "_b").join(labels, ["replicate", *strata, "_a"]).drop("_a")
+    """df's (strata, key) n times, each time with the labels of a stratum dealt anew: (replicate, strata, key, label).
+
+    Places and labels are numbered over range partitions, so no task holds a stratum.
+    """
+    wide = replicated(df.select(*strata, key, label), n).withColumn("_one", F.lit(1).cast("long")).withColumn("_u", uniform(F.lit(seed), "replicate", key))
+    keys = ["replicate", *strata]
+    place = running(wide.select(*keys, key, "_one"), keys, [key], "_one", "_a").drop("_one")
+    labels = running(wide, keys, ["_u", key], "_one", "_a").select(*keys, "_a", label)
+    return place.join(labels, [*keys, "_a"]).drop("_a")
 
 
 def column_shuffle(df: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:
@@ -46,7 +51,7 @@ def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     for i, c in enumerate(order):
         named = named.withColumn(f"_o{i}", c)
     cols = [f"_o{i}" for i in range(len(order))]
-    parts = named.repartitionByRange(*cols).withColumn("_p", F.spark_partition_id())
+    parts = checkpointed(named.repartitionByRange(*cols).withColumn("_p", F.spark_partition_id()))  # a second reading might cut elsewhere
     local = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*cols)))
     sizes = local.groupBy("_p").agg(F.max("_n").alias("_c"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
@@ -72,15 +77,21 @@ def block_permutation(series: DataFrame, key: str, day: str, value: str, first:
     return ok.groupBy(key).agg(F.first("observed").alias("observed"), F.count(F.lit(1)).alias("blocks"), F.avg((F.col("_m") >= F.col("observed")).cast("double")).alias("p"))
 
 
-def sign_test(wins: Column, n: Column, most: int = 1000) -> Column:
-    """Exact two-sided binomial p at one half, for n up to most."""
-    log_fact = [0.0]
-    for i in range(1, most + 1):
-        log_fact.append(log_fact[-1] + math.log(i))
-    table = F.array(*map(F.lit, log_fact))
-    k = F.least(wins, n - wins).cast("int")
-    tail = F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda a, i: a + F.exp(F.element_at(table, n.cast("int") + 1) - F.element_at(table, i + 1) - F.element_at(table, n.cast("int") - i + 1) - n * math.log(2)))
-    return F.least(F.lit(1.0), 2 * tail)
+def sign_tests(df: DataFrame, wins: str, n: str) -> DataFrame:
+    """df with p: the exact two-sided binomial p at one half of wins out of n, whatever n.
+
+    Each pair of n and lesser side is worked out once: its tail's terms meet a table of log factorials, summed over ranges.
+    """
+    pairs = df.select(F.col(n).cast("long").alias("_n"), F.least(F.col(wins), F.col(n) - F.col(wins)).cast("long").alias("_k")).distinct()
+    most = pairs.agg(F.max("_n")).first()[0] or 0
+    logs = df.sparkSession.range(most + 1).select(F.col("id").alias("_i"), F.when(F.col("id") == 0, 0.0).otherwise(F.ln("id")).alias("_ln"))
+    table = checkpointed(running(logs, [], ["_i"], "_ln", "_f").select("_i", "_f"))
+    named = lambda i, f: table.select(F.col("_i").alias(i), F.col("_f").alias(f))
+    terms = pairs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "_k")).alias("_i")).withColumn("_j", F.col("_n") - F.col("_i"))
+    terms = terms.join(named("_n", "_fn"), "_n").join(named("_i", "_fi"), "_i").join(named("_j", "_fj"), "_j")
+    tails = terms.groupBy("_n", "_k").agg(F.least(F.lit(1.0), 2 * F.sum(F.exp(F.col("_fn") - F.col("_fi") - F.col("_fj") - F.col("_n") * math.log(2)))).alias("p"))
+    at = df.withColumn("_n", F.col(n).cast("long")).withColumn("_k", F.least(F.col(wins), F.col(n) - F.col(wins)).cast("long"))
+    return at.join(tails, ["_n", "_k"]).drop("_n", "_k")
 
 
 def calibration_fit(df: DataFrame, truth: str, prob: str, rounds: int = 25) -> tuple[float, float]:

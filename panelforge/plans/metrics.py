@@ -122,7 +122,7 @@ def fdr(t: Tables) -> DataFrame:
 @query("q216_step_down", f"""WITH {P_SQL}, r AS (SELECT *, p <= 0.05 / (count(*) OVER (PARTITION BY p_brand) - row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) + 1) AS ok FROM pv)
     SELECT p_brand, p_partkey, bool_and(ok) OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS significant FROM r""")
 def holm(t: Tables) -> DataFrame:
-    return S.step_down(p_values(t), ["p_brand"], "p", ["p_partkey"], 0.05).select("p_brand", "p_partkey", "significant")
+    return S.step_down(p_values(t), ["p_brand"], "p", 0.05).select("p_brand", "p_partkey", "significant")
 
 
 @query("q299_wilson", f"""WITH {CASES_SQL}, g AS (SELECT source, sum(y) AS k, count(*) AS n, 1.959963984540054 AS z FROM cases GROUP BY 1) SELECT source, n, round((k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 8) AS low, round((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 8) AS high FROM g""")

@@ -163,7 +163,7 @@ def draw(*keys: Column) -> Column:
 
 
 DRAW_SQL = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
-REPS = 20
+REPS = 200
 
 
 @query("q288_group_bootstrap", f"""WITH g AS (SELECT n_regionkey AS stratum, n_nationkey AS unit, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS size FROM nation),
@@ -206,10 +206,10 @@ def bootstrap_auc(t: Tables) -> DataFrame:
     return part.select("replicate", F.round(F.col("w") / F.nullif(F.col("p") * F.col("q"), F.lit(0)), 8).alias("auc"))
 
 
-@query("q283_placebo_shuffle", f"""WITH {CASES_SQL}, a AS (SELECT r::INT AS r, lang, doc_id, y, p, row_number() OVER (PARTITION BY r, lang ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY r, lang ORDER BY md5(r || '|' || doc_id), doc_id) AS j FROM cases, range(5) x(r)) SELECT a.r AS replicate, sum(b.y)::BIGINT AS hits FROM a JOIN a b ON a.r = b.r AND a.lang = b.lang AND a.i = b.j WHERE a.p >= 0.5 GROUP BY 1""")
+@query("q283_placebo_shuffle", f"""WITH {CASES_SQL}, a AS (SELECT r::INT AS r, lang, doc_id, y, p, row_number() OVER (PARTITION BY r, lang ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY r, lang ORDER BY md5(r || '|' || doc_id), doc_id) AS j FROM cases, range({REPS}) x(r)) SELECT a.r AS replicate, sum(b.y)::BIGINT AS hits FROM a JOIN a b ON a.r = b.r AND a.lang = b.lang AND a.i = b.j WHERE a.p >= 0.5 GROUP BY 1""")
 def placebo_shuffle(t: Tables) -> DataFrame:
     """Labels dealt anew within strata: what chance alone puts under a high score."""
-    c = cases(t).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("h", F.md5(F.concat_ws("|", "replicate", "doc_id").cast("binary"))).withColumn("one", F.lit(1))
+    c = cases(t).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).withColumn("h", F.md5(F.concat_ws("|", "replicate", "doc_id").cast("binary"))).withColumn("one", F.lit(1))
     i = O.running(c.select("replicate", "lang", "doc_id", "p", "one"), ["replicate", "lang"], ["doc_id"], "one", "i").filter("p >= 0.5").select("replicate", "lang", "i")
     j = O.running(c.select("replicate", "lang", "doc_id", "h", "y", "one"), ["replicate", "lang"], ["h", "doc_id"], "one", "i").select("replicate", "lang", "i", "y")
     return i.join(j, ["replicate", "lang", "i"]).groupBy("replicate").agg(F.sum("y").alias("hits"))
