@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import logistic as L
 from panelforge.operators import occupancy as O
 from panelforge.operators import refits as R
+from panelforge.operators import stability as C
 from panelforge.plans.registry import Tables, query
 
 FEATURES = ["price", "orders", "urgent"]
@@ -108,3 +109,8 @@ def logistic(t: Tables) -> DataFrame:
     loss = x.agg(F.avg(-F.ln(F.when(F.col("y") == 1, p).otherwise(1 - p))).alias("loss"))
     named = [F.round(F.lit(w), 6).alias(f"w_{name}") for name, w in zip(fit.features, fit.weights, strict=True)]
     return loss.select(*named, F.round(F.lit(fit.intercept), 6).alias("intercept"), F.round("loss", 8).alias("loss"))
+
+
+@query("q275_cluster_stability")
+def cluster_stability(t: Tables) -> DataFrame:
+    return rounded(C.cluster_stability(weekly(t), "id", "segment", FEATURES, [2, 3, 4, 5, 6], 200, 0.8, 7, starts=2))

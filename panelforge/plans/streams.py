@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from panelforge.operators.order import shared_folder
 from panelforge.plans.registry import Tables, query
 from panelforge.streaming import panels as P
+from panelforge.streaming import states as S
 
 
 def events_stream(t: Tables) -> DataFrame:
@@ -44,3 +46,49 @@ def sessions(t: Tables) -> DataFrame:
 @query("q_stream_detector")
 def detector(t: Tables) -> DataFrame:
     return finished(P.detector(events_stream(t), "user_id", "ts", "value", 20.0, 5.0, 60.0), t, "append")
+
+
+@query("q_stream_sliding", "SELECT s AS \"start\", event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 2 HOUR, ts), time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 4 HOUR]) AS s FROM events) GROUP BY 1, 2")
+def sliding(t: Tables) -> DataFrame:
+    return finished(P.sliding(events_stream(t), "ts", "event_type", "6 hours", "2 hours", "40 days"), t, "complete")
+
+
+@query("q_stream_flagged", "SELECT event_id, nth, nth > 1 AS repeated FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS nth FROM events)")
+def flagged(t: Tables) -> DataFrame:
+    """Every event, flagged if its user has had one of its kind on the day before it."""
+    named = events_stream(t).withColumn("ident", F.concat_ws("|", "user_id", "event_type", F.to_date("ts")))
+    return finished(S.flagged(named, "ident", "ts", "event_id", "40 days"), t, "append").select("event_id", "nth", "repeated")
+
+
+@query("q_stream_two_sided")
+def two_sided(t: Tables) -> DataFrame:
+    return finished(S.two_sided(events_stream(t), "user_id", "ts", "value", 20.0, 5.0, 60.0, 7), t, "append")
+
+
+LATE_SQL = "WITH b AS (SELECT *, event_id % 4 AS part FROM events), m AS (SELECT part, max(ts) AS newest FROM b GROUP BY 1), p AS (SELECT a.part, max(m.newest) AS newest FROM (SELECT DISTINCT part FROM b) a LEFT JOIN m ON m.part < a.part GROUP BY 1) SELECT event_id, coalesce(ts < newest - INTERVAL 10 DAY, FALSE) AS too_late FROM b JOIN p USING (part)"
+
+
+@query("q_stream_late", LATE_SQL)
+def late(t: Tables) -> DataFrame:
+    """Events in four batches: those ten days or more behind what came before go to a table of their own."""
+    base = f"{shared_folder(t.spark).rstrip('/')}/late-{uuid.uuid4().hex}"
+    schema = t.events.select("event_id", "ts").schema
+
+    def newest() -> object:
+        return written("on-time").agg(F.max("ts")).first()[0]
+
+    def written(name: str) -> DataFrame:
+        return t.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/{name}")
+
+    def keep(name: str) -> Callable[[DataFrame, int], None]:
+        return lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/{name}/batch-{number}")
+
+    for name in ("in", "on-time", "late"):
+        t.spark.createDataFrame([], schema).write.parquet(f"{base}/{name}/none")
+    sink = S.divided("ts", "10 days", newest, keep("on-time"), keep("late"))
+    for part in range(4):
+        t.events.filter(F.col("event_id") % 4 == part).select("event_id", "ts").write.parquet(f"{base}/in/part-{part}")
+        stream = t.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return written("on-time").select("event_id", F.lit(False).alias("too_late")).unionByName(written("late").select("event_id", F.lit(True).alias("too_late")))
