@@ -31,8 +31,10 @@ UNSEEN = frozenset("svg canvas object template noscript select datalist audio vi
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
 ENDS_SELF = frozenset("li dd dt option tr td th".split())
-APART_TAGS = frozenset("head nav header footer aside form button dialog menu fieldset".split())
-APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Elements that say nothing of the text in them.
+WRAPPERS = frozenset(" div section center body html span".split(" "))
+APART_TAGS = frozenset("head nav header footer aside button dialog menu fieldset".split())
+APART_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 APART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login comment comments reply replies respond discussion disqus pagination pager toolbar copyright disclaimer paywall".split())
 APART_WEAK = frozenset("share sharing social related recommended recommendations trending header head side form widget legal meta tags search".split())
 MAIN_WORDS = frozenset("article entry post content story main body text page".split())
@@ -54,6 +56,7 @@ class _Open:
     main: bool = False
     soft: bool = False  # an article in an element that is set apart by its class or id alone
     named: int = -1  # the nearest element named as content
+    form: bool = False  # in a form
 
 
 @dataclass
@@ -147,9 +150,10 @@ class _Page:
             weak = False
         judged = tag not in ("html", "body")
         bare = judged and tag not in ("article", "main")
+        form = tag == "form" or role == "form"
         doubt = judged and weak and not strong and above.main
         marked = judged and (strong or (weak and not doubt))
-        out = _Open(tag, self.path(above.path, tag + "".join("." + w for w in sorted(words))), above.hard or (bare and hard), above.marked or (bare and marked), above.doubt, above.main or main, False, above.named)
+        out = _Open(tag, self.path(above.path, tag + "".join("." + w for w in sorted(words))), above.hard or (bare and hard), above.marked or (bare and marked), above.doubt, above.main or main, False, above.named, above.form or form)
         out.soft = not (hard or marked or above.hard) and (above.soft or (main and above.marked))
         if doubt:
             out.doubt, self.doubts = self.doubts, self.doubts + 1
@@ -259,7 +263,8 @@ def parsed(page: str) -> _Page:
 def weights(page: _Page) -> np.ndarray:
     """Which blocks may be content at all, by markup.
 
-    Out are blocks in elements set apart (menus, headers, footers, asides, notices, adverts, forms, comments) and, where
+    Out are blocks in elements set apart (menus, headers, footers, asides, notices, adverts, forms, comments; a form that holds
+    most of the page's text is a wrapper and sets nothing apart) and, where
     an article or main element has text, blocks outside both these and elements named as content without an article in
     them. If all of the articles' text is in wrappers set apart by class or id alone, it may be content nevertheless. In an
     article, an element of a doubtful name (share, related, ...) is content if it reads as the rest does: mostly unlinked,
@@ -268,6 +273,10 @@ def weights(page: _Page) -> np.ndarray:
     b = page.blocks
     apart = np.array([x.at.hard or x.at.marked for x in b])
     main = np.array([x.at.main for x in b])
+    form = np.array([x.at.form for x in b])
+    plain_text = np.array([0 if a else len(x.text) - x.linked for x, a in zip(b, apart, strict=True)])
+    if plain_text[form].sum() <= plain_text[~form].sum():
+        apart |= form
     if not (main & ~apart).any():
         apart &= ~np.array([x.at.soft and not x.at.hard for x in b])
     inside = main | np.array([x.at.named >= 0 and not page.holds[x.at.named] for x in b])
@@ -315,18 +324,40 @@ def path_scores(page: _Page) -> np.ndarray:
     return np.where(may, (smooth * unlinked)[at], 0.0)
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page; empty for null, empty or text-free pages.
+def chosen(page: _Page) -> np.ndarray:
+    """Which blocks are content: those whose path score reaches the standard deviation of the page's scores, or a quarter of
+    the best one if that is less.
 
-    Content are the blocks whose path score reaches the standard deviation of the page's scores, or a quarter of the best
-    one if that is less.
+    In an article or main element that has such a block, its other blocks are content too (cells, captions, short items),
+    but for paths of three nodes or more that are mostly links. Where no such element is, nothing but its own text speaks
+    for a block that stands alone: what is all link goes, and so does a wrapper's line without punctuation whose own ratio
+    does not reach the threshold.
     """
+    b = page.blocks
+    score = path_scores(page)
+    least = min(float(score.std()), float(score.max()) / 4)
+    good = (score > 0) & (score >= least)
+    at = np.array([x.at.path for x in b])
+    whole, linked, marks = (np.array(v, float) for v in ([len(x.text) for x in b], [x.linked for x in b], [x.marks for x in b]))
+    sums = [np.bincount(at, weights=w, minlength=len(page.parents)) for w in (np.ones(len(b)), whole - linked, marks, whole)]
+    heading = np.array([x.at.tag in HEADINGS for x in b])
+    around = np.zeros(len(page.parents), int)  # the nearest article or main path, 0 if there is none
+    for p in range(1, len(page.parents)):
+        around[p] = p if p in page.mains else around[page.parents[p]]
+    if not around.any():
+        alone = np.array([x.at.tag in WRAPPERS for x in b]) & (marks == 0) & (np.sqrt(sums[1] / np.maximum(sums[0], 1) + LEAST)[at] < least)
+        return good & (heading | ((linked < whole) & ~alone))
+    own = (sums[0][at] < 3) | heading | (sums[1] >= 0.3 * sums[3])[at]
+    held = np.isin(around[at], np.unique(around[at][good])) & (around[at] > 0)
+    return good | (held & own & (score > 0))
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page (see chosen); empty for null, empty or text-free pages."""
     found = parsed(page or "")
     if not found.blocks:
         return ""
-    score = path_scores(found)
-    least = min(float(score.std()), float(score.max()) / 4)
-    return " ".join(b.text for b, s in zip(found.blocks, score, strict=True) if s > 0 and s >= least)
+    return " ".join(b.text for b, ok in zip(found.blocks, chosen(found), strict=True) if ok)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
