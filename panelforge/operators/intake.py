@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +97,26 @@ def dense_grid(values: DataFrame, rows: int, cols: int, row: str, col: str, valu
     grid = spark.range(rows).select(F.col("id").cast("int").alias(row)).withColumn(col, F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     ok = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
     return grid.join(values.select(row, col, ok.alias(value)), [row, col], "left")
+
+
+@dataclass(frozen=True)
+class Grid:
+    """A raster's coordinate system, shape and affine transform."""
+
+    crs: str
+    rows: int
+    cols: int
+    transform: tuple[float, ...]
+
+
+def aligned(cells: DataFrame, meta: DataFrame, target: Grid) -> DataFrame:
+    """Cells (raster, ..., value) with problems, the list of what of a raster (raster, crs, rows, cols, transform, nodata) is not
+    exactly the target's: crs, shape, transform, or nodata if it is not declared.
+
+    A raster with problems has one row without a cell; of the others the no-data value becomes null. Meta is one row a raster.
+    """
+    off = lambda test, name: F.when(F.coalesce(test, F.lit(True)), name)
+    told = F.array(off(F.col("crs") != target.crs, "crs"), off((F.col("rows") != target.rows) | (F.col("cols") != target.cols), "shape"), off(F.col("transform") != F.array(*map(F.lit, target.transform)), "transform"), F.when(F.col("nodata").isNull(), "nodata"))
+    judged = meta.select("raster", "nodata", F.filter(told, lambda x: x.isNotNull()).alias("problems"))
+    good = cells.join(judged.filter("size(problems) = 0"), "raster").withColumn("value", F.nullif("value", F.col("nodata"))).drop("nodata")
+    return good.unionByName(judged.filter("size(problems) > 0").select("raster", "problems"), allowMissingColumns=True)

@@ -94,11 +94,27 @@ def observability(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", F.when(F.size(reasons) == 0, "OBSERVABLE").otherwise("UNOBSERVABLE").alias("verdict"), F.array_join(reasons, ",").alias("reasons"))
 
 
-@query("q418_carried_gate", "SELECT s_suppkey, (CASE WHEN s_acctbal >= 0 AND s_nationkey < 20 THEN 'OBSERVABLE' ELSE 'UNOBSERVABLE' END) <> (CASE WHEN s_suppkey % 7 = 0 THEN 'UNOBSERVABLE' ELSE 'OBSERVABLE' END) AS differs FROM supplier")
+def derived_gate(rows: DataFrame) -> DataFrame:
+    """(s_suppkey, problems) of shipments by supplier: line channels, shares of both orientations, response in value, months covered."""
+    g = rows.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.count_distinct("l_linenumber").alias("channels"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("turned"),
+        F.sum("l_extendedprice").alias("response"), F.count_distinct(F.date_trunc("month", "l_shipdate")).alias("months"))
+    told = X.problems((F.col("channels") < 6, "channels"), (~F.col("turned").between(0.2, 0.8), "orientation"), (F.col("response") < 1000000, "response"), (F.col("months") < 24, "coverage"))
+    return g.select("s_suppkey", told.alias("problems"))
+
+
+_GATE = """SELECT l_suppkey AS s_suppkey, list_filter([CASE WHEN count(DISTINCT l_linenumber) < 6 THEN 'channels' END, CASE WHEN avg((l_returnflag = 'R')::INT) NOT BETWEEN 0.2 AND 0.8 THEN 'orientation' END,
+    CASE WHEN sum(l_extendedprice) < 1000000 THEN 'response' END, CASE WHEN count(DISTINCT date_trunc('month', l_shipdate)) < 24 THEN 'coverage' END], lambda x: x IS NOT NULL) AS p FROM lineitem"""
+
+
+@query("q418_carried_gate", f"WITH a AS ({_GATE} WHERE l_shipdate < TIMESTAMP '1998-06-01' GROUP BY 1), b AS ({_GATE} GROUP BY 1) SELECT s_suppkey, CASE WHEN a.p IS NULL THEN 'none' WHEN len(a.p) = 0 THEN 'OBSERVABLE' ELSE 'UNOBSERVABLE' END AS carried, CASE WHEN len(b.p) = 0 THEN 'OBSERVABLE' ELSE 'UNOBSERVABLE' END AS verdict, array_to_string(b.p, ',') AS problems, a.p IS NULL OR (len(a.p) = 0) <> (len(b.p) = 0) AS differs FROM b LEFT JOIN a USING (s_suppkey)")
 def carried(t: Tables) -> DataFrame:
-    """A gate's verdict as it was carried along against the one derived anew."""
-    again = F.when(F.size(X.problems((F.col("s_acctbal") < 0, "no_response"), (F.col("s_nationkey") >= 20, "too_far"))) == 0, "OBSERVABLE").otherwise("UNOBSERVABLE")
-    return t.supplier.select("s_suppkey", (again != F.when(F.col("s_suppkey") % 7 == 0, "UNOBSERVABLE").otherwise("OBSERVABLE")).alias("differs"))
+    """A gate's verdict carried along from earlier shipments, against channels, orientation, response and coverage derived anew from all."""
+    verdict = lambda c: F.when(F.size(c) == 0, "OBSERVABLE").otherwise("UNOBSERVABLE")
+    before = derived_gate(t.lineitem.filter(F.col("l_shipdate") < "1998-06-01")).withColumnRenamed("problems", "old")
+    both = derived_gate(t.lineitem).join(before, "s_suppkey", "left")
+    told = F.when(F.col("old").isNull(), "none").otherwise(verdict("old"))
+    return both.select("s_suppkey", told.alias("carried"), verdict("problems").alias("verdict"), F.array_join("problems", ",").alias("problems"), (told != verdict("problems")).alias("differs"))
 
 
 @query("q100_row_digest", "SELECT n_nationkey, sha256('n_name=' || coalesce(n_name, '') || '|n_nationkey=' || n_nationkey::VARCHAR || '|n_regionkey=' || n_regionkey::VARCHAR) AS digest FROM nation")

@@ -36,9 +36,13 @@ def coverage(t: Tables) -> DataFrame:
     return files.exact_coverage(h, "h", ["v"], FIRST, LAST).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q448_expected_hours", f"SELECT h::DATE AS day, count(*) AS hours FROM (SELECT unnest(generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL 1 HOUR)) AS h) GROUP BY 1")
+@query("q448_expected_hours", "WITH m AS (SELECT DISTINCT date_trunc('month', ts) AS m FROM events), h AS (SELECT m, unnest(generate_series(m, m + INTERVAL 1 MONTH - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS h FROM m), e AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events) SELECT h.h::DATE AS day, count(*) AS hours, count(e.h) AS seen FROM h LEFT JOIN e ON e.h = h.h GROUP BY 1")
 def hours(t: Tables) -> DataFrame:
-    return files.expected_hours(t.spark, FIRST, LAST).groupBy(F.to_date("time").alias("day")).agg(F.count(F.lit(1)).alias("hours"))
+    """Every hour of the months that events fall in, by day, and how many of them have events."""
+    at = t.events.select(F.col("ts").cast("timestamp").alias("ts"))
+    want = files.hours_of_months(at, "ts")
+    have = at.select(F.date_trunc("hour", "ts").alias("time"), F.lit(1).alias("seen")).distinct()
+    return want.join(have, "time", "left").groupBy(F.to_date("time").alias("day")).agg(F.count(F.lit(1)).alias("hours"), F.count("seen").alias("seen"))
 
 
 @query("q13_csv_scan", "SELECT year(o_orderdate)::INT AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
@@ -73,17 +77,17 @@ def by_suffix(t: Tables) -> DataFrame:
     return files.records(t.spark, path, "n_nationkey int, n_name string")
 
 
-@query("q31_write_once", "SELECT count(*) AS rows_, TRUE AS refused FROM supplier")
+@query("q31_write_once", "SELECT s_suppkey, s_name, s_acctbal, TRUE AS refused FROM supplier")
 def once(t: Tables) -> DataFrame:
-    """A second write to the same place is refused, and what was written first stays."""
+    """A second write to the same place is refused, and every row of what was written first stays as it is."""
     path = place(t, "once")
     sinks.write_once(t.supplier, path)
     try:
-        sinks.write_once(t.supplier.limit(0), path)
+        sinks.write_once(t.supplier.withColumn("s_acctbal", F.lit(0.0)), path)
         refused = False
     except AnalysisException:
         refused = True
-    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_")).withColumn("refused", F.lit(refused))
+    return t.spark.read.parquet(path).select("s_suppkey", "s_name", "s_acctbal", F.lit(refused).alias("refused"))
 
 
 @query("q33_ordered_json", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -108,21 +112,40 @@ def array_cells(t: Tables) -> DataFrame:
     return files.table_csv(t.spark, path, "p_partkey long, words string").select("p_partkey", "words")
 
 
-@query("q36_manifest", "SELECT 3::BIGINT AS files, TRUE AS whole")
-def manifest(t: Tables) -> DataFrame:
+#: One text file for each region, with its nations in order.
+CONTENT_SQL = "f AS (SELECT n_regionkey AS region, string_agg(n_name, chr(10) ORDER BY n_name) || chr(10) AS body FROM nation GROUP BY 1)"
+
+
+def named_manifest(t: Tables) -> DataFrame:
+    """region and the manifest entry of its file."""
     path = place(t, "manifest")
-    t.customer.repartition(3).write.json(path)
-    return files.manifest(t.spark, path).filter("path LIKE '%.json'").agg(F.count(F.lit(1)).alias("files"), F.bool_and((F.length("sha256") == 64) & (F.col("bytes") > 0)).alias("whole"))
+    body = t.nation.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "\n").alias("value"))
+    body.repartition("n_regionkey").write.partitionBy("n_regionkey").text(path)
+    return files.manifest(t.spark, path).filter("path LIKE '%.txt'").withColumn("region", F.regexp_extract("path", "n_regionkey=(\\d+)", 1).cast("int"))
+
+
+@query("q36_manifest", f"WITH {CONTENT_SQL} SELECT region, strlen(body)::BIGINT AS bytes, sha256(body) AS sha256 FROM f")
+def manifest(t: Tables) -> DataFrame:
+    return named_manifest(t).select("region", "bytes", "sha256")
 
 
-@query("q37_manifest_verify", "SELECT 'mismatch' AS problem, 1::BIGINT AS n UNION ALL SELECT 'extra', 1")
+@query("q37_manifest_verify", "SELECT DISTINCT n_regionkey AS region, CASE n_regionkey % 4 WHEN 1 THEN 'mismatch' WHEN 2 THEN 'extra' WHEN 3 THEN 'missing' END AS problem FROM nation WHERE n_regionkey % 4 <> 0")
 def verify(t: Tables) -> DataFrame:
-    path = place(t, "verify")
-    t.customer.repartition(3).write.json(path)
-    actual = files.manifest(t.spark, path).filter("path LIKE '%.json'")
-    ends = actual.agg(F.min("path").alias("a"), F.max("path").alias("z"))
-    declared = actual.join(F.broadcast(ends)).filter("path <> z").withColumn("sha256", F.when(F.col("path") == F.col("a"), "other").otherwise(F.col("sha256")))
-    return files.verify_manifest(declared, actual).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    """Files against a manifest that has another digest for one, lacks one, and names one that is gone."""
+    known = named_manifest(t).select(F.col("region").cast("string").alias("path"), "region", "sha256")
+    k = F.col("region") % 4
+    declared = known.filter(k != 2).withColumn("sha256", F.when(k == 1, "other").otherwise(F.col("sha256")))
+    return files.verify_manifest(declared, known.filter(k != 3)).select(F.col("path").cast("int").alias("region"), "problem")
+
+
+@query("q24_zip_members", "SELECT n_regionkey AS region, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1)::INT AS line, n_name AS text FROM nation")
+def zip_lines(t: Tables) -> DataFrame:
+    """The lines of the text members of archives: one archive for each region."""
+    folder = place(t, "archives")
+    body = t.nation.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "\n").alias("text"))
+    files.write_archives(body.select(F.col("n_regionkey").cast("string").alias("name"), "text"), folder).count()
+    lines = files.zip_members(t.spark, folder)
+    return lines.select(F.regexp_extract("path", "/(\\d+)[.]zip$", 1).cast("int").alias("region"), "line", "text")
 
 
 @query("q101_table_digest", "SELECT count(*) AS rows_, TRUE AS same FROM supplier")

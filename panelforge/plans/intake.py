@@ -137,10 +137,21 @@ def grid(t: Tables) -> DataFrame:
     return I.dense_grid(v, 10, 10, "row", "col", "value")
 
 
-@query("q20_aligned_raster", "SELECT p_partkey, CASE WHEN p_size <> 7 THEN p_retailprice END AS value FROM part")
+#: Rasters by brand; every fifth is in another system, every third lies off by half a cell, every seventh has a row more.
+_N20 = "CAST(substr(p_brand, 7) AS INT)"
+
+
+@query("q20_aligned_raster", f"""WITH m AS (SELECT DISTINCT p_brand AS raster, {_N20} AS k FROM part), p AS (SELECT raster, list_filter([CASE WHEN k % 5 = 0 THEN 'crs' END, CASE WHEN k % 7 = 0 THEN 'shape' END, CASE WHEN k % 3 = 0 THEN 'transform' END], lambda x: x IS NOT NULL) AS problems FROM m)
+    SELECT raster, array_to_string(problems, ',') AS problems, count(p_partkey) FILTER (len(problems) = 0) AS cells, count(CASE WHEN p_size <> 7 THEN p_retailprice END) FILTER (len(problems) = 0) AS with_value, round(sum(CASE WHEN p_size <> 7 THEN p_retailprice END) FILTER (len(problems) = 0), 4) AS total FROM p JOIN part ON p_brand = raster GROUP BY 1, 2""")
 def raster(t: Tables) -> DataFrame:
-    """Cells of a raster with its no-data value as null."""
-    return t.part.select("p_partkey", F.when(F.col("p_size") != 7, F.col("p_retailprice")).alias("value"))
+    """Rasters read only if system, shape and transform are exactly the target's, their no-data value as null."""
+    target = I.Grid("EPSG:32645", 300, 300, (90.0, 0.0, 250000.0, 0.0, -90.0, 3100000.0))
+    k = F.substring("p_brand", 7, 8).cast("int")
+    cells = t.part.select(F.col("p_brand").alias("raster"), "p_partkey", F.when(F.col("p_size") == 7, -9999.0).otherwise(F.col("p_retailprice")).alias("value"))
+    meta = t.part.select(F.col("p_brand").alias("raster"), F.when(k % 5 == 0, "EPSG:4326").otherwise("EPSG:32645").alias("crs"), F.when(k % 7 == 0, 301).otherwise(300).alias("rows"), F.lit(300).alias("cols"),
+                         F.array(F.lit(90.0), F.lit(0.0), F.when(k % 3 == 0, 250045.0).otherwise(250000.0), F.lit(0.0), F.lit(-90.0), F.lit(3100000.0)).alias("transform"), F.lit(-9999.0).alias("nodata")).distinct()
+    read = I.aligned(cells, meta, target)
+    return read.groupBy("raster", F.array_join("problems", ",").alias("problems")).agg(F.count("p_partkey").alias("cells"), F.count("value").alias("with_value"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("q25_member_digests", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'undeclared' WHEN p_partkey % 5 = 1 THEN 'differs' ELSE 'same' END AS status FROM part")

@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,30 @@ def zip_members(spark: SparkSession, path: str, suffix: str = ".csv") -> DataFra
     return raw_files(spark, path, "*.zip").select("path", "content").mapInPandas(unpack, "path string, member string, line int, text string")
 
 
+def write_archives(texts: DataFrame, folder: str, member: str = "data.csv") -> DataFrame:
+    """Write each (name, text) as the member of a ZIP archive of that name; (path)."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"], strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(member, text)
+                with store.open_output_stream(f"{root}/{name}.zip", compression=None) as out:
+                    out.write(held.getvalue())
+            yield pd.DataFrame({"path": [f"{folder}/{n}.zip" for n in batch["name"]]})
+
+    return texts.select("name", "text").mapInPandas(pack, "path string")
+
+
+def hours_of_months(df: DataFrame, ts: str) -> DataFrame:
+    """(time): every hour of every month that a row's time falls in."""
+    month = df.select(F.date_trunc("month", ts).alias("m")).distinct()
+    return month.select(F.explode(F.sequence("m", F.col("m") + F.expr("INTERVAL 1 MONTH") - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))).alias("time"))
+
+
 def expected_hours(spark: SparkSession, first: str, last: str) -> DataFrame:
     """(time): every hour from first to last, both included."""
     return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp"), F.expr("INTERVAL 1 HOUR"))).alias("time"))
