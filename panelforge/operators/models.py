@@ -439,3 +439,23 @@ def aligned(reference: np.ndarray, other: np.ndarray) -> list[int]:
 
     cost = ((reference[:, None] - other[None]) ** 2).sum(2)
     return list(min(permutations(range(len(other))), key=lambda p: (round(float(sum(cost[i, j] for i, j in enumerate(p))), 12), p)))
+
+
+def full_covariances(components: DataFrame, name: str, weight: str, matrix: list[list[str]]) -> DataFrame:
+    """(family, component, i, j, value): each component's covariance as a full matrix under the four families.
+
+    full: as given. tied: the mean of all by weight. diag: nought off the diagonal. spherical: the mean of the diagonal on it.
+    """
+    d = len(matrix)
+    cells = [(i, j) for i in range(d) for j in range(d)]
+    total = components.agg(F.sum(weight).alias("_w"), *[F.sum(F.col(weight) * F.col(matrix[i][j])).alias(f"_t{i}_{j}") for i, j in cells])
+    both = components.join(F.broadcast(total))
+    mean = sum((F.col(matrix[i][i]) for i in range(1, d)), F.col(matrix[0][0])) / d
+    value = {
+        "full": lambda i, j: F.col(matrix[i][j]),
+        "tied": lambda i, j: F.col(f"_t{i}_{j}") / F.col("_w"),
+        "diag": lambda i, j: F.col(matrix[i][j]) if i == j else F.lit(0.0),
+        "spherical": lambda i, j: mean if i == j else F.lit(0.0),
+    }
+    rows = [F.struct(F.lit(f).alias("family"), F.lit(i).alias("i"), F.lit(j).alias("j"), v(i, j).alias("value")) for f, v in value.items() for i, j in cells]
+    return both.select(F.col(name).alias("component"), F.explode(F.array(*rows)).alias("x")).select("x.family", "component", "x.i", "x.j", "x.value")
