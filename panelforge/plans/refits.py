@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators import logistic as L
@@ -73,31 +73,32 @@ def daily(t: Tables) -> DataFrame:
     return o.withColumn("id", F.datediff("day", F.lit("1970-01-01")).cast("long"))
 
 
-BASELINE = F.year("day") <= 1999
+def baseline() -> Column:
+    return F.year("day") <= 1999
 
 
 def daily_labels(t: Tables) -> DataFrame:
     """(day, label) by the mixture of least BIC of the baseline years."""
     d = daily(t)
-    _, fit = R.least_bic(d.filter(BASELINE), "id", ["price", "orders"], [1, 2, 3, 4, 5], 42)
+    _, fit = R.least_bic(d.filter(baseline()), "id", ["price", "orders"], [1, 2, 3, 4, 5], 42)
     return d.select("day", "id").join(R.labelled(d, "id", [], ["price", "orders"], fit).withColumnRenamed("key", "id"), "id").drop("id")
 
 
 @query("q406_baseline_mixture")
 def baseline_mixture(t: Tables) -> DataFrame:
-    fits, best = R.least_bic(daily(t).filter(BASELINE), "id", ["price", "orders"], [1, 2, 3, 4, 5], 42)
+    fits, best = R.least_bic(daily(t).filter(baseline()), "id", ["price", "orders"], [1, 2, 3, 4, 5], 42)
     return t.spark.createDataFrame([(f.k, round(f.bic("diag"), 4), f.converged, f.k == best.k) for f in fits], "k int, bic double, converged boolean, chosen boolean")
 
 
 @query("q407_window_divergence")
 def window_divergence(t: Tables) -> DataFrame:
-    return rounded(O.window_distances(daily_labels(t), "day", "label", BASELINE))
+    return rounded(O.window_distances(daily_labels(t), "day", "label", baseline()))
 
 
 @query("q249_divergence_bootstrap")
 def divergence_bootstrap(t: Tables) -> DataFrame:
     d = daily_labels(t)
-    return rounded(O.divergence_bootstrap(d.filter(BASELINE), d.filter(~BASELINE), "day", "label", 200, 7, 42))
+    return rounded(O.divergence_bootstrap(d.filter(baseline()), d.filter(~baseline()), "day", "label", 200, 7, 42))
 
 
 @query("q296_logistic")

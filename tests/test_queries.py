@@ -62,3 +62,12 @@ def test_entry(spark):
 def test_no_cross_join(spark, name):
     plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 0, len(e.oracle_sql()) > 0)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "True True", done.stderr
