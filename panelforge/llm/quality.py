@@ -65,7 +65,7 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def score(self, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.weights[ids])])
+        total = np.concatenate([[0.0], np.cumsum(self.weights[ids], dtype=np.float64)])  # a score does not depend on the batch
         return total[off[1:]] - total[off[:-1]]
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
