@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.operators.order import shared_folder
+from panelforge.operators.order import checkpointed, shared_folder
 from panelforge.operators.signal import tiles
 from panelforge.plans.registry import Tables, query
 from panelforge.sources import files, sinks
@@ -56,10 +56,18 @@ def csv_scan(t: Tables) -> DataFrame:
 
 @query("q14_csv_in_another_encoding", "SELECT c_custkey, c_name || ' é€' AS name FROM customer")
 def encoded(t: Tables) -> DataFrame:
-    path = place(t, "cp1252")
-    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    t.customer.select("c_custkey", F.concat("c_name", F.lit(" é€")).alias("name")).write.option("header", True).option("encoding", "windows-1252").csv(path)
-    return files.table_csv(t.spark, path, "c_custkey long, name string", "windows-1252")
+    """A table in another encoding. The session takes it only while the file is written and read."""
+    path, name = place(t, "cp1252"), "spark.sql.legacy.javaCharsets"
+    before = t.spark.conf.get(name, None)
+    t.spark.conf.set(name, "true")
+    try:
+        t.customer.select("c_custkey", F.concat("c_name", F.lit(" é€")).alias("name")).write.option("header", True).option("encoding", "windows-1252").csv(path)
+        return checkpointed(files.table_csv(t.spark, path, "c_custkey long, name string", "windows-1252"))
+    finally:
+        if before is None:
+            t.spark.conf.unset(name)
+        else:
+            t.spark.conf.set(name, before)
 
 
 @query("q15_json_records", "SELECT r_regionkey, r_name FROM region")
