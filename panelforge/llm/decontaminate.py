@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.llm import kernels as K
-from panelforge.llm.storage import called, plain, small_batches, stored
+from panelforge.llm.skew import lookup
+from panelforge.llm.storage import BROADCAST_ROWS, called, plain, small_batches, stored
 
 WINDOW = 10
 #: Item text (bytes, 64 more an item) up to which the windows themselves are broadcast. An index takes about
@@ -194,17 +195,20 @@ def _joined_scan(docs: DataFrame, known: DataFrame, text_col: str, window: int)
                 row0 += b - a
 
     rows = stored(docs.mapInArrow(K.tidy(scan), schema), "scanned")
-    near = rows.select("_row", F.explode("_near").alias("w")).select("_row", "w.*")
+    near = stored(rows.select("_row", F.explode("_near").alias("w")).select("_row", "w.*"), "near")
     windows = items.select("words", "item").distinct()
-    hits = near.join(windows.select("words").distinct(), "words", "left_semi")
-    spans = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("s"))
-    owners = near.select("_row", "words").distinct().join(windows, "words").select("_row", "item").distinct().groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("_items"))
-    united = F.aggregate(
-        "s",
-        F.array().cast(SPAN),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    found = spans.select("_row", united.alias("_spans")).join(owners, "_row")
+    # a passage that a third of all documents hold is joined where its rows lie
+    known_words = stored(near.groupBy("words").agg(F.count(F.lit(1)).alias("n")).join(windows.select("words").distinct(), "words"), "met")
+    hits = lookup(near, known_words, ["words"], "n").select("_row", "words", "start", (F.col("start") + F.col("size")).alias("end"))
+    w = Window.partitionBy("_row").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.select("_row", "start", "end").distinct().withColumn("fresh", (before.isNull() | (before < F.col("start"))).cast("int")).withColumn("run", F.sum("fresh").over(w))
+    united = runs.groupBy("_row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = united.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).cast(SPAN).alias("_spans"))
+    met = windows.join(known_words, "words")
+    few = met.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and (met.agg(F.sum(F.octet_length("words") + F.octet_length("item"))).first()[0] or 0) <= BLOCK_BYTES
+    owners = hits.select("_row", "words").distinct().join(F.broadcast(met) if few else met, "words").select("_row", "item").distinct().groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("_items"))
+    found = spans.join(owners, "_row")
     out = rows.join(found, "_row", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPAN))).withColumn("_items", F.coalesce("_items", F.array().cast("array<string>")))
     return out.select(*docs.columns, "_n_words", "_spans", "_items").toDF(*names, "_n_words", "_spans", "_items")
 
