@@ -62,13 +62,13 @@ def tiles(samples: DataFrame, key: str, ts: str, value: str, seconds: int, per_w
     return w.filter(F.col("covered") == per_window).select(key, "start", F.transform("s", lambda x: x[value]).alias("samples"), "covered")
 
 
-def coherent(pairs: DataFrame, keys: list[str], a: str, b: str, rate: float) -> DataFrame:
+def coherent(pairs: DataFrame, keys: list[str], a: str, b: str, rate: float, parts: int = 8) -> DataFrame:
     """(keys, low, mid, high): coherence by band of rows that hold two windows each, as array<double>."""
     kinds = dict(pairs.dtypes)
 
     def run(batches):
         for batch in batches:
-            rows = [coherence(np.asarray(x, float), np.asarray(y, float), rate) for x, y in zip(batch[a], batch[b], strict=True)]
+            rows = [coherence(np.asarray(x, float), np.asarray(y, float), rate, parts) for x, y in zip(batch[a], batch[b], strict=True)]
             yield pd.concat([batch[keys].reset_index(drop=True), pd.DataFrame(rows, columns=["low", "mid", "high"], dtype=float)], axis=1)
 
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["low double", "mid double", "high double"])

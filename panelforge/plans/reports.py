@@ -111,9 +111,10 @@ def alignment(t: Tables) -> DataFrame:
 
 @query("q307_coherence")
 def coherence(t: Tables) -> DataFrame:
-    """Coherence by band of each two units' daily sums, quarter by quarter, where both have every day."""
-    q = unit_daily(t).groupBy("unit", F.trunc("day", "quarter").alias("quarter")).agg(F.array_sort(F.collect_list(F.struct("day", "v"))).alias("s"), F.count(F.lit(1)).alias("n"))
-    q = q.filter(F.col("n") == F.datediff(F.add_months("quarter", 3), "quarter")).select("unit", "quarter", F.transform("s", lambda x: x["v"]).alias("x"))
-    pair = q.alias("p").join(q.alias("q"), (F.col("p.quarter") == F.col("q.quarter")) & (F.col("p.unit") < F.col("q.unit")))
-    pair = pair.select(F.col("p.unit").alias("a"), F.col("q.unit").alias("b"), F.col("p.quarter").alias("quarter"), F.col("p.x").alias("xa"), F.col("q.x").alias("xb"))
-    return G.coherent(pair, ["a", "b", "quarter"], "xa", "xb", 42.0).select("a", "b", "quarter", *[F.round(c, 8).alias(c) for c in ("low", "mid", "high")])
+    """Coherence by band of each two units' weekly sums, half-year by half-year, where both have every one of its 26 weeks."""
+    weekly = unit_daily(t).groupBy("unit", F.floor(F.datediff("day", F.lit("1970-01-05")) / 7).alias("week")).agg(F.sum("v").alias("v"))
+    half = weekly.groupBy("unit", F.floor(F.col("week") / 26).alias("half")).agg(F.array_sort(F.collect_list(F.struct("week", "v"))).alias("s")).filter(F.size("s") == 26)
+    half = half.select("unit", F.date_add(F.lit("1970-01-05").cast("date"), (F.col("half") * 182).cast("int")).alias("start"), F.transform("s", lambda x: x["v"]).alias("x"))
+    pair = half.alias("p").join(half.alias("q"), (F.col("p.start") == F.col("q.start")) & (F.col("p.unit") < F.col("q.unit")))
+    pair = pair.select(F.col("p.unit").alias("a"), F.col("q.unit").alias("b"), F.col("p.start").alias("start"), F.col("p.x").alias("xa"), F.col("q.x").alias("xb"))
+    return G.coherent(pair, ["a", "b", "start"], "xa", "xb", 20.0, 3).select("a", "b", "start", *[F.round(c, 8).alias(c) for c in ("low", "mid", "high")])

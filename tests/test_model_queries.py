@@ -167,3 +167,26 @@ def test_mixtures_sweep_reports_the_mode(spark):
     one = [r for r in got if r["k"] == 1][0]
     like = -sum(np.log(2 * np.pi * (x[:, j].var() + 1e-6)) / 2 * 300 + ((x[:, j] - x[:, j].mean()) ** 2).sum() / (2 * (x[:, j].var() + 1e-6)) for j in (0, 1))
     assert one["bic"] == pytest.approx(4 * np.log(300) - 2 * like, rel=1e-6)
+
+
+def test_coherence_query(spark):
+    """Against segments written out: three half-overlapping ones of 13 weeks."""
+    daily = series(SMALL, "day")
+    daily["week"] = [(d - dt.date(1970, 1, 5)).days // 7 for d in daily["day"]]
+    weekly = daily.groupby(["unit", "week"])["v"].sum().reset_index()
+    windows = {}
+    for (unit, half), g in weekly.groupby([weekly["unit"], weekly["week"] // 26]):
+        if len(g) == 26:
+            windows[unit, half] = g.sort_values("week")["v"].to_numpy(float)
+    want = {}
+    for (a, half), x in windows.items():
+        for (b, other), y in windows.items():
+            if half == other and a < b:
+                cut = lambda v: [np.fft.rfft((s - s.mean()) * np.hanning(13)) for s in (v[0:13], v[6:19], v[13:26])]
+                fa, fb = cut(x), cut(y)
+                cross = np.mean([p * q.conj() for p, q in zip(fa, fb, strict=True)], axis=0)
+                msc = np.abs(cross) ** 2 / (np.mean(np.abs(fa) ** 2, axis=0) * np.mean(np.abs(fb) ** 2, axis=0))
+                freq = np.fft.rfftfreq(13, 1 / 20)
+                want[a, b, dt.date(1970, 1, 5) + dt.timedelta(days=int(half) * 182)] = [msc[(freq >= lo) & (freq < hi)].mean() for lo, hi in G.BANDS]
+    got = {(r["a"], r["b"], r["start"]): [r["low"], r["mid"], r["high"]] for r in catalog.QUERIES["q307_coherence"](spark, SMALL).collect()}
+    assert set(got) == set(want) and len(want) > 5 and all(np.allclose(got[k], v, atol=1e-7) for k, v in want.items())
