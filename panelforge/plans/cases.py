@@ -207,13 +207,19 @@ def control_states(t: Tables) -> DataFrame:
     return w.select("o_orderkey", C.target_state(F.to_date("o_orderdate") == F.col("other"), F.lit(False), F.col("hit"), F.lit(False), F.col("o_orderstatus") != "P").alias("state"))
 
 
+#: Feature names that become columns at most.
+MOST_FEATURES = 1000
+
+
 @query("q483_feature_matrix", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE 0.0 END AS balance, CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey::DOUBLE ELSE 0.0 END AS nation FROM supplier")
 def matrix(t: Tables) -> DataFrame:
     """Sparse feature maps as columns of all names; what is missing or not finite is 0."""
     k = F.col("s_suppkey")
     features = F.map_concat(F.when(k % 2 == 0, F.create_map(F.lit("balance"), F.col("s_acctbal"))).otherwise(F.create_map(F.lit("balance"), F.lit(float("nan")))), F.when(k % 3 > 0, F.create_map(F.lit("nation"), F.col("s_nationkey").cast("double"))).otherwise(F.create_map(F.lit("nation"), F.lit(float("inf")))))
     rows = t.supplier.select("s_suppkey", features.alias("f"))
-    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("f"))).distinct().collect())  # feature names, not rows
+    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("f"))).distinct().limit(MOST_FEATURES + 1).collect())  # feature names, not rows
+    if len(names) > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} features do not make columns")
     return rows.select("s_suppkey", *[F.coalesce(C.finite(F.try_element_at("f", F.lit(n))), F.lit(0.0)).alias(n) for n in names])
 
 
