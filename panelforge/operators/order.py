@@ -35,14 +35,15 @@ def running(df: DataFrame, keys: list[str], order: list[str], weight: str, out:
     """df with the sum of weight over the rows of its keys up to and including this one, by order.
 
     Rows are cut into ranges; each range runs on its own, and the ranges' sums (one row for each range and key in it) give
-    what comes before. The ranges are kept, since a second reading might cut elsewhere.
+    what comes before. The ranges are kept, since a second reading might cut elsewhere. Rows and sums are merged, since rows
+    that were copied are estimated at their size before that, and might be broadcast.
     """
     cut = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     own = cut.withColumn("_own", F.sum(weight).over(Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     sums = cut.groupBy("_range", *keys).agg(F.sum(weight).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_range", *keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    return own.join(base, ["_range", *keys]).withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+    return own.hint("merge").join(base, ["_range", *keys]).withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
 
 
 def running_least(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -51,7 +52,7 @@ def running_least(df: DataFrame, keys: list[str], order: list[str], value: str,
     own = cut.withColumn("_own", F.min(value).over(Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = cut.groupBy("_range", *keys).agg(F.min(value).alias("_least")).select("_range", *keys, F.min("_least").over(before).alias("_before"))
-    return own.join(base, ["_range", *keys]).withColumn(out, F.least("_before", "_own")).drop("_range", "_own", "_before")
+    return own.hint("merge").join(base, ["_range", *keys]).withColumn(out, F.least("_before", "_own")).drop("_range", "_own", "_before")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:

@@ -20,15 +20,18 @@ def replicated(df: DataFrame, n: int) -> DataFrame:
 
 
 def label_shuffle(df: DataFrame, strata: list[str], key: str, label: str, n: int, seed: int) -> DataFrame:
-    """df's (strata, key) n times, each time with the labels of a stratum dealt anew: (replicate, strata, key, label).
+    """df's (strata, key) n times, each time with the labels of a stratum dealt anew: (replicate, strata, key, label). Other
+    columns of df stay with their rows and come last.
 
-    Places and labels are numbered over range partitions, so no task holds a stratum.
+    Places and labels are numbered over range partitions, so no task holds a stratum; places are numbered once for all
+    replicates. The two are merged: by its estimated size, which does not count the replicates, one would be broadcast.
     """
-    wide = replicated(df.select(*strata, key, label), n).withColumn("_one", F.lit(1).cast("long")).withColumn("_u", uniform(F.lit(seed), "replicate", key))
-    keys = ["replicate", *strata]
-    place = running(wide.select(*keys, key, "_one"), keys, [key], "_one", "_a").drop("_one")
+    keys, one = ["replicate", *strata], F.lit(1).cast("long")
+    rest = [c for c in df.columns if c not in (*strata, key, label)]
+    place = replicated(running(df.select(*strata, key, *rest).withColumn("_one", one), strata, [key], "_one", "_a"), n).select(*keys, "_a", key, *rest)
+    wide = replicated(df.select(*strata, key, label), n).withColumn("_one", one).withColumn("_u", uniform(F.lit(seed), "replicate", key))
     labels = running(wide, keys, ["_u", key], "_one", "_a").select(*keys, "_a", label)
-    return place.join(labels, [*keys, "_a"]).drop("_a")
+    return place.hint("merge").join(labels, [*keys, "_a"]).select(*keys, key, label, *rest)
 
 
 def column_shuffle(df: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:

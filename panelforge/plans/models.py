@@ -61,7 +61,7 @@ def column_shuffle(t: Tables) -> DataFrame:
 def label_shuffle(t: Tables) -> DataFrame:
     c = t.labels.filter("quality IS NOT NULL").select("doc_id", (F.col("doc_id") % 4).alias("stratum"), "quality", "toxic")
     real = c.filter("toxic = 1").agg(F.avg("quality").alias("observed"))
-    null = R.label_shuffle(c.select("stratum", "doc_id", "quality"), ["stratum"], "doc_id", "quality", 100, 3).join(c.select("doc_id", "toxic"), "doc_id").filter("toxic = 1").groupBy("replicate").agg(F.avg("quality").alias("m"))
+    null = R.label_shuffle(c, ["stratum"], "doc_id", "quality", 100, 3).filter("toxic = 1").groupBy("replicate").agg(F.avg("quality").alias("m"))
     return null.join(F.broadcast(real)).groupBy("observed").agg(F.avg((F.col("m") >= F.col("observed")).cast("double")).alias("p"), F.count(F.lit(1)).alias("replicates"))
 
 

@@ -212,7 +212,7 @@ def placebo_shuffle(t: Tables) -> DataFrame:
     c = cases(t).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).withColumn("h", F.md5(F.concat_ws("|", "replicate", "doc_id").cast("binary"))).withColumn("one", F.lit(1))
     i = O.running(c.select("replicate", "lang", "doc_id", "p", "one"), ["replicate", "lang"], ["doc_id"], "one", "i").filter("p >= 0.5").select("replicate", "lang", "i")
     j = O.running(c.select("replicate", "lang", "doc_id", "h", "y", "one"), ["replicate", "lang"], ["h", "doc_id"], "one", "i").select("replicate", "lang", "i", "y")
-    return i.join(j, ["replicate", "lang", "i"]).groupBy("replicate").agg(F.sum("y").alias("hits"))
+    return i.hint("merge").join(j, ["replicate", "lang", "i"]).groupBy("replicate").agg(F.sum("y").alias("hits"))
 
 
 @query("q289_placebo_controls", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('7|' || o_orderkey), o_orderkey) AS r FROM orders) WHERE r <= 10")
