@@ -35,29 +35,44 @@ def two_sided(stream: DataFrame, key: str, ts: str, value: str, mean: float, sla
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} timestamp, side string, score double", "up double, down double, seen long, last long", "append", "NoTimeout")
 
 
-def flagged(stream: DataFrame, ident: str, ts: str, order: str, late: str) -> DataFrame:
+def flagged(stream: DataFrame, ident: str, ts: str, order: str, late: str, buckets: int = 4096) -> DataFrame:
     """(ident, ts, order, nth, repeated): every row, with how often its ident has come up to it. Nothing is dropped.
 
     Rows of a batch are taken by ts, then order. An ident is forgotten once the watermark, `late` behind the newest row, has
-    passed its last row by as much again; rows behind the watermark are not seen any more.
+    passed its last row by as much again; rows behind the watermark are not seen any more. Idents are dealt by hash to
+    buckets, whose states list theirs: a call costs more than the few rows of an ident, so it takes a bucket's rows.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known, seen, until = state.get if state.exists else ([], [], [])
+        held, now = pd.DataFrame({"seen": seen, "until": until}, index=pd.Index(known, dtype=object), dtype="int64"), state.getCurrentWatermarkMs()
+        told, touched = None, held.index[:0]
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values([ts, order], kind="stable")
+            by = rows.groupby("_key", sort=False)
+            nth = by.cumcount() + 1 + rows["_key"].map(held["seen"]).fillna(0).astype("int64")
+            told = pd.DataFrame({ident: rows[ident], ts: rows[ts], order: rows[order], "nth": nth, "repeated": nth > 1})
+            last = (by[ts].max() - pd.Timestamp(0, tz=rows[ts].dt.tz)) // pd.Timedelta("1ms")
+            new = pd.DataFrame({"seen": by.size(), "until": (last + delay).clip(lower=now + 1)})
+            touched = new.index
+            both = held.reindex(touched, fill_value=0)
+            new["seen"] += both["seen"]
+            new["until"] = new["until"].where(new["until"] > both["until"], both["until"])
+            held = pd.concat([held[~held.index.isin(touched)], new])
+        held = held[(held["until"] >= now) | held.index.isin(touched)]
+        if len(held):
+            state.update((held.index.tolist(), held["seen"].tolist(), held["until"].tolist()))
+            state.setTimeoutTimestamp(max(int(held["until"].min()), now + 1))
+        else:
             state.remove()
-            return
-        seen, last = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values([ts, order], kind="stable")
-        nth = range(seen + 1, seen + 1 + len(rows))
-        last = max(last, int(rows[ts].max().timestamp() * 1000))
-        state.update((seen + len(rows), last))
-        state.setTimeoutTimestamp(max(last + delay, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({ident: k[0], ts: rows[ts], order: rows[order], "nth": list(nth), "repeated": [n > 1 for n in nth]})
+        if told is not None:
+            yield told
 
     kinds = dict(stream.dtypes)
     delay = int(pd.Timedelta(late).total_seconds() * 1000)
-    rows = stream.withWatermark(ts, late).select(ident, ts, order)
-    return rows.groupBy(ident).applyInPandasWithState(step, f"{ident} {kinds[ident]}, {ts} timestamp, {order} {kinds[order]}, nth long, repeated boolean", "seen long, last long", "append", "EventTimeTimeout")
+    key = F.to_json(F.struct(ident))  # a text for every ident, null too
+    rows = stream.withWatermark(ts, late).select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket"), key.alias("_key"), ident, ts, order)
+    return rows.groupBy("_bucket").applyInPandasWithState(step, f"{ident} {kinds[ident]}, {ts} timestamp, {order} {kinds[order]}, nth long, repeated boolean", "idents array<string>, seen array<long>, until array<long>", "append", "EventTimeTimeout")
 
 
 def divided(ts: str, late: str, newest: Callable[[], Any], on_time: Callable[[DataFrame, int], None], too_late: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

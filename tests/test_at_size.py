@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import resample
+from panelforge.streaming import states
 
 
 def plan_of(df):
@@ -15,3 +16,15 @@ def test_replicated_labels_are_not_broadcast(spark, tmp_path):
     got = resample.label_shuffle(spark.read.parquet(str(tmp_path / "t")), ["s"], "k", "y", 20, 5)
     assert "BroadcastHashJoin" not in plan_of(got) and "BroadcastExchange" not in plan_of(got)
     assert got.columns == ["replicate", "s", "k", "y", "z"] and got.filter("z = k % 7").count() == 40000
+
+
+def test_flagged_calls_take_many_idents(spark, tmp_path):
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60)
+    spark.range(20000).select(F.when(F.col("id") % 50 > 0, F.concat(F.lit("u"), F.pmod(F.xxhash64("id"), F.lit(9000)).cast("string"))).alias("k"), at.alias("ts"), "id").repartition(3).write.parquet(str(tmp_path / "in"))
+    given = spark.read.parquet(str(tmp_path / "in"))
+    flagged = states.flagged(spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "k", "ts", "id", "40 days", 64)
+    q = flagged.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.count() == 20000 and rows.groupBy("k").agg(F.max("nth").alias("n"), F.count(F.lit(1)).alias("m"), F.count_distinct("nth").alias("d")).filter("n <> m OR d <> m").count() == 0
+    assert max(p["numRowsTotal"] for b in q.recentProgress for p in b["stateOperators"]) == 64
