@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,15 @@ def row_digest(*columns: str) -> Column:
 
 
 def column_digests(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, n, digest): for each column the sum of 48 bits of each value's SHA-256, so no row has to move or be sorted."""
+    """(name, n, digest): for each column the sum of 48 bits of each value's SHA-256, so no row has to move or be sorted.
+
+    The sum is taken whole and given as a signed 64-bit number, modulo 2 ** 64: from some 65,000 values on it may be beyond.
+    """
     bits = lambda c: F.conv(F.substring(F.sha2(F.col(c).cast("string").cast("binary"), 256), 1, 12), 16, 10).cast("long")
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.when(F.col(c).isNotNull(), bits(c)).alias("b")) for c in columns])).alias("x")).select("x.*")
-    return rows.groupBy("name").agg(F.count("b").alias("n"), F.sum("b").alias("digest"))
+    whole, turn = F.sum(F.col("b").cast("decimal(20,0)")).alias("whole"), F.lit(Decimal(1 << 64))
+    rest = F.col("whole") % turn
+    return rows.groupBy("name").agg(F.count("b").alias("n"), whole).select("name", "n", F.when(rest >= F.lit(Decimal(1 << 63)), rest - turn).otherwise(rest).cast("long").alias("digest"))
 
 
 def column_audit(df: DataFrame, roles: dict[str, str]) -> DataFrame:

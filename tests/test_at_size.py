@@ -1,9 +1,14 @@
 """Plans and results that only larger or odder tables than sf0.001 would show."""
 
-import pytest
+import datetime as dt
+import hashlib
+
 from pyspark.sql import functions as F
 
-from panelforge.operators import resample
+from panelforge.operators import resample, tables, terrain
+from panelforge.plans import events, refits
+from panelforge.plans.registry import Tables
+from panelforge.sources import stations
 from panelforge.streaming import states
 
 
@@ -28,3 +33,12 @@ def test_flagged_calls_take_many_idents(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert rows.count() == 20000 and rows.groupBy("k").agg(F.max("nth").alias("n"), F.count(F.lit(1)).alias("m"), F.count_distinct("nth").alias("d")).filter("n <> m OR d <> m").count() == 0
     assert max(p["numRowsTotal"] for b in q.recentProgress for p in b["stateOperators"]) == 64
+
+
+def test_digests_beyond_a_long(spark):
+    df = spark.range(150000).select(F.concat(F.lit("v"), "id").alias("v"), F.when(F.col("id") < 9, F.col("id")).alias("w"))
+    got = {r["name"]: (r["n"], r["digest"]) for r in tables.column_digests(df, ["v", "w"]).collect()}
+    bits = lambda texts: sum(int(hashlib.sha256(x.encode()).hexdigest()[:12], 16) for x in texts)
+    whole = bits(f"v{i}" for i in range(150000))
+    assert whole >= 1 << 63 and got["v"] == (150000, (whole + (1 << 63)) % (1 << 64) - (1 << 63)) and got["w"] == (9, bits(map(str, range(9))))
+    assert tables.column_digests(df.limit(0), ["v"]).count() == 0 and tables.column_digests(df.filter("w IS NULL"), ["w"]).first()["digest"] is None
