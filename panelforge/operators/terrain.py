@@ -97,7 +97,8 @@ def warped(source: DataFrame, value: str, targets: DataFrame, at: Callable[[Colu
     """(row, col, value) of every target cell (row, col), bilinear between the four source cells around it.
 
     at: where the centre of a target cell lies in the source, as fractional row and column (the inverse mapping). Cells of the
-    source that are absent or null take no part: the others' weights are scaled up. Without any the value is null. Each
+    source that are absent or null take no part: the others' weights are scaled up. Nor do those of a weight up to 1e-12, which
+    is the rounding of a place on a row or column of the source. Without any the value is null. Each
     target meets its four sources in one equi-join; the grids themselves never meet.
     """
     y, x = at(F.col("row"), F.col("col"))
@@ -105,7 +106,7 @@ def warped(source: DataFrame, value: str, targets: DataFrame, at: Callable[[Colu
     v, u = F.col("y") - F.col("r"), F.col("x") - F.col("c")
     corner = lambda r, c, w: F.struct((F.col("r") + r).alias("r"), (F.col("c") + c).alias("c"), w.alias("w"))
     four = F.array(corner(0, 0, (1 - v) * (1 - u)), corner(0, 1, (1 - v) * u), corner(1, 0, v * (1 - u)), corner(1, 1, v * u))
-    near = place.select("row", "col", F.explode(four).alias("n")).select("row", "col", "n.*").filter("w > 0")
+    near = place.select("row", "col", F.explode(four).alias("n")).select("row", "col", "n.*").filter("w > 1e-12")
     have = source.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).cast("double").alias("v"))
     summed = near.join(have, ["r", "c"], "left").groupBy("row", "col").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum(F.when(F.col("v").isNotNull(), F.col("w"))).alias("n"))
     return summed.select("row", "col", (F.col("s") / F.col("n")).alias("value"))

@@ -49,3 +49,10 @@ def test_spans_begin_at_the_nearest_second(spark, tmp_path):
     spark.createDataFrame(at, "event_id long, at string").selectExpr("event_id", "1L AS user_id", "'view' AS event_type", "CAST(at AS timestamp_ntz) AS ts").write.parquet(str(tmp_path / "events.parquet"))
     got = {r["event_id"]: r["s"] - 1704067200 for r in events.spans(Tables(spark, str(tmp_path))).collect()}
     assert got == {1: 0, 2: 1, 3: 0, 4: 2, 5: 86400}
+
+
+def test_weights_of_rounding_take_no_part(spark):
+    source = spark.createDataFrame([(1, 0, 5.0)], "row long, col long, v double")
+    targets = spark.createDataFrame([(0, 0), (1, 0)], "row long, col long")
+    got = terrain.warped(source, "v", targets, lambda r, c: (r / 2 + 1e-14, c * 1.0)).collect()
+    assert {r["row"]: r["value"] for r in got} == {0: None, 1: 5.0}
