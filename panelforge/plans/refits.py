@@ -9,6 +9,7 @@ from panelforge.operators import logistic as L
 from panelforge.operators import occupancy as O
 from panelforge.operators import refits as R
 from panelforge.operators import stability as C
+from panelforge.operators.order import checkpointed
 from panelforge.plans.registry import Tables, query
 
 FEATURES = ["price", "orders", "urgent"]
@@ -16,14 +17,17 @@ SEEDS = [11, 12, 13]
 
 
 def weekly(t: Tables) -> DataFrame:
-    """One row for each market segment and week: mean order value, orders and the share of urgent ones, with its strata."""
+    """One row for each market segment and week: mean order value, orders and the share of urgent ones, with its strata.
+
+    The rows are kept: read again, the means could differ in their last places, as sums depend on the order of their parts.
+    """
     o = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")), "o_custkey")
     p = o.groupBy("segment", F.to_date(F.date_trunc("week", "o_orderdate")).alias("week")).agg(
         (F.avg("o_totalprice") / 100000).alias("price"), F.count(F.lit(1)).cast("double").alias("orders"), F.avg((F.substring("o_orderpriority", 1, 1) <= "2").cast("double")).alias("urgent")
     )
     season = F.element_at(F.array(*map(F.lit, ("DJF", "MAM", "JJA", "SON"))), (F.floor((F.month("week") % 12) / 3) + 1).cast("int"))
     era = F.when(F.year("week") < 1998, "early").otherwise("late")
-    return p.select("*", F.xxhash64("segment", "week").alias("id"), season.alias("season"), era.alias("era"), F.when(F.col("price") < 1.4, "low").otherwise("high").alias("band"), F.when(F.col("orders") < 5, "thin").otherwise("thick").alias("effort"))
+    return checkpointed(p.select("*", F.xxhash64("segment", "week").alias("id"), season.alias("season"), era.alias("era"), F.when(F.col("price") < 1.4, "low").otherwise("high").alias("band"), F.when(F.col("orders") < 5, "thin").otherwise("thick").alias("effort")))
 
 
 def rounded(df: DataFrame) -> DataFrame:

@@ -56,3 +56,7 @@ def test_weights_of_rounding_take_no_part(spark):
     targets = spark.createDataFrame([(0, 0), (1, 0)], "row long, col long")
     got = terrain.warped(source, "v", targets, lambda r, c: (r / 2 + 1e-14, c * 1.0)).collect()
     assert {r["row"]: r["value"] for r in got} == {0: None, 1: 5.0}
+
+
+def test_weekly_rows_are_kept(spark):
+    assert "Aggregate" not in plan_of(refits.weekly(Tables(spark, "/root/testdata/sf0.001")))
