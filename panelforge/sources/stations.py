@@ -55,12 +55,13 @@ class ChannelEpochs:
 def covered(traces: DataFrame, responses: DataFrame) -> DataFrame:
     """traces (network, station, location, channel, starts, ends) with status: COVERED if one epoch of the channel that has a
     sensitivity holds the whole trace, PARTLY if some only overlap it, NO_RESPONSE otherwise; and the sensitivity of the
-    covering epoch (of several the one that starts last). An epoch without an end goes on."""
+    covering epoch (of several the one that starts last). An epoch without an end goes on. Traces find their result by their
+    channel and span: numbers given to rows may change when the rows are worked out again."""
     key = ["network", "station", "location", "channel"]
-    traces = traces.withColumn("_row", F.monotonically_increasing_id())
+    span = [*key, "starts", "ends"]
     r = responses.filter("sensitivity IS NOT NULL").select(*key, F.col("starts").alias("_a"), F.coalesce("ends", F.lit("9999-12-31").cast("timestamp_ntz")).alias("_z"), "sensitivity")
-    met = traces.select("_row", *key, "starts", "ends").join(r, key).filter("_a < ends AND starts < _z OR _a <= starts AND ends <= _z")
+    met = traces.select(*span).distinct().join(r, key).filter("_a < ends AND starts < _z OR _a <= starts AND ends <= _z")
     whole = (F.col("_a") <= F.col("starts")) & (F.col("ends") <= F.col("_z"))
-    told = met.groupBy("_row").agg(F.bool_or(whole).alias("_whole"), F.max_by(F.when(whole, F.col("sensitivity")), F.when(whole, F.col("_a"))).alias("sensitivity"))
+    told = met.groupBy(*span).agg(F.bool_or(whole).alias("_whole"), F.max_by(F.when(whole, F.col("sensitivity")), F.when(whole, F.col("_a"))).alias("sensitivity"))
     status = F.when(F.col("_whole"), "COVERED").when(F.col("_whole").isNotNull(), "PARTLY").otherwise("NO_RESPONSE")
-    return traces.join(told, "_row", "left").withColumn("status", status).drop("_row", "_whole")
+    return traces.join(told, span, "left").select(*traces.columns, "sensitivity", status.alias("status"))

@@ -60,3 +60,12 @@ def test_weights_of_rounding_take_no_part(spark):
 
 def test_weekly_rows_are_kept(spark):
     assert "Aggregate" not in plan_of(refits.weekly(Tables(spark, "/root/testdata/sf0.001")))
+
+
+def test_traces_are_found_without_row_numbers(spark):
+    days = [(s, dt.datetime(2024, 1, d)) for s in ("A", "B") for d in (1, 5, 9)]
+    traces = spark.createDataFrame([("XX", s, "", "E", d, d + dt.timedelta(days=1), i) for i, (s, d) in enumerate(days + days[:1])], "network string, station string, location string, channel string, starts timestamp_ntz, ends timestamp_ntz, i int")
+    epochs = spark.createDataFrame([("XX", "A", "", "E", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 5, 12), 2.0), ("XX", "A", "", "E", dt.datetime(2024, 1, 8), None, 3.0)], "network string, station string, location string, channel string, starts timestamp_ntz, ends timestamp_ntz, sensitivity double")
+    got = stations.covered(traces, epochs)
+    assert "monotonically_increasing_id" not in plan_of(got)
+    assert sorted((r["i"], r["status"], r["sensitivity"]) for r in got.collect()) == [(0, "COVERED", 2.0), (1, "PARTLY", None), (2, "COVERED", 3.0), (3, "NO_RESPONSE", None), (4, "NO_RESPONSE", None), (5, "NO_RESPONSE", None), (6, "COVERED", 2.0)]
