@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators.order import checkpointed
+from panelforge.operators.order import carried_out, checkpointed
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: int) -> DataFrame:
@@ -54,20 +54,33 @@ def pair_in_order(left: DataFrame, right: DataFrame, group: str, left_id: str, r
     return n(left, left_id).join(n(right, right_id), [group, "_n"]).drop("_n")
 
 
-def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, x: str, y: str, cell: float) -> DataFrame:
-    """(point, target, distance): all nearest targets of each point within `cell`, ties kept.
+def _nearest_places(p: DataFrame, q: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """(px, py, qx, qy, distance) of the distinct places of p and of q within `cell` of each other, and (px, py, distance) of the nearest.
 
-    Points meet the targets of their own and the eight neighbouring grid cells: anything nearer than one
-    cell's width lies there.
+    Places meet those of their own and the eight neighbouring grid cells: anything nearer than one cell's width lies there.
     """
-    gx, gy = F.floor(F.col(x) / cell), F.floor(F.col(y) / cell)
-    p = points.select(F.col(point).alias("point"), F.col(x).alias("px"), F.col(y).alias("py"), gx.alias("_gx"), gy.alias("_gy"))
+    grid = lambda x, y: (F.floor(F.col(x) / cell), F.floor(F.col(y) / cell))
+    a = p.select("px", "py").distinct().withColumns(dict(zip(("_gx", "_gy"), grid("px", "py"), strict=True)))
     off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    q = targets.select(F.col(target).alias("target"), F.col(x).alias("qx"), F.col(y).alias("qy"), gx.alias("cx"), gy.alias("cy")).withColumn("o", F.explode(off))
-    q = q.select("target", "qx", "qy", (F.col("cx") + F.col("o.i")).alias("_gx"), (F.col("cy") + F.col("o.j")).alias("_gy"))
-    d = p.join(q, ["_gx", "_gy"]).select("point", "target", F.sqrt((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2).alias("distance")).filter(F.col("distance") <= cell)
-    best = d.groupBy("point").agg(F.min("distance").alias("distance"))
-    return d.join(best, ["point", "distance"]).select("point", "target", "distance")
+    b = q.select("qx", "qy").distinct().withColumns(dict(zip(("cx", "cy"), grid("qx", "qy"), strict=True))).withColumn("o", F.explode(off))
+    b = b.select("qx", "qy", (F.col("cx") + F.col("o.i")).alias("_gx"), (F.col("cy") + F.col("o.j")).alias("_gy"))
+    d = a.join(b, ["_gx", "_gy"]).select("px", "py", "qx", "qy", F.sqrt((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2).alias("distance")).filter(F.col("distance") <= cell)
+    return d, d.groupBy("px", "py").agg(F.min("distance").alias("distance"))
+
+
+def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, x: str, y: str, cell: float) -> DataFrame:
+    """(point, target, distance): all nearest targets of each point within `cell`, ties kept. Distances are taken between places."""
+    p = points.select(F.col(point).alias("point"), F.col(x).alias("px"), F.col(y).alias("py"))
+    q = targets.select(F.col(target).alias("target"), F.col(x).alias("qx"), F.col(y).alias("qy"))
+    d, best = _nearest_places(p, q, cell)
+    return carried_out(d.join(best, ["px", "py", "distance"]), p, ["px", "py"], q, ["qx", "qy"]).select("point", "target", "distance")
+
+
+def nearest_distance(points: DataFrame, targets: DataFrame, point: str, x: str, y: str, cell: float) -> DataFrame:
+    """(point, distance) of the points with a target within `cell`: how far the nearest is."""
+    p = points.select(F.col(point).alias("point"), F.col(x).alias("px"), F.col(y).alias("py"))
+    _, best = _nearest_places(p, targets.select(F.col(x).alias("qx"), F.col(y).alias("qy")), cell)
+    return p.join(best, ["px", "py"]).groupBy("point").agg(F.min("distance").alias("distance"))
 
 
 def split_conflicts(rows: DataFrame, group: str, split: str) -> DataFrame:

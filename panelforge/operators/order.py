@@ -73,3 +73,19 @@ def midranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     w = Window.partitionBy(*keys)
     share = 100.0 * (F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2) / F.sum("n").over(w)
     return df.join(c.select(*keys, value, share.alias(out)), [*keys, value], "left")
+
+
+def carried_out(links: DataFrame, left: DataFrame, left_on: list[str], right: DataFrame, right_on: list[str], how: str = "inner", spread: int = 8) -> DataFrame:
+    """Every row of left with each row of right that links (left_on, right_on, ...) bring together; how "left" keeps the others.
+
+    Where many rows have the same place or shape, a relation between those is worked out once, in links, and only carried out
+    to rows here. The rows come out of as many tasks as shuffles have, each place of right copied to `spread` of them: neither
+    the small size of what goes in nor a frequent place puts most of what comes out into one task, and nothing is broadcast.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one text for the place: rows dealt by doubles would be dealt again, to few tasks, since a join makes its doubles alike first
+    text = lambda c, kind: ((F.col(c) + 0.0) if kind in ("double", "float") else F.col(c)).cast("string")
+    place = F.concat(*[x for c, kind in right.select(*right_on).dtypes for x in (text(c, kind), F.lit("|"))]).alias("_place")
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(spread))).join(links, left_on, how).select("*", place).repartition(parts, "_place", "_salt")
+    copied = right.select("*", place).drop(*right_on).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))).repartition(parts, "_place", "_salt")
+    return dealt.hint("merge").join(copied, ["_place", "_salt"], how).drop("_place", "_salt")

@@ -33,20 +33,24 @@ def suppliers(t: Tables) -> DataFrame:
 @query("q121_box_overlaps", f"""WITH {BOX_SQL}, o AS (SELECT p.id AS a, s.id AS b, (least(p.x1, s.x1) - greatest(p.x0, s.x0)) * (least(p.y1, s.y1) - greatest(p.y0, s.y0)) AS shared, (p.x1 - p.x0) * (p.y1 - p.y0) AS pa, (s.x1 - s.x0) * (s.y1 - s.y0) AS sa FROM p JOIN s ON p.x0 < s.x1 AND s.x0 < p.x1 AND p.y0 < s.y1 AND s.y0 < p.y1)
     SELECT a, b, round(shared / (pa + sa - shared), 8) AS iou, round(shared / pa, 8) AS of_a, CASE WHEN count(*) OVER (PARTITION BY b) > 1 THEN 'MANY' ELSE 'ONE' END || '_TO_' || CASE WHEN count(*) OVER (PARTITION BY a) > 1 THEN 'MANY' ELSE 'ONE' END AS pattern FROM o""")
 def overlaps(t: Tables) -> DataFrame:
-    o = P.overlap_pattern(P.box_overlaps(parts(t), suppliers(t), 50.0))
+    o = P.box_overlaps(parts(t), suppliers(t), 50.0)
     return o.select("a", "b", F.round("iou", 8).alias("iou"), F.round("of_a", 8).alias("of_a"), "pattern")
 
 
 @query("q122_point_in_box", f"WITH {BOX_SQL} SELECT p.id AS point, s.id AS box, CASE WHEN p.x0 IN (s.x0, s.x1) OR p.y0 IN (s.y0, s.y1) THEN 'boundary' ELSE 'inside' END AS place FROM p JOIN s ON p.x0 BETWEEN s.x0 AND s.x1 AND p.y0 BETWEEN s.y0 AND s.y1")
 def point_in_box(t: Tables) -> DataFrame:
-    """Points meet boxes in the grid cells that a box touches: one cell a point, so every pair comes out once."""
+    """Places of points meet places of boxes in the grid cells that a box touches: one cell a point, so every pair comes out
+    once; the pairs are carried out to points and boxes."""
     cell = 50.0
-    points = parts(t).select(F.col("id").alias("point"), F.col("x0").alias("px"), F.col("y0").alias("py")).withColumn("gx", F.floor(F.col("px") / cell)).withColumn("gy", F.floor(F.col("py") / cell))
+    points = parts(t).select(F.col("id").alias("point"), F.col("x0").alias("px"), F.col("y0").alias("py"))
+    spots = points.select("px", "py").distinct().withColumn("gx", F.floor(F.col("px") / cell)).withColumn("gy", F.floor(F.col("py") / cell))
     grid = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    b = suppliers(t).withColumnRenamed("id", "box").withColumn("gx", grid("x0", "x1")).withColumn("gy", grid("y0", "y1"))
-    met = points.join(b, ["gx", "gy"]).filter(F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
+    side = ["x0", "y0", "x1", "y1"]
+    b = suppliers(t).withColumnRenamed("id", "box")
+    met = spots.join(b.select(*side).distinct().withColumn("gx", grid("x0", "x1")).withColumn("gy", grid("y0", "y1")), ["gx", "gy"]).filter(F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
     edge = (F.col("px") == F.col("x0")) | (F.col("px") == F.col("x1")) | (F.col("py") == F.col("y0")) | (F.col("py") == F.col("y1"))
-    return met.select("point", "box", F.when(edge, "boundary").otherwise("inside").alias("place"))
+    met = met.select("px", "py", *side, F.when(edge, "boundary").otherwise("inside").alias("place"))
+    return O.carried_out(met, points, ["px", "py"], b, side).select("point", "box", "place")
 
 
 RINGS = {"west": [(100.5, 100.5), (420.5, 60.5), (480.5, 500.5), (60.5, 440.5)], "east": [(550.5, 120.5), (930.5, 200.5), (700.5, 520.5), (860.5, 900.5), (520.5, 700.5)]}
@@ -282,8 +286,8 @@ def matrix_audit(t: Tables) -> DataFrame:
 @query("q120_point_census", f"WITH {BOX_SQL}, d AS (SELECT p.id, min(sqrt((p.x0 - s.x0) ** 2 + (p.y0 - s.y0) ** 2)) AS d FROM p JOIN s ON abs(p.x0 - s.x0) <= 100 AND abs(p.y0 - s.y0) <= 100 GROUP BY 1) SELECT count(*) FILTER (d <= 10) AS within_10, count(*) FILTER (d <= 50) AS within_50, count(*) FILTER (d <= 100) AS within_100 FROM d")
 def census(t: Tables) -> DataFrame:
     """How many points have a feature within each of some distances."""
-    from panelforge.operators.events import nearest
+    from panelforge.operators.events import nearest_distance
 
     at = lambda df: df.select("id", F.col("x0").alias("x"), F.col("y0").alias("y"))
-    d = nearest(at(parts(t)), at(suppliers(t)), "id", "id", "x", "y", 100.0).groupBy("point").agg(F.min("distance").alias("d"))
+    d = nearest_distance(at(parts(t)), at(suppliers(t)), "id", "x", "y", 100.0).withColumnRenamed("distance", "d")
     return d.agg(*[F.count(F.when(F.col("d") <= k, 1)).alias(f"within_{k}") for k in (10, 50, 100)])

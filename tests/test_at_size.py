@@ -2,11 +2,15 @@
 
 import datetime as dt
 import hashlib
+import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from panelforge.operators import events as linked
 from panelforge.operators import resample, tables, terrain
-from panelforge.plans import events, refits
+from panelforge.plans import catalog, events, refits
 from panelforge.plans.registry import Tables
 from panelforge.sources import stations
 from panelforge.streaming import states
@@ -69,3 +73,29 @@ def test_traces_are_found_without_row_numbers(spark):
     got = stations.covered(traces, epochs)
     assert "monotonically_increasing_id" not in plan_of(got)
     assert sorted((r["i"], r["status"], r["sensitivity"]) for r in got.collect()) == [(0, "COVERED", 2.0), (1, "PARTLY", None), (2, "COVERED", 3.0), (3, "NO_RESPONSE", None), (4, "NO_RESPONSE", None), (5, "NO_RESPONSE", None), (6, "COVERED", 2.0)]
+
+
+def test_copies_of_places_are_met_once(spark):
+    dice = random.Random(4)
+    at = [(dice.randrange(30) / 2, dice.randrange(30) / 2) for _ in range(25)]
+    points = [(i, *at[i % 25]) for i in range(300)] + [(900, None, 1.0), (901, 500.0, 500.0)]
+    targets = [(i, at[i % 12][0] + 1.0, at[i % 12][1]) for i in range(150)]
+    far = {(p, t): math.hypot(a - u, b - v) for p, a, b in points if a is not None for t, u, v in targets}
+    least = {p: min(d for (q, _), d in far.items() if q == p) for p, a, _ in points if a is not None}
+    want = {(p, t) for (p, t), d in far.items() if d == least[p] and d <= 4}
+    p, t = (spark.createDataFrame(rows, "id long, x double, y double") for rows in (points, targets))
+    got = linked.nearest(p, t, "id", "id", "x", "y", 4.0)
+    assert sorted((r["point"], r["target"]) for r in got.collect()) == sorted(want) and {p for p, _ in want} >= {1, 2}
+    assert "BroadcastExchange" not in plan_of(got).split("SortMergeJoin")[0]
+    assert {r["point"]: r["distance"] for r in linked.nearest_distance(p, t, "id", "x", "y", 4.0).collect()} == pytest.approx({p: least[p] for p, _ in want})
+
+
+def test_pairs_of_places_grow_with_places(spark, tmp_path):
+    for n in (1, 8):
+        spark.range(400 * n).select(F.col("id").alias("p_partkey"), (F.pmod("id", F.lit(5)) + 1).cast("int").alias("p_size")).selectExpr("(p_partkey % 400) + 1000 * (p_partkey div 400) AS p_partkey", "p_size").write.parquet(str(tmp_path / f"{n}/part.parquet"))
+        spark.range(100 * n).selectExpr("(id % 100) + 1000 * (id div 100) AS s_suppkey").write.parquet(str(tmp_path / f"{n}/supplier.parquet"))
+    for name in ("q119_nearest_join", "q121_box_overlaps", "q122_point_in_box"):
+        one, many = (catalog.QUERIES[name](spark, str(tmp_path / n)) for n in ("1", "8"))
+        assert (name == "q119_nearest_join" or many.count() == 64 * one.count() > 0) and many.rdd.getNumPartitions() == 4
+    pairs = catalog.QUERIES["q121_box_overlaps"](spark, str(tmp_path / "8"))
+    assert pairs.filter("pattern <> 'MANY_TO_MANY'").count() == 0
