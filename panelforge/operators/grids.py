@@ -69,8 +69,8 @@ def candidate_order(id_col: str, *scores: str) -> list[Column]:
     return [*[F.desc_nulls_last(f) for f in finite], F.asc(id_col)]
 
 
-def top_without_each(rows: DataFrame, id_col: str, terrain: list[str], exposure: list[str], observability: str, k: int = 5) -> DataFrame:
-    """(left_out, place, id): the first k cells by priority with all layers ("") and with each layer left out.
+def top_without_each(rows: DataFrame, id_col: str, terrain: list[str], exposure: list[str], observability: str, k: int = 5, digits: int = 10) -> DataFrame:
+    """(left_out, place, id): the first k cells by priority, rounded to `digits`, with all layers ("") and with each layer left out.
 
     All variants are scored in one pass over the cells; each keeps k rows a partition before they meet.
     """
@@ -78,7 +78,7 @@ def top_without_each(rows: DataFrame, id_col: str, terrain: list[str], exposure:
     for out in ["", *terrain, *exposure]:
         a, b = [F.col(c) for c in terrain if c != out], [F.col(c) for c in exposure if c != out]
         score = (geometric_mean(*a) if a else F.lit(None).cast("double")) * (geometric_mean(*b) if b else F.lit(None).cast("double")) * F.col(observability)
-        variants.append(F.struct(F.lit(out).alias("left_out"), score.alias("score")))
+        variants.append(F.struct(F.lit(out).alias("left_out"), F.round(score, digits).alias("score")))
     wide = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*variants)).alias("x")).select("id", "x.*").filter("score IS NOT NULL")
     near = wide.withColumn("_p", F.spark_partition_id()).withColumn("_n", F.row_number().over(Window.partitionBy("left_out", "_p").orderBy(F.desc("score"), "id"))).filter(F.col("_n") <= k)
     place = F.row_number().over(Window.partitionBy("left_out").orderBy(F.desc("score"), "id"))

@@ -68,11 +68,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> Da
 
 
 def midranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """df with the share below plus half the share equal, in percent, among the rows of its keys; null without a value."""
-    c = counted(df, keys, value)
-    w = Window.partitionBy(*keys)
-    share = 100.0 * (F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2) / F.sum("n").over(w)
-    return df.join(c.select(*keys, value, share.alias(out)), [*keys, value], "left")
+    """df with the share below plus half the share equal, in percent, among the rows of its keys; null without a value.
+
+    Distinct values are summed over ranges, so no task holds a group.
+    """
+    c = running(counted(df, keys, value), keys, [value], "n", "_upto")
+    share = 100.0 * (F.col("_upto") - F.col("n") / 2) / F.col("_all")
+    c = c.join(c.groupBy(*keys).agg(F.sum("n").alias("_all")), keys).select(*keys, value, share.alias(out))
+    return df.join(c, [*keys, value], "left")
 
 
 def carried_out(links: DataFrame, left: DataFrame, left_on: list[str], right: DataFrame, right_on: list[str], how: str = "inner", spread: int = 8) -> DataFrame:

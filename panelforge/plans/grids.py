@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import cell_id
 from panelforge.operators import grids as G
-from panelforge.operators.windows import midrank
+from panelforge.operators import order as O
 from panelforge.plans.registry import Tables, query
 
 #: Parts laid on a grid of 40 columns; the cell's value is the price.
@@ -48,7 +48,8 @@ LAYERS_SQL = GRID_SQL + """, l AS (SELECT id, (rank() OVER (ORDER BY v) - 1 + 0.
 def layers(t: Tables) -> DataFrame:
     """Percentile layers of all cells. Ranks are over distinct values with their counts, not over cells."""
     g = grid(t).withColumn("k", F.lit(1))
-    return g.select("id", (midrank("v", ["k"]) / 100).alias("t1"), (midrank("size", ["k"]) / 100).alias("t2"), (((F.col("id") * 7919) % 997 + 1) / 1000.0).alias("x1"), (((F.col("id") * 31) % 101) / 100.0).alias("obs"))
+    g = O.midranks(O.midranks(g, ["k"], "v", "p1"), ["k"], "size", "p2")
+    return g.select("id", (F.col("p1") / 100).alias("t1"), (F.col("p2") / 100).alias("t2"), (((F.col("id") * 7919) % 997 + 1) / 1000.0).alias("x1"), (((F.col("id") * 31) % 101) / 100.0).alias("obs"))
 
 
 @query("q221_priority_rank", f"WITH {LAYERS_SQL}, s AS (SELECT id, exp((ln(t1) + ln(t2)) / 2) AS terrain, x1 AS exposure, exp((ln(t1) + ln(t2)) / 2) * x1 * obs AS priority FROM l) SELECT id, round(terrain, 8) AS terrain, round(exposure, 8) AS exposure, round(priority, 8) AS priority, CASE WHEN priority IS NULL THEN 'NOT_RANKED' ELSE 'RANKED' END AS status FROM s")

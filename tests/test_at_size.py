@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import events as linked
+from panelforge.operators import grids as ranking
 from panelforge.operators import polygons, resample, tables, terrain
-from panelforge.plans import catalog, events, refits
+from panelforge.plans import catalog, events, grids, refits
 from panelforge.plans.registry import Tables
 from panelforge.sources import stations
 from panelforge.streaming import states
@@ -112,3 +113,11 @@ def test_copies_of_shapes_are_judged_once(spark):
     found = polygons.located(points, layer, 4.0)
     assert sorted((r["point"], r["id"], r["class"]) for r in found.filter("id IS NOT NULL").collect()) == [(p, i, "inside") for p in range(8) for i in range(0, 30, 3)]
     assert sorted((r["point"], r["class"]) for r in found.filter("id IS NULL").collect()) == [(8, "none"), (9, "none")] and found.rdd.getNumPartitions() == 4
+
+
+def test_layers_rank_over_ranges(spark):
+    plan = grids.layers(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan.replace("partitionBy(_range", "") or all("_range" in x for x in plan.splitlines() if "Window [" in x)
+    ties = spark.createDataFrame([(i, 1, 0.1 * (3 if i % 2 else 1) / (3 if i % 2 else 1)) for i in range(9, 0, -1)], "id long, one int, t double").withColumn("o", F.lit(1.0))
+    got = ranking.top_without_each(ties, "id", ["t"], ["o"], "o", 3).filter("left_out = ''").orderBy("place").collect()
+    assert [r["id"] for r in got] == [1, 2, 3]
