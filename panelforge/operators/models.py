@@ -285,8 +285,8 @@ def kmeans_fits(points: DataFrame, d: int, ks: list[int], seed: int, starts: int
 def silhouettes(points: DataFrame, fits: dict[int, np.ndarray], block: int = 4096, judged: int = JUDGED_ROWS) -> dict[int, float]:
     """The mean Euclidean silhouette of the clusters about each fit's centres, over rows of points (key, x).
 
-    Each judged row is held against all rows: rows are dealt to blocks, and a block of judged rows meets every block, so a
-    task holds two. Up to `judged` rows all are judged, and the mean is exact. Beyond, the rows of least key hash are: a
+    Each judged row is held against all rows: rows are dealt to blocks, judged ones to blocks of their own, and each of those meets
+    every block, so a task holds two and a row is copied once for each block of judged rows. Up to `judged` rows all are judged, and the mean is exact. Beyond, the rows of least key hash are: a
     silhouette lies between -1 and 1, so by Hoeffding's bound the mean of all is within 0.02 but for odds of 1 in 500, and
     distances grow with the rows, not with their square.
     """
@@ -302,9 +302,10 @@ def silhouettes(points: DataFrame, fits: dict[int, np.ndarray], block: int = 409
     sizes = _pass(points, lambda _, x: labels(x).sum(0), _add)
     dealt = points.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(cuts)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(cuts - 1))
-    own = chosen.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(cuts)).cast("int"))
+    few = max(1, -(-n // block))
+    own = chosen.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(few)).cast("int"))
     left = own.select(F.col("key").alias("row"), "x", F.col("b").alias("i"), F.explode(every).alias("j"))
-    right = dealt.select("x", F.explode(every).alias("i"), F.col("b").alias("j"))
+    right = dealt.select("x", F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("i"), F.col("b").alias("j"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
