@@ -180,8 +180,10 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def mixture_fits(points: DataFrame, d: int, jobs: list[tuple[int, int]], family: str, rounds: int = 200, floor: float = 1e-6) -> tuple[int, list[tuple[np.ndarray, float, bool]]]:
     """(rows, one (means, log-likelihood, converged) for each job (k, seed)): the fits of `mixture`, over all rows of points (key, x).
 
-    A round is one pass for all jobs not yet settled; what reaches the driver are the sums of each component.
+    A round is one pass for all jobs not yet settled; what reaches the driver are the sums of each component. Starts are drawn
+    from rows; rounds take each distinct point once, weighed by its rows.
     """
+    weighed = _kept(points.groupBy("x").agg(F.count(F.lit(1)).alias("key")))
     centre = _pass(points, lambda _, x: np.concatenate([[len(x)], x.sum(0)]), _add)
     n, mid = int(centre[0]), centre[1:] / centre[0]
     state: list[tuple] = [(c - mid, None, None) for c in _starts(points, [k for k, _ in jobs], [s * 64 + k for k, s in jobs], d)]
@@ -191,7 +193,7 @@ def mixture_fits(points: DataFrame, d: int, jobs: list[tuple[int, int]], family:
         if not now:
             break
 
-        def each(_: np.ndarray, x: np.ndarray, now: list[int] = now) -> np.ndarray:
+        def each(w: np.ndarray, x: np.ndarray, now: list[int] = now) -> np.ndarray:
             x, out = x - mid, []
             for j in now:
                 means, covs, share = state[j]
@@ -204,11 +206,12 @@ def mixture_fits(points: DataFrame, d: int, jobs: list[tuple[int, int]], family:
                         dens[:, i] = np.log(share[i]) - 0.5 * (np.linalg.solve(low, (x - m).T) ** 2).sum(0) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
                     top = dens.max(1, keepdims=True)
                     total = top[:, 0] + np.log(np.exp(dens - top).sum(1))
-                    resp, like = np.exp(dens - total[:, None]), float(total.sum())
+                    resp, like = np.exp(dens - total[:, None]), float(w @ total)
+                resp = resp * w[:, None]  # by the rows of each point, at the start too
                 out += [[like], resp.sum(0), (resp.T @ x).ravel(), np.einsum("ni,na,nb->iab", resp, x, x, optimize=True).ravel()]
             return np.concatenate(out)
 
-        got, at = _pass(points, each, _add), 0
+        got, at = _pass(weighed, each, _add), 0
         for j in now:
             k = jobs[j][0]
             like, size, first, second = np.split(got[at : at + 1 + k * (1 + d + d * d)], [1, 1 + k, 1 + k + k * d])
