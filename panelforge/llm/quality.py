@@ -23,6 +23,8 @@ MOST_WEIGHT = 4.0
 EVIDENCE = (3.0, 4.0, 6.0, 9.0, 13.0)
 #: Shares of a text's bytes or words that are cut into tenths and hashed like words.
 STEMS = (4, 5)
+#: Features of rated texts that a step of the fit takes at a time (or one text's): what it holds besides the lists is of this length.
+SLICE = 1 << 16
 SHAPES = ("upper", "digit", "symbol", "space", "repeat", "adjacent")
 
 
@@ -65,56 +67,91 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def score(self, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.weights[ids], dtype=np.float64)])  # a score does not depend on the batch
-        return total[off[1:]] - total[off[:-1]]
+        out, done = np.zeros(len(off) - 1), 0.0
+        for a, b in K.slices(off, SLICE):
+            total = np.cumsum(np.concatenate([[done], self.weights[ids[off[a] : off[b]]]]), dtype=np.float64)  # a score does not depend on the batch
+            at = off[a : b + 1] - off[a]
+            out[a:b], done = total[at[1:]] - total[at[:-1]], total[-1]
+        return out
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
         below = np.concatenate([np.zeros((len(score), 1)), _sigmoid(self.thresholds[None, :] - score[:, None]), np.ones((len(score), 1))], axis=1)
         return np.diff(below, axis=1)
 
 
-def evidence(ids: np.ndarray, row: np.ndarray, grade: np.ndarray, grades: int) -> np.ndarray:
-    """For each feature the largest |z| over the grade boundaries of its presence above against below the boundary."""
-    n, df = len(grade), np.bincount(ids, minlength=1 << BITS)
+def presence(ids: np.ndarray, off: np.ndarray, grade: np.ndarray, grades: int) -> np.ndarray:
+    """For each grade and feature the rows of that grade that have it; rows of a grade below 0 are passed over."""
+    out = np.zeros((grades, 1 << BITS), np.int64)
+    for a, b in K.slices(off, SLICE):
+        x, g = ids[off[a] : off[b]], np.repeat(grade[a:b], np.diff(off[a : b + 1]))
+        for k in range(grades):
+            np.add.at(out[k], x[g == k].astype(np.intp), 1)
+    return out
+
+
+def evidence(present: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """For each feature the largest |z| over the grade boundaries of its presence above against below the boundary. have: rows by grade."""
+    n, df = have.sum(), present.sum(axis=0)
     out = np.zeros(1 << BITS)
-    for k in range(1, grades):
-        above = grade >= k
-        share = above.mean()
-        hits = np.bincount(ids[above[row]], minlength=1 << BITS)
+    for k in range(1, len(have)):
+        share = have[k:].sum() / n
+        hits = present[k:].sum(axis=0)
         spread = df * share * (1 - share) * (1 - df / n)
         out = np.maximum(out, np.abs(hits - df * share) / np.sqrt(spread + 1.0))
     return out
 
 
-def fit(ids: np.ndarray, off: np.ndarray, grade: np.ndarray, grades: int = GRADES, rounds: int = 400, rate: float = 0.05, ridge: float = 3e-4, least_z: float | None = None, most_weight: float = MOST_WEIGHT) -> OrdinalModel:
+def _narrowed(ids: np.ndarray, off: np.ndarray, rows: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The feature lists of the picked rows, without features other than kept, as places in kept."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    kind = np.min_scalar_type(max(len(kept) - 1, 0))
+    parts, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for a, b in K.slices(off, SLICE):
+        row = np.repeat(np.arange(b - a), np.diff(off[a : b + 1]))
+        x = place[ids[off[a] : off[b]]]
+        hit = (x >= 0) & rows[a:b][row]
+        parts.append(x[hit].astype(kind))
+        sizes.append(np.bincount(row[hit], minlength=b - a)[rows[a:b]])
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def fit(ids: np.ndarray, off: np.ndarray, grade: np.ndarray, grades: int = GRADES, rounds: int = 400, rate: float = 0.05, ridge: float = 3e-4, least_z: float | None = None, most_weight: float = MOST_WEIGHT, rows: np.ndarray | None = None) -> OrdinalModel:
     """Maximum likelihood by Adam over all rows each round; thresholds stay ordered as sums of positive gaps.
 
     A feature takes part if its presence differs across some grade boundary by least_z standard errors or
     more, so that words seen by chance in a few rated texts get no weight; where that is not given, it is
     what makes every third rated text likeliest when the others are learnt from (held_out_evidence).
     Grades weigh alike in sum, up to a factor of most_weight against the commonest. Grades may be absent.
+    rows: a mask of the rows to learn from, all where not given. A round takes a slice of the lists at a time, so that besides ids
+    only the places of the features that take part are held.
     """
-    n, row = len(grade), K.row_of(off).astype(np.int32)
     least_z = held_out_evidence(ids, off, grade, grades, rate, ridge, most_weight) if least_z is None else least_z
-    z = evidence(ids, row, grade, grades)
-    used = z[ids] >= least_z
-    kept, at = np.unique(ids[used], return_inverse=True)
-    row = row[used]
-    have = np.bincount(grade, minlength=grades)
+    rows = np.ones(len(grade), bool) if rows is None else rows
+    have = np.bincount(grade[rows], minlength=grades)
+    present = presence(ids, off, np.where(rows, grade, -1), grades)
+    kept = np.flatnonzero((evidence(present, have) >= least_z) & present.any(axis=0))
+    del present
+    at, off = _narrowed(ids, off, rows, kept)
+    grade = grade[rows]
     weight = np.minimum(have.max() / np.maximum(have, 1), most_weight)[grade]
     weight = weight / weight.sum()
+    dhi, dlo, p = np.zeros(len(grade)), np.zeros(len(grade)), np.zeros(len(grade))
     w = np.zeros(len(kept))
     free = np.concatenate([[-1.0], np.zeros(grades - 2)])
     m, v = np.zeros(len(w) + len(free)), np.zeros(len(w) + len(free))
     for t in range(1, rounds + 1):
         theta = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-        s = np.bincount(row, weights=w[at], minlength=n)
         edge = np.concatenate([[-np.inf], theta, [np.inf]])
-        hi, lo = _sigmoid(edge[grade + 1] - s), _sigmoid(edge[grade] - s)
-        p = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        ds = weight * (dhi - dlo) / p
-        grad_w = np.bincount(at, weights=ds[row], minlength=len(w)) + ridge * w
+        grad_w = np.zeros(len(w))
+        for a, b in K.slices(off, SLICE):
+            x, size, g = at[off[a] : off[b]].astype(np.intp), np.diff(off[a : b + 1]), grade[a:b]
+            s = np.bincount(np.repeat(np.arange(b - a), size), weights=w[x], minlength=b - a)
+            hi, lo = _sigmoid(edge[g + 1] - s), _sigmoid(edge[g] - s)
+            p[a:b] = np.maximum(hi - lo, 1e-12)
+            dhi[a:b], dlo[a:b] = hi * (1 - hi), lo * (1 - lo)
+            np.add.at(grad_w, x, np.repeat(weight[a:b] * (dhi[a:b] - dlo[a:b]) / p[a:b], size))
+        grad_w += ridge * w
         at_theta = np.zeros(grades + 1)
         np.add.at(at_theta, grade + 1, -weight * dhi / p)
         np.add.at(at_theta, grade, weight * dlo / p)
@@ -140,10 +177,11 @@ def held_out_evidence(ids: np.ndarray, off: np.ndarray, grade: np.ndarray, grade
     test = np.arange(len(grade)) % 3 == 0
     if test.all():
         return EVIDENCE[0]
+    rest = _rows(ids, off, test)
 
     def held_out(z: float) -> float:
-        model = fit(*_rows(ids, off, ~test), grade[~test], grades, 150, rate, ridge, z, most_weight)
-        p = model.probabilities(model.score(*_rows(ids, off, test)))
+        model = fit(ids, off, grade, grades, 150, rate, ridge, z, most_weight, ~test)
+        p = model.probabilities(model.score(*rest))
         return round(float(np.log(np.maximum(p[np.arange(len(p)), grade[test]], 1e-9)).mean()), 9)
 
     return max(reversed(EVIDENCE), key=held_out)
@@ -172,12 +210,30 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
                 ids, at = features(batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "grade", "ids"])
 
-    got = rated.mapInArrow(K.tidy(extract), "doc_id long, grade int, ids array<int>").toArrow().sort_by("doc_id")
-    if not got.num_rows:
+    batches = rated.mapInArrow(K.tidy(extract), "doc_id long, grade int, ids array<int>").toArrow().to_batches()
+    model = _fit_batches(batches)
+    K.give_back()
+    return model
+
+
+def _fit_batches(batches: list[pa.RecordBatch]) -> OrdinalModel:
+    """The fit to batches of (doc_id, grade, ids) in order of doc_id. The list is emptied: a batch goes once its features are in place."""
+    if not sum(b.num_rows for b in batches):
         return OrdinalModel(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, -40.0))
-    lists = got.column("ids").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return fit(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]), got.column("grade").to_numpy().astype(np.int64))
+    order = np.argsort(np.concatenate([b.column(0).to_numpy() for b in batches]), kind="stable")
+    grade = np.concatenate([b.column(1).to_numpy() for b in batches])[order].astype(np.int64)
+    off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b.column(2).offsets.to_numpy()) for b in batches])[order])])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ids, done = np.empty(off[-1], np.int32), len(order)
+    while batches:
+        lists = batches.pop().column(2)
+        done, at, values = done - len(lists), lists.offsets.to_numpy(), lists.values.to_numpy()
+        for i, row in enumerate(place[done : done + len(lists)]):
+            ids[off[row] : off[row + 1]] = values[at[i] : at[i + 1]]
+        del lists, at, values
+    K.give_back()
+    return fit(ids, off, grade)
 
 
 def selected(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
