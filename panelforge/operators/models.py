@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from panelforge.operators.order import checkpointed
 
 
-#: Rows that a silhouette judges at most: twice log(2 / 0.002) / 0.02 ** 2.
-JUDGED_ROWS = 34_539
+#: Rows and bytes of a block at most, as dealt by hashes; a task of a silhouette holds two.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 25
 
 
 def free_parameters(k: Column, d: Column, family: Column) -> Column:
@@ -285,59 +286,118 @@ def kmeans_fits(points: DataFrame, d: int, ks: list[int], seed: int, starts: int
     return {k: (centres[j], inertia[j]) for k, j in best.items()}
 
 
-def silhouettes(points: DataFrame, fits: dict[int, np.ndarray], block: int = 4096, judged: int = JUDGED_ROWS) -> dict[int, float]:
-    """The mean Euclidean silhouette of the clusters about each fit's centres, over rows of points (key, x).
-
-    Each judged row is held against all rows: rows are dealt to blocks, judged ones to blocks of their own, and each of those meets
-    every block, so a task holds two and a row is copied once for each block of judged rows. Up to `judged` rows all are judged, and the mean is exact. Beyond, the rows of least key hash are: a
-    silhouette lies between -1 and 1, so by Hoeffding's bound the mean of all is within 0.02 but for odds of 1 in 500, and
-    distances grow with the rows, not with their square.
+def _distances(p: np.ndarray, q: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The distance of each row of p to each of q, written into room (two such tables): from differences in few places, in
+    many by a product about their midst."""
+    total, far = (r[: len(p), : len(q)] for r in room)
+    if p.shape[1] > 8:
+        mid = q.mean(0)
+        p, q = p - mid, q - mid
+        np.matmul(p, -2 * q.T, out=total)
+        total += (p**2).sum(1)[:, None]
+        total += (q**2).sum(1)
+        np.maximum(total, 0, out=total)
+    else:
+        total[:] = 0
+        for a, b in zip(p.T, np.ascontiguousarray(q.T), strict=True):
+            np.subtract(a[:, None], b, out=far)
+            np.multiply(far, far, out=far)
+            total += far
+    return np.sqrt(total, out=total)
+
+
+def silhouettes(points: DataFrame, fits: dict[int, np.ndarray], block: int = BLOCK_ROWS, judged: int = 256) -> dict[int, float | None]:
+    """The mean Euclidean silhouette of the clusters about each fit's centres, over all rows of points (key, x).
+
+    Every row is held against every row; rows of one place are judged once and weighed by their number. Places are dealt to
+    blocks (`block` places and BLOCK_BYTES at most), and any two blocks meet once, in a task that holds these two and adds up
+    their distances both ways, `judged` rows of each at a time. Distances grow with the square of the distinct places; what a task holds
+    does not grow. A row without a place, or with a null in it, is in no cluster and counts 0; no rows have no mean.
     """
-    ks, n = sorted(fits), points.count()
-    cuts = max(1, -(-n // block))
-    chosen = points if n <= judged else _kept(points.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(judged))
-    n = min(n, judged)
-    width = sum(ks)
-
-    def labels(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.eye(k)[_squares(x, fits[k]).argmin(1)] for k in ks], axis=1)
-
-    sizes = _pass(points, lambda _, x: labels(x).sum(0), _add)
-    dealt = points.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(cuts)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(cuts - 1))
-    few = max(1, -(-n // block))
-    own = chosen.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(few)).cast("int"))
-    left = own.select(F.col("key").alias("row"), "x", F.col("b").alias("i"), F.explode(every).alias("j"))
-    right = dealt.select("x", F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("i"), F.col("b").alias("j"))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"row": pd.Series([], dtype="int64"), "x": [], "sums": []})
-        p, q = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        own = labels(q)
-        sums = np.concatenate([np.sqrt(_squares(p[s : s + 512], q)) @ own for s in range(0, len(p), 512)])
-        return pd.DataFrame({"row": a["row"], "x": list(p), "sums": list(sums)})
-
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "row long, x array<double>, sums array<double>")
-    summed = met.groupBy("row").agg(F.first("x").alias("x"), F.array(*[F.sum(F.col("sums")[c]) for c in range(width)]).alias("sums"))
+    ks, n, spark = sorted(fits), points.count(), points.sparkSession
+    width, d = sum(ks), len(fits[ks[0]][0])
+    placed = points.filter(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    places = _kept(placed.groupBy("x").agg(F.count(F.lit(1)).alias("key")))
+    m = places.count()
+    if m == 0:
+        return {k: 0.0 if n else None for k in ks}
+    most = max(1, min(block, BLOCK_BYTES // (8 * (d + 2 * width))))
+    # a few pairs of blocks for each core, where there are places enough
+    cuts = max(-(-m // most), min(-(-m // 4096), math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism))))
+
+    def nearest(x: np.ndarray) -> np.ndarray:
+        return np.stack([np.stack([((x - c) ** 2).sum(1) for c in fits[k]], axis=1).argmin(1) for k in ks], axis=1)
+
+    def members(own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.eye(k)[own[:, i]] for i, k in enumerate(ks)], axis=1) * weight[:, None]
+
+    sizes = _pass(places, lambda weight, x: members(nearest(x), weight).sum(0), _add)
+
+    def pack(rows: pa.Table) -> pa.Table:
+        x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, d)
+        whole = np.column_stack([rows.column("key").to_numpy(), x])
+        cut = max(1, (1 << 20) // (8 * (d + 1)))
+        pieces = [whole[at : at + cut].tobytes() for at in range(0, len(whole), cut)]
+        return pa.table({"b": pa.array([rows.column("b")[0].as_py()] * len(pieces), pa.int32()), "piece": pa.array(range(len(pieces)), pa.int32()), "held": pa.array(pieces, pa.binary())})
+
+    dealt = places.withColumn("b", F.pmod(F.xxhash64("x"), F.lit(cuts)).cast("int"))
+    packed = _kept(dealt.groupBy("b").applyInArrow(pack, "b int, piece int, held binary"))
+    later, sooner = F.sequence("b", F.lit(cuts - 1)), F.sequence(F.lit(0), F.col("b"))
+    tasks = 2 * cuts * (cuts + 1)  # four for each pair, so that hashes bring few pairs together
+    left = packed.select(F.col("b").alias("i"), F.explode(later).alias("j"), "piece", "held").repartition(tasks, "i", "j")
+    right = packed.select(F.explode(sooner).alias("i"), F.col("b").alias("j"), "piece", "held").repartition(tasks, "i", "j")
+    names = ["id", *[f"s{c}" for c in range(width)], *[f"own{k}" for k in ks], "weight"]
+    kinds = pa.schema([(c, pa.float64() if c[0] == "s" else pa.int64()) for c in names])
+
+    def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        held = b"".join(rows.sort_by("piece").column("held").to_pylist())
+        whole = np.frombuffer(held).reshape(-1, d + 1)
+        return whole[:, 0], np.ascontiguousarray(whole[:, 1:])
+
+    def summed(b: int, sums: np.ndarray, own: np.ndarray | None = None, weight: np.ndarray | None = None) -> pa.Table:
+        told = [None] * (len(ks) + 1) if own is None else [*own.T, weight.astype(np.int64)]
+        rows = zip([(b << 32) + np.arange(len(sums)), *sums.T, *told], kinds.types, strict=True)
+        return pa.table([pa.nulls(len(sums), t) if c is None else pa.array(c, t) for c, t in rows], schema=kinds)
+
+    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j = (v.as_py() for v in key)
+        if not a.num_rows or not b.num_rows:
+            return kinds.empty_table()
+        (w, p), (v, q) = unpacked(a), unpacked(b)
+        own = nearest(p)
+        mine, others = members(own, w), members(nearest(q), v)
+        here, there, room = np.zeros((len(p), width)), np.zeros((len(q), width)), np.empty((2, judged, judged))
+        for s in range(0, len(p), judged):
+            for t in range(s if i == j else 0, len(q), judged):
+                far = _distances(p[s : s + judged], q[t : t + judged], room)
+                if i == j and s == t:
+                    np.fill_diagonal(far, 0)
+                else:
+                    there[t : t + judged] += (mine[s : s + judged].T @ far).T
+                here[s : s + judged] += far @ others[t : t + judged]
+        if i == j:
+            return summed(i, here + there, own, w)
+        return pa.concat_tables([summed(i, here), summed(j, there)])
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in kinds))
+    totals = met.groupBy("id").agg(*[(F.sum if c[0] == "s" else F.max)(c).alias(c) for c in names[1:]])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, total = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in (1, 2))
-            out, at = [], 0
+            row, out, at, weight = np.arange(b.num_rows), [], 0, b.column("weight").to_numpy()
+            total = np.stack([b.column(f"s{c}").to_numpy() for c in range(width)], axis=1)
             for k in ks:
-                own, size = _squares(x, fits[k]).argmin(1), sizes[at : at + k]
-                part, row = total[:, at : at + k], np.arange(b.num_rows)
+                own, size, part = b.column(f"own{k}").to_numpy(), sizes[at : at + k], total[:, at : at + k]
                 at += k
                 a = part[row, own] / np.maximum(size[own] - 1, 1)
                 other = np.where(size > 0, part / np.maximum(size, 1), np.inf)
                 other[row, own] = np.inf
                 near = other.min(1)
-                s = np.where((size[own] > 1) & np.isfinite(near), (near - a) / np.maximum(np.maximum(a, near), 1e-300), 0.0)
-                out.append(float(s.sum()))
+                s = np.where((size[own] > 1) & (near != np.inf), (near - a) / np.maximum(np.maximum(a, near), 1e-300), 0.0)
+                out.append(float(weight @ s))
             yield pa.RecordBatch.from_arrays([pa.array([c]) for c in out], [f"k{k}" for k in ks])
 
-    total = summed.mapInArrow(score, ", ".join(f"k{k} double" for k in ks)).agg(*[F.sum(f"k{k}").alias(f"k{k}") for k in ks]).first()
+    total = totals.mapInArrow(score, ", ".join(f"k{k} double" for k in ks)).agg(*[F.sum(f"k{k}").alias(f"k{k}") for k in ks]).first()
     return {k: total[f"k{k}"] / n for k in ks}
 
 

@@ -81,11 +81,11 @@ def covariance_expansion(t: Tables) -> DataFrame:
     d AS (SELECT p.p_partkey, p.c AS own, q.c AS c, sum(sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b))) AS s, count(*) AS n FROM l p, l q GROUP BY 1, 2, 3), a AS (SELECT p_partkey, max(CASE WHEN c = own THEN s / greatest(n - 1, 1) END) AS a, max(CASE WHEN c = own THEN n END) AS n, min(CASE WHEN c <> own THEN s / n END) AS b FROM d GROUP BY 1)
     SELECT round(avg(CASE WHEN n > 1 AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette, count(*) AS n FROM a""")
 def silhouette(t: Tables) -> DataFrame:
-    """The mean silhouette of parts about three given centres (see silhouettes for what it takes beyond 34,539 rows)."""
+    """The mean silhouette of all parts about three given centres; null without parts."""
     centres = np.array([[10.3, 30.1], [40.1, 30.7], [25.2, 45.9]])
     points = O.checkpointed(t.part.select(F.col("p_partkey").cast("long").alias("key"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 40).alias("x")))
     score = M.silhouettes(points, {3: centres})[3]
-    return points.agg(F.count(F.lit(1)).alias("n")).select(F.round(F.lit(float(score)), 6).alias("silhouette"), "n")
+    return points.agg(F.count(F.lit(1)).alias("n")).select(F.round(F.lit(score).cast("double"), 6).alias("silhouette"), "n")
 
 
 _MEANS_SQL = "m AS (SELECT p_brand, p_size % 3 AS g, avg(p_size)::DOUBLE / 10 AS a, avg(p_retailprice) / 300 AS b FROM part GROUP BY 1, 2), r AS (SELECT p_type, p_size % 3 AS g, avg(p_size)::DOUBLE / 10 AS a, avg(p_retailprice) / 300 AS b FROM part GROUP BY 1, 2)"

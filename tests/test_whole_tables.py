@@ -1,5 +1,6 @@
 """Queries that take whole tables: every row counts, whatever its key."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +70,53 @@ def test_sweeps_read_whole_tables(spark):
     assert sorted(r["k"] for r in plans["q272_kmeans_best_k"]) == [2, 3, 4, 5, 6] and len(plans["q242_mixture_sweep"]) == 5 * 3
     flagged = [r for r in plans["q265_isolation_forest"] if r["anomaly"]]
     assert 0 < len(flagged) <= 0.02 * len(plans["q265_isolation_forest"])
+
+
+def _weighed_silhouette(x, w, label):
+    """models.silhouette over places of which there are w rows each."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    total = np.stack([d[:, label == g] @ w[label == g] for g in range(label.max() + 1)], axis=1)
+    size, at = np.array([w[label == g].sum() for g in range(label.max() + 1)]), np.arange(len(x))
+    a, other = total[at, label] / np.maximum(size[label] - 1, 1), total / size
+    other[at, label] = np.inf
+    b = other.min(1)
+    return float((w * np.where(size[label] > 1, (b - a) / np.maximum(a, b), 0)).sum() / w.sum())
+
+
+def test_silhouette_judges_every_row(spark):
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(0, 2, (600, 2)), np.array([[-1.0, 0], [1.5, 0.5]])
+    label = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, x array<double>").repartition(3)
+    assert abs(models.silhouettes(df, {2: c}, block=100, judged=200)[2] - models.silhouette(x, label)) < 1e-9
+    # more rows than were judged before, of few places
+    w = 1 + np.bincount((300 * rng.random(39_700) ** 2).astype(int), minlength=300)
+    places = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x[:300], w, strict=True))], "p long, x array<double>, n int")
+    rows = places.selectExpr("x", "explode(sequence(1, n)) AS r", "p").selectExpr("p * 100000 + r AS key", "x").repartition(3)
+    assert rows.count() == 40_000 and abs(models.silhouettes(rows, {2: c})[2] - _weighed_silhouette(x[:300], w, label[:300])) < 1e-9
+
+
+def test_silhouette_of_many_places_copies_and_gaps(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(m, 1, (60, 12)) + 1000 for m in (0, 1, 3)])
+    x, c = np.concatenate([x, x[:50], x[:7]]), x[[0, 60, 120]]
+    label = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    made = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = lambda rows: spark.createDataFrame(rows, "key long, x array<double>").repartition(3)
+    exact = models.silhouette(x, label)
+    assert abs(models.silhouettes(df(made), {3: c}, block=50, judged=16)[3] - exact) < 1e-9
+    gaps = [(900, None), (901, [None, *x[0][1:].tolist()])]
+    assert abs(models.silhouettes(df(made + gaps), {3: c}, block=50)[3] - exact * len(x) / (len(x) + 2)) < 1e-9
+    assert models.silhouettes(df(gaps), {3: c}) == {3: 0.0} and models.silhouettes(df([]), {3: c}) == {3: None}
+
+
+def test_silhouette_of_odd_parts_as_in_sql(spark, tmp_path):
+    # one part as far from two centres, copies of a place, a cluster of one, parts without a size or price
+    made = [(26, 1271.25), (26, 1271.25), (40, 1228.0), (39, 1230.5), (25, 1836.0), (25, 1836.0), (24, 1800.0), (10, 1204.0), (None, 1200.0), (12, None)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(made)], "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for kept in ("true", "p_size IS NULL", "false"):
+        folder = tmp_path / kept.split()[0]
+        spark.read.parquet(str(tmp_path / "part.parquet")).filter(kept).coalesce(1).write.parquet(str(folder / "part.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW part AS FROM '{folder}/part.parquet/*.parquet'")
+        assert [tuple(r) for r in catalog.QUERIES["q251_silhouette"](spark, str(folder)).collect()] == con.execute(catalog.ORACLES["q251_silhouette"]).fetchall()
