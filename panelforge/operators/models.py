@@ -310,9 +310,10 @@ def silhouettes(points: DataFrame, fits: dict[int, np.ndarray], block: int = BLO
     """The mean Euclidean silhouette of the clusters about each fit's centres, over all rows of points (key, x).
 
     Every row is held against every row; rows of one place are judged once and weighed by their number. Places are dealt to
-    blocks (`block` places and BLOCK_BYTES at most), and any two blocks meet once, in a task that holds these two and adds up
-    their distances both ways, `judged` rows of each at a time. Distances grow with the square of the distinct places; what a task holds
-    does not grow. A row without a place, or with a null in it, is in no cluster and counts 0; no rows have no mean.
+    blocks (about `block` places and BLOCK_BYTES at most), and any two blocks meet once, in a task that holds these two and
+    adds up their distances both ways, `judged` rows of each at a time. Distances grow with the square of the distinct
+    places; what a task holds does not. A row without a place, or with a null in it, is in no cluster and counts 0; no rows
+    have no mean.
     """
     ks, n, spark = sorted(fits), points.count(), points.sparkSession
     width, d = sum(ks), len(fits[ks[0]][0])
@@ -333,15 +334,15 @@ def silhouettes(points: DataFrame, fits: dict[int, np.ndarray], block: int = BLO
 
     sizes = _pass(places, lambda weight, x: members(nearest(x), weight).sum(0), _add)
 
-    def pack(rows: pa.Table) -> pa.Table:
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
         x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, d)
-        whole = np.column_stack([rows.column("key").to_numpy(), x])
-        cut = max(1, (1 << 20) // (8 * (d + 1)))
-        pieces = [whole[at : at + cut].tobytes() for at in range(0, len(whole), cut)]
-        return pa.table({"b": pa.array([rows.column("b")[0].as_py()] * len(pieces), pa.int32()), "piece": pa.array(range(len(pieces)), pa.int32()), "held": pa.array(pieces, pa.binary())})
+        held = np.column_stack([rows.column("key").to_numpy(), x]).tobytes()
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), "piece": pa.array([key[1].as_py()], pa.int32()), "held": pa.array([held], pa.binary())})
 
-    dealt = places.withColumn("b", F.pmod(F.xxhash64("x"), F.lit(cuts)).cast("int"))
-    packed = _kept(dealt.groupBy("b").applyInArrow(pack, "b int, piece int, held binary"))
+    pieces = -(-m // (cuts * max(1, min(1024, (1 << 20) // (8 * (d + 1))))))
+    z = F.pmod(F.xxhash64("x"), F.lit(cuts * pieces))
+    dealt = places.select("x", "key", (z % cuts).cast("int").alias("b"), F.floor(z / cuts).cast("int").alias("piece"))
+    packed = _kept(dealt.groupBy("b", "piece").applyInArrow(pack, "b int, piece int, held binary"))
     later, sooner = F.sequence("b", F.lit(cuts - 1)), F.sequence(F.lit(0), F.col("b"))
     tasks = 2 * cuts * (cuts + 1)  # four for each pair, so that hashes bring few pairs together
     left = packed.select(F.col("b").alias("i"), F.explode(later).alias("j"), "piece", "held").repartition(tasks, "i", "j")
